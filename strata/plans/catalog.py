@@ -1,3 +1,5 @@
 """Imports every query module so that all queries are registered."""
 
 from strata.plans import survey_queries  # noqa: F401
+from strata.plans import table_queries  # noqa: F401
+from strata.plans import cluster_queries  # noqa: F401
