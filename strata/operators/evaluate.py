@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.decode import small_side
 from strata.operators.prefix import running_sums
 
 
@@ -22,10 +21,12 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2,
 
     Equivalent to ``row_number() OVER (PARTITION BY label ORDER BY key) <=
     round(test * n)`` without sorting a class in one task: rows are counted
-    per (label, key prefix); prefix ranges fully inside or outside the test
-    share are decided from those counts, and only the one boundary range per
-    class is ranked exactly.  The count table has at most
-    ``classes x 16**prefix_len`` rows whatever the data size.
+    per (label, key prefix) and a running count over the prefixes gives each
+    prefix range its offset within the class; the rank is then offset +
+    ``row_number()`` within (label, prefix), a window over groups of about
+    n / 16**prefix_len rows that reuses the join's hash partitioning.  The
+    count table has at most ``classes x 16**prefix_len`` rows whatever the
+    data size.
     """
     x = df.withColumn("_h", hash_key(id_col, seed)).withColumn(
         "_p", F.substring("_h", 1, prefix_len))
@@ -34,17 +35,15 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2,
     w_cum = Window.partitionBy(label).orderBy("_p").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     plan = counts.select(
-        label, "_p", "_n",
+        label, "_p",
         F.bround(F.lit(test) * F.sum("_n").over(w_cls), 0).alias("_k"),
-        F.sum("_n").over(w_cum).alias("_cum"))
-    plan = plan.withColumn("_prev", F.col("_cum") - F.col("_n"))
-    j = x.join(small_side(plan.select(label, "_p", "_k", "_cum", "_prev")), [label, "_p"])
-    partial = (F.col("_prev") < F.col("_k")) & (F.col("_cum") > F.col("_k"))
-    decided = j.filter(~partial).withColumn(out, F.col("_cum") <= F.col("_k"))
+        (F.sum("_n").over(w_cum) - F.col("_n")).alias("_prev"))
+    # the count table is an aggregate output: AQE broadcasts it when its measured
+    # size is small and keeps a shuffle join otherwise (no extra counting job)
+    j = x.join(plan, [label, "_p"])
     w_rank = Window.partitionBy(label, "_p").orderBy("_h", id_col)
-    boundary = (j.filter(partial)
-                .withColumn(out, (F.col("_prev") + F.row_number().over(w_rank)) <= F.col("_k")))
-    return decided.unionByName(boundary).select(*df.columns, out)
+    rank = F.col("_prev") + F.row_number().over(w_rank)
+    return j.select(*df.columns, (rank <= F.col("_k")).alias(out))
 
 
 # ------------------------------------------------------------------ M8
