@@ -147,7 +147,7 @@ def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
 
 
 def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
-                     max_iter: int = 300, tol: float = 1e-4, threads: int = 4):
+                     max_iter: int = 300, tol: float = 1e-4, threads: int = 8):
     """Fit ``restarts`` seeds (concurrent Spark jobs) and keep the lowest cost."""
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fits = list(ex.map(lambda r: _fit(data, k, seed + r, max_iter, tol), range(restarts)))
@@ -155,13 +155,21 @@ def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
 
 
 def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
-                 seed: int = 42, sample: int = 2000) -> DataFrame:
-    """Per k: inertia of the best restart and its sampled silhouette."""
+                 seed: int = 42, sample: int = 2000, threads: int = 8) -> DataFrame:
+    """Per k: inertia of the best restart and its sampled silhouette.
+
+    All (k, restart) fits are submitted together to a pool of driver
+    threads, so Spark runs their small jobs concurrently across cores.
+    """
     data = df.select(id_col, vec, array_to_vector(vec).alias("_v")).persist(
         StorageLevel.MEMORY_AND_DISK)
+    jobs = [(k, r) for k in ks for r in range(restarts)]
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        fits = list(ex.map(lambda kr: (kr[0],) + _fit(data, kr[0], seed + kr[1], 300, 1e-4),
+                           jobs))
     rows = []
     for k in ks:
-        model, cost = best_of_restarts(data, k, restarts, seed)
+        model, cost = min((f[1:] for f in fits if f[0] == k), key=lambda f: f[1])
         labelled = model.transform(data)
         sil = silhouette(labelled, id_col, vec, "cluster", sample, seed).first()[0]
         rows.append((int(k), float(cost), None if sil is None else float(sil)))

@@ -50,24 +50,33 @@ def _z(spark, d):
     return cluster.standardize(_emb(spark, d), "embedding").select("vec_id", "z", "label")
 
 
+_CACHE: dict = {}
+
+
+def _sweep(spark, d):
+    key = (spark.sparkContext.applicationId, d.rstrip("/"))
+    if key not in _CACHE:
+        _CACHE[key] = cluster.kmeans_sweep(_z(spark, d), "vec_id", "z", range(2, 9),
+                                           RESTARTS_SWEEP)
+    return _CACHE[key]
+
+
 @register("kmeans_sweep")
 def kmeans_sweep(spark, d):
     """k = 2..8 with best-of-10 restarts: inertia and sampled silhouette."""
-    return cluster.kmeans_sweep(_z(spark, d), "vec_id", "z", range(2, 9), RESTARTS_SWEEP)
+    return _sweep(spark, d)
 
 
 @register("choose_k")
 def choose_k(spark, d):
     """The k of the sweep with the largest silhouette."""
-    return cluster.choose_k(kmeans_sweep(spark, d))
+    return cluster.choose_k(_sweep(spark, d))
 
 
 @register("assign_clusters")
 def assign_clusters(spark, d):
     """Final k-means fit at the chosen k; cluster id per vector and cluster sizes."""
-    z = _z(spark, d)
-    k = cluster.choose_k(cluster.kmeans_sweep(z, "vec_id", "z", range(2, 9),
-                                              RESTARTS_SWEEP)).first()["k"]
-    rows, _ = cluster.assign_clusters(z, "vec_id", "z", k, RESTARTS_FINAL)
+    k = cluster.choose_k(_sweep(spark, d)).first()["k"]
+    rows, _ = cluster.assign_clusters(_z(spark, d), "vec_id", "z", k, RESTARTS_FINAL)
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return rows.select("vec_id", "label", "cluster").join(sizes, "cluster")

@@ -36,7 +36,7 @@ def split_frame(spark, d) -> DataFrame:
     """
     k = _key(spark, d, "split")
     if k not in _CACHE:
-        base = adf(spark, d).checkpoint(eager=True)
+        base = adf(spark, d)
         frame = evaluate.stratified_split(base, "pumfid", LABEL, 0.2, 42, out="is_test")
         train = frame.filter(~F.col("is_test"))
         val = evaluate.stratified_split(train, "pumfid", LABEL, 0.2, 43, out="is_val")
@@ -127,6 +127,7 @@ def _attr_clusters(spark, d) -> DataFrame:
         wide = attributions_wide(spark, d)
         vec = wide.select("pumfid", F.array(*FEATURES).alias("phi"))
         z = cluster.standardize(vec, "phi", "z").select("pumfid", "z")
+        z = z.checkpoint(eager=True)
         sweep = cluster.kmeans_sweep(z, "pumfid", "z", range(2, 9), 10)
         best = cluster.choose_k(sweep).first()["k"]
         rows, _ = cluster.assign_clusters(z, "pumfid", "z", best, 20)

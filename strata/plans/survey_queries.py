@@ -33,8 +33,21 @@ def coded(spark: SparkSession, d: str) -> DataFrame:
     return load_coded(spark, d)
 
 
+_CACHE: dict = {}
+
+
 def adf(spark: SparkSession, d: str, policy: str = "median", raw: bool = False) -> DataFrame:
-    return clean.analysis_frame(coded(spark, d), SPEC_RAW if raw else SPEC, policy)
+    """The analysis table.  The default (recoded, median split) table feeds most
+    reports, so it is materialised once per session by a reliable checkpoint
+    into the shared ``spark.checkpoint.dir`` (as the source analysis keeps its
+    cleaned frame for every section); other policies are computed on demand."""
+    frame = clean.analysis_frame(coded(spark, d), SPEC_RAW if raw else SPEC, policy)
+    if policy != "median" or raw:
+        return frame
+    key = (spark.sparkContext.applicationId, d.rstrip("/"))
+    if key not in _CACHE:
+        _CACHE[key] = frame.checkpoint(eager=True)
+    return _CACHE[key]
 
 
 def demo_codes(spark: SparkSession, d: str) -> DataFrame:
