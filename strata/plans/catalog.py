@@ -6,3 +6,4 @@ from strata.plans import cluster_queries  # noqa: F401
 from strata.plans import model_queries  # noqa: F401
 from strata.plans import codebook_queries  # noqa: F401
 from strata.plans import intake_queries  # noqa: F401
+from strata.plans import report  # noqa: F401

@@ -98,3 +98,49 @@ FROM t JOIN c ON t.t = c.t""")
 def display_labels(spark, d):
     """Display label: truncate at 45 with an ellipsis, [name] on collisions."""
     return decode.display_label(variables(spark, d), "description", "variable_name", 45)
+
+
+# ------------------------------------------------------------------ S5
+
+def _json_codebook_rows(spark, d):
+    """One nested codebook record per part: answer_categories built from the row."""
+    p = read_table(spark, d, "part")
+    size2 = F.lpad(F.col("p_size").cast("string"), 2, "0")
+    cat = lambda label, code: F.struct(label.alias("label"), code.alias("code"),
+                                       F.lit(None).cast("string").alias("frequency"),
+                                       F.lit(None).cast("string").alias("weighted_frequency"),
+                                       F.lit(None).cast("string").alias("percent"))
+    cats = F.array(cat(F.concat(F.lit(" "), F.col("p_name")), size2),
+                   cat(F.lit("Y  es"), F.concat((F.col("p_size") % 10).cast("string"),
+                                                F.lit(".0"))),
+                   cat(F.lit("Valid skip"), F.lit("96")),
+                   cat(F.col("p_brand"), F.lit("00 - 84")),
+                   cat(F.col("p_type"), size2))
+    return p.select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("variable_name"),
+                    F.lit(None).cast("string").alias("concept"),
+                    F.col("p_name").alias("question_text"), cats.alias("answer_categories"))
+
+
+@register("codebook_json", """WITH c AS (
+  SELECT 'v' || CAST(p_partkey AS VARCHAR) AS v, 1 AS pos, ' ' || p_name AS label,
+         lpad(CAST(p_size AS VARCHAR), 2, '0') AS code FROM part
+  UNION ALL SELECT 'v' || CAST(p_partkey AS VARCHAR), 2, 'Y  es',
+         CAST(p_size % 10 AS VARCHAR) || '.0' FROM part
+  UNION ALL SELECT 'v' || CAST(p_partkey AS VARCHAR), 3, 'Valid skip', '96' FROM part
+  UNION ALL SELECT 'v' || CAST(p_partkey AS VARCHAR), 4, p_brand, '00 - 84' FROM part
+  UNION ALL SELECT 'v' || CAST(p_partkey AS VARCHAR), 5, p_type,
+         lpad(CAST(p_size AS VARCHAR), 2, '0') FROM part),
+k AS (SELECT v, pos, TRY_CAST(TRY_CAST(code AS DOUBLE) AS INTEGER) AS code,
+        regexp_replace(trim(label), '^Y\\s+es$', 'Yes') AS label FROM c)
+SELECT v AS variable_name, code, arg_max(label, pos) AS label FROM k
+WHERE label NOT IN ('Valid skip', 'Don''t know', 'Refusal', 'Not stated') AND code IS NOT NULL
+GROUP BY v, code""")
+def codebook_json(spark, d):
+    """Nested JSONL codebook written to the shared folder and read back."""
+    import uuid
+    from strata.session import scratch_path
+    from strata.sources.codebook import read_codebook_json
+    path = scratch_path(spark, f"codebook-{uuid.uuid4().hex}")
+    _json_codebook_rows(spark, d).write.mode("overwrite").json(path)
+    codes, _ = read_codebook_json(spark, path)
+    return codes

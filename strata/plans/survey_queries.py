@@ -9,7 +9,7 @@ from strata.functions.columns import nonnull_count
 from strata.operators import clean, decode, profile, tables
 from strata.plans import sqltext as S
 from strata.plans.registry import register
-from strata.sources.coded import coded_cte, coded_columns, load_coded
+from strata.sources.coded import REPLICATE_WEIGHTS, coded_cte, coded_columns, load_coded
 from strata.sources.codebook import inline_codes
 from strata.sources.tables import read_table
 from strata.spec import (EXPENSE_RANGES, INCOME_BRACKETS, STRAIN_LABELS, coded_spec)
@@ -87,10 +87,12 @@ def high_rate_by_region(spark, d):
 
 # --------------------------------------------------------------- P4, P5
 
-_NULLED = [c for c in coded_columns() if c not in ("pumfid", "wght_per")]
+_NULLED = [c for c in coded_columns() if c not in ("pumfid", "wght_per")
+           and not c.startswith("wtbs_")]
 
 
 @register("null_reserve_items", coded_cte() + "SELECT pumfid, wght_per, "
+          + "".join(f"{w}, " for w in REPLICATE_WEIGHTS)
           + ", ".join(f"{S.nul(c)} AS {c}" for c in _NULLED) + " FROM coded")
 def null_reserve_items(spark, d):
     """Reserve codes -> NULL in every coded column (P4, width-blind parity)."""
@@ -537,3 +539,41 @@ def cluster_medians(spark, d):
 
 
 __all__ = ["nonnull_count"]
+
+
+# --------------------------------------------------------------- P1 - P3, Q1, Q8
+
+_ALLOW = ["pumfid", "sex", "prv", "marstat", "famincg1", "vismin", "senflag",
+          *SPEC.activity, *SPEC.expenses, "wght_per", "wtbs_001"]
+_KEPT = [c for c in _ALLOW if c in coded_columns() and not c.startswith("wtbs_")]
+
+
+@register("drop_replicate_weights", coded_cte() + "SELECT " + ", ".join(_KEPT) + " FROM coded")
+def drop_replicate_weights(spark, d):
+    """Drop replicate weights (prefix), the raw FWA/ITE module (prefix), then the
+    ordered allow-list with absent names skipped (P1, P2, P3)."""
+    c = clean.drop_prefix(coded(spark, d), ["wtbs_"])
+    c = clean.drop_columns(c, exact=(), prefixes=("fwa_", "ite_"))
+    return clean.select_available(c, _ALLOW)
+
+
+# --------------------------------------------------------------- Q5, P21
+
+@register("preview_scored", A + "SELECT * FROM adf ORDER BY pumfid LIMIT 10")
+def preview_scored(spark, d):
+    """First 10 rows of the analysis frame under an explicit order (Q5)."""
+    return profile.preview(adf(spark, d), 10, "pumfid")
+
+
+@register("report_rate_by_region", A + """, g AS (
+  SELECT prv AS value, count(*) AS n, sum(burnout_high) AS s FROM adf
+  WHERE prv IS NOT NULL AND burnout_high IS NOT NULL GROUP BY prv),
+d AS (SELECT COALESCE(nt.n_name, CAST(g.value AS VARCHAR)) AS category, g.n, g.s
+      FROM g LEFT JOIN nation nt ON g.value = nt.n_nationkey),
+r AS (SELECT category, CAST(sum(n) AS BIGINT) AS n,
+       """ + S.pct(S.ratio("sum(s)", "sum(n)")) + """ AS high_pct FROM d GROUP BY category)
+SELECT category, format('{:,}', n) AS n, printf('%.1f', high_pct) || '%' AS high_pct FROM r""")
+def report_rate_by_region(spark, d):
+    """The province table formatted for the report: 1,234 and 52.3%."""
+    from strata.functions.columns import format_cells
+    return format_cells(high_rate_by_region(spark, d), {"n": "thousands", "high_pct": "pct"})

@@ -88,7 +88,7 @@ def read_codebook_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
                       F.posexplode("answer_categories").alias("_pos", "a"))
     flat = cats.select("variable_name", F.col("a.code").alias("code"),
                        F.col("a.label").alias("label"),
-                       (F.col("_row") * F.lit(1 << 20) + F.col("_pos")).alias("_ord"))
+                       F.struct("_row", "_pos").alias("_ord"))
     return clean_answer_codes(flat, "_ord"), variable_descriptions(raw.select(*VARIABLE_COLUMNS))
 
 

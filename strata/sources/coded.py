@@ -29,6 +29,10 @@ ITEM_COLUMNS = (
 )
 
 
+# Replicate weights (dropped by the analysis, as in the survey file).
+REPLICATE_WEIGHTS = ("wtbs_001", "wtbs_002", "wtbs_003")
+
+
 def _u(k: int) -> str:
     return f"((o.o_orderkey * 7919 + {k} * 104729) % 1000)"
 
@@ -48,7 +52,11 @@ def coded_select(orders: str = "orders", customer: str = "customer") -> str:
     items = ",\n       ".join(
         f"CAST({_item_sql(k, kind, m)} AS INTEGER) AS {name}"
         for k, (name, kind, m) in enumerate(ITEM_COLUMNS, start=1))
+    wtbs = ",\n       ".join(
+        f"o.o_totalprice * CAST(7 + ((o.o_orderkey + {k}) % 7) AS DOUBLE) / 10 AS {n}"
+        for k, n in enumerate(REPLICATE_WEIGHTS, start=1))
     return f"""SELECT o.o_orderkey AS pumfid, o.o_totalprice AS wght_per,
+       {wtbs},
        CAST(1 + o.o_custkey % 2 AS INTEGER) AS sex,
        CAST(c.c_nationkey AS INTEGER) AS prv,
        CAST(CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2
@@ -64,12 +72,12 @@ def coded_cte() -> str:
 
 
 def coded_columns() -> list[str]:
-    return ["pumfid", "wght_per", "sex", "prv", "marstat", "famincg1",
+    return ["pumfid", "wght_per", *REPLICATE_WEIGHTS, "sex", "prv", "marstat", "famincg1",
             *[n for n, _, _ in ITEM_COLUMNS]]
 
 
 # Bump when the SELECT above changes so stale written copies are not reused.
-CODED_VERSION = 1
+CODED_VERSION = 2
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
