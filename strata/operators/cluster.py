@@ -119,11 +119,17 @@ def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, sample: int =
     its share of points against all sampled points.  No cross join is
     planned.  For all rows use :func:`silhouette_full`.
     """
-    smp = (sample_rows(df.select(id_col, vec, cluster), id_col, sample, seed)
-           .withColumn("_sid", F.col(id_col)))
-    local = smp.toPandas()  # bounded: at most `sample` rows
+    smp = sample_rows(df.select(id_col, vec, cluster), id_col, sample, seed)
+    return sampled_silhouette(smp, id_col, vec, cluster, partitions)
+
+
+def sampled_silhouette(smp: DataFrame, id_col: str, vec: str, cluster: str,
+                       partitions: int = 8) -> DataFrame:
+    """Silhouette of an already drawn (bounded) sample with cluster labels."""
+    smp = smp.withColumn("_sid", F.col(id_col))
+    local = smp.toPandas()  # bounded: the sample
     if local.empty or local[cluster].nunique() < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
+        return smp.sparkSession.createDataFrame([(None,)], "silhouette double")
     fn = _silhouette_rows(local, vec, cluster)
     per = (smp.repartition(partitions, "_sid")
            .mapInPandas(fn, T.StructType([T.StructField("s", T.DoubleType())])))
@@ -167,12 +173,19 @@ def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts:
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fits = list(ex.map(lambda kr: (kr[0],) + _fit(data, kr[0], seed + kr[1], 300, 1e-4),
                            jobs))
-    rows = []
-    for k in ks:
-        model, cost = min((f[1:] for f in fits if f[0] == k), key=lambda f: f[1])
-        labelled = model.transform(data)
-        sil = silhouette(labelled, id_col, vec, "cluster", sample, seed).first()[0]
-        rows.append((int(k), float(cost), None if sil is None else float(sil)))
+    best = {k: min((f[1:] for f in fits if f[0] == k), key=lambda f: f[1]) for k in ks}
+    # the sample depends on ids only: draw it once, label it with each k's model
+    smp = sample_rows(data, id_col, sample, seed).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sil(k):
+        labelled = best[k][0].transform(smp).select(id_col, vec, "cluster")
+        return sampled_silhouette(labelled, id_col, vec, "cluster").first()[0]
+
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        sils = dict(zip(ks, ex.map(sil, list(ks))))
+    rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]))
+            for k in ks]
+    smp.unpersist()
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
