@@ -15,6 +15,7 @@ from strata.operators import attribution, cluster, evaluate, tables
 from strata.operators.boost import BoostConfig, fit_boosted, score
 from strata.plans.registry import register
 from strata.plans.survey_queries import LABEL, SPEC, adf
+from strata.session import materialize
 from strata.sources.survey import cached
 
 FEATURES = list(SPEC.features)
@@ -31,8 +32,8 @@ def split_frame(spark, d) -> DataFrame:
     """Analysis frame with exact stratified test (20 %) and validation (20 % of train).
 
     Boosting iterates over this frame and attribution reads it again, so it
-    is checkpointed once (reliable checkpoint into ``spark.checkpoint.dir``):
-    the lineage is cut and a lost executor re-reads the written rows.
+    is written once as a table in the shared ``spark.checkpoint.dir``: the
+    lineage is cut and a lost executor re-reads the written files.
     """
     k = _key(spark, d, "split")
     if k not in _CACHE:
@@ -41,7 +42,7 @@ def split_frame(spark, d) -> DataFrame:
         train = frame.filter(~F.col("is_test"))
         val = evaluate.stratified_split(train, "pumfid", LABEL, 0.2, 43, out="is_val")
         out = val.unionByName(frame.filter(F.col("is_test")).withColumn("is_val", F.lit(False)))
-        _CACHE[k] = out.checkpoint(eager=True)
+        _CACHE[k] = materialize(out, "model-split")
     return _CACHE[k]
 
 
@@ -128,7 +129,7 @@ def _attr_clusters(spark, d) -> DataFrame:
         wide = attributions_wide(spark, d)
         vec = wide.select("pumfid", F.array(*FEATURES).alias("phi"))
         z = cluster.standardize(vec, "phi", "z").select("pumfid", "z")
-        z = z.checkpoint(eager=True)
+        z = materialize(z, "attribution-z")
         sweep = cluster.kmeans_sweep(z, "pumfid", "z", range(2, 9), 10)
         best = cluster.choose_k(sweep).first()["k"]
         rows, _ = cluster.assign_clusters(z, "pumfid", "z", best, 20)

@@ -9,6 +9,7 @@ from strata.functions.columns import nonnull_count
 from strata.operators import clean, decode, profile, tables
 from strata.plans import sqltext as S
 from strata.plans.registry import register
+from strata.session import materialize
 from strata.sources.coded import REPLICATE_WEIGHTS, coded_cte, coded_columns, load_coded
 from strata.sources.codebook import inline_codes
 from strata.sources.tables import read_table
@@ -38,15 +39,16 @@ _CACHE: dict = {}
 
 def adf(spark: SparkSession, d: str, policy: str = "median", raw: bool = False) -> DataFrame:
     """The analysis table.  The default (recoded, median split) table feeds most
-    reports, so it is materialised once per session by a reliable checkpoint
-    into the shared ``spark.checkpoint.dir`` (as the source analysis keeps its
-    cleaned frame for every section); other policies are computed on demand."""
+    reports, so it is written once per session as a Parquet table into the
+    shared ``spark.checkpoint.dir`` (as the source analysis keeps its cleaned
+    frame for every section); later scans prune columns and take pushed
+    filters.  Other policies are computed on demand."""
     frame = clean.analysis_frame(coded(spark, d), SPEC_RAW if raw else SPEC, policy)
     if policy != "median" or raw:
         return frame
     key = (spark.sparkContext.applicationId, d.rstrip("/"))
     if key not in _CACHE:
-        _CACHE[key] = frame.checkpoint(eager=True)
+        _CACHE[key] = materialize(frame, "analysis")
     return _CACHE[key]
 
 
@@ -181,8 +183,11 @@ def single_item_target(spark, d):
   round_even(avg(flexibility_score), 6) AS mean_flex
 FROM adf WHERE sex = 1 AND marstat = 2""")
 def filtered_kpis(spark, d):
-    """KPIs of a filtered population (sex = 1 and marstat = 2)."""
-    view = clean.analysis_frame(coded(spark, d), SPEC, population={"sex": 1, "marstat": 2})
+    """KPIs of a filtered population (sex = 1 and marstat = 2).
+
+    The filters reach the scan of the stored analysis table as pushed
+    equality filters; the label keeps the whole-population threshold."""
+    view = clean.filter_population(adf(spark, d), {"sex": 1, "marstat": 2})
     return tables.kpis(view, LABEL, SCORE, "flexibility_score")
 
 

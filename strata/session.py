@@ -58,3 +58,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables/models."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
+    written files), but the result is a columnar table: later scans prune
+    columns and take pushed filters, which a checkpointed RDD cannot.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
