@@ -8,6 +8,7 @@ row count.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -145,6 +146,18 @@ def silhouette_full(df: DataFrame, vec: str, cluster: str) -> float:
 
 # ------------------------------------------------------------------ M13, M15, M16
 
+def _sized(df: DataFrame, vec: str, target_mb: int = 64) -> DataFrame:
+    """About ``target_mb`` of vectors per partition for the iterative fits.
+
+    Each k-means iteration is a job over every partition; tiny partitions
+    cost scheduling, not compute.  Small inputs are coalesced (no shuffle);
+    large inputs keep their partitioning.
+    """
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    want = max(1, math.ceil((st["n"] or 0) * ((st["d"] or 1) * 8 + 32) / (target_mb << 20)))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_v",
                 predictionCol="cluster")
@@ -167,8 +180,8 @@ def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts:
     All (k, restart) fits are submitted together to a pool of driver
     threads, so Spark runs their small jobs concurrently across cores.
     """
-    data = df.select(id_col, vec, array_to_vector(vec).alias("_v")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    data = _sized(df.select(id_col, vec), vec).select(
+        id_col, vec, array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     jobs = [(k, r) for k in ks for r in range(restarts)]
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fits = list(ex.map(lambda kr: (kr[0],) + _fit(data, kr[0], seed + kr[1], 300, 1e-4),
@@ -198,6 +211,7 @@ def choose_k(sweep: DataFrame) -> DataFrame:
 def assign_clusters(df: DataFrame, id_col: str, vec: str, k: int, restarts: int = 20,
                     seed: int = 42):
     """Final fit (best of restarts); returns (rows with ``cluster``, model)."""
-    data = df.withColumn("_v", array_to_vector(vec)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _sized(df, vec).withColumn("_v", array_to_vector(vec)).persist(
+        StorageLevel.MEMORY_AND_DISK)
     model, _ = best_of_restarts(data, k, restarts, seed)
     return model.transform(data).drop("_v"), model

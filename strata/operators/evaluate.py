@@ -77,8 +77,8 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """tp, fp, tpr, fpr at every distinct score threshold (score >= threshold)."""
     g = _score_groups(df, score, label)
-    p = g.select(F.sum("pos")).scalar()
-    n = g.select(F.sum("neg")).scalar()
+    tot = g.select(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
+    p, n = tot["p"], tot["n"]  # one scalar subquery for both totals
     r = running_sums(g, "score", ["pos", "neg"])
     tp = p - (F.col("cum_pos") - F.col("pos"))
     fp = n - (F.col("cum_neg") - F.col("neg"))

@@ -47,17 +47,28 @@ def _decode_grouped(g: DataFrame, codes: DataFrame | None, mapping: dict | None,
 # ------------------------------------------------------------------ A1, A2, A17
 
 def rate_by(df: DataFrame, col: str, label: str, codes: DataFrame | None = None,
-            mapping: dict | None = None, names=("category", "n", "high_pct")) -> DataFrame:
-    """High-label rate and count per decoded category of ``col``, rate desc."""
+            mapping: dict | None = None, names=("category", "n", "high_pct"),
+            weight: str | None = None) -> DataFrame:
+    """High-label rate and count per decoded category of ``col``, rate desc.
+
+    Unweighted by default (as the source reports); with ``weight`` the rate
+    is Σ w·y / Σ w over rows with a weight, ``n`` stays the row count.
+    """
     if codes is not None:
         codes = codes.filter(F.col("variable_name") == col)
-    g = (df.select(F.col(col).cast("int").alias("value"), F.col(label).alias("_y"))
-         .filter(F.col("value").isNotNull() & F.col("_y").isNotNull())
-         .groupBy("value").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s")))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    src = df.select(F.col(col).cast("int").alias("value"), F.col(label).alias("_y"),
+                    w.alias("_w"))
+    g = (src.filter(F.col("value").isNotNull() & F.col("_y").isNotNull()
+                    & F.col("_w").isNotNull())
+         .groupBy("value").agg(F.count(F.lit(1)).alias("_n"),
+                               F.sum(F.col("_y") * F.col("_w")).alias("_s"),
+                               F.sum("_w").alias("_sw")))
     d = _decode_grouped(g, codes, mapping, None)
-    out = (d.groupBy("category").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    out = (d.groupBy("category").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"),
+                                     F.sum("_sw").alias("_sw"))
            .select(F.col("category").alias(names[0]), F.col("_n").alias(names[1]),
-                   pct(F.col("_s") / F.col("_n")).alias(names[2])))
+                   pct(F.col("_s") / F.col("_sw")).alias(names[2])))
     return out.orderBy(F.desc(names[2]), F.col(names[0]))
 
 
@@ -299,8 +310,8 @@ def histogram(df: DataFrame, col: str, bins: int, digits: int = 6) -> DataFrame:
     """Exactly ``bins`` fixed-width bins between min and max (empty ones omitted)."""
     x = F.col(col).cast("double")
     src = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    lo = src.select(F.min("x")).scalar()
-    hi = src.select(F.max("x")).scalar()
+    rng = src.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo, hi = rng["lo"], rng["hi"]  # one scalar subquery, one scan
     width = (hi - lo) / bins
     b = F.when(width > 0, F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))) \
         .otherwise(F.lit(0)).cast("int")

@@ -582,3 +582,22 @@ def report_rate_by_region(spark, d):
     """The province table formatted for the report: 1,234 and 52.3%."""
     from strata.functions.columns import format_cells
     return format_cells(high_rate_by_region(spark, d), {"n": "thousands", "high_pct": "pct"})
+
+
+# --------------------------------------------------------------- T19 (optional weight)
+
+@register("weighted_rate_by_region", A + """, g AS (
+  SELECT prv AS value, count(*) AS n, sum(burnout_high * wght_per) AS s, sum(wght_per) AS sw
+  FROM adf WHERE prv IS NOT NULL AND burnout_high IS NOT NULL AND wght_per IS NOT NULL
+  GROUP BY prv),
+d AS (SELECT COALESCE(nt.n_name, CAST(g.value AS VARCHAR)) AS category, g.n, g.s, g.sw
+      FROM g LEFT JOIN nation nt ON g.value = nt.n_nationkey)
+SELECT category, CAST(sum(n) AS BIGINT) AS n,
+  round_even(sum(s) / sum(sw) * CAST(100 AS DOUBLE), 1) AS high_pct
+FROM d GROUP BY category""")
+def weighted_rate_by_region(spark, d):
+    """Person-weighted high rate per decoded province (A1 with the survey weight)."""
+    codes = read_table(spark, d, "nation").select(
+        F.lit("prv").alias("variable_name"), F.col("n_nationkey").alias("code"),
+        F.col("n_name").alias("label"))
+    return tables.rate_by(adf(spark, d), "prv", LABEL, codes=codes, weight=WEIGHT)

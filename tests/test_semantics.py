@@ -180,3 +180,66 @@ def test_classification_report_zero_division(spark):
     r = {x["class"]: x for x in classification_report(df, "y", "p").collect()}
     assert r["High"].precision == 0.0 and r["High"].recall == 0.0 and r["High"].f1 == 0.0
     assert math.isclose(r["accuracy"].f1, 2 / 3, rel_tol=1e-9)
+
+
+def test_raw_and_recoded_labels_point_in_opposite_directions(spark):
+    # Raw codes (1 = yes) average low for strained rows; the recoded score is high
+    from strata.spec import coded_spec
+    strain = coded_spec().strain_items
+    row_strained = {c: 1 for c in strain}
+    row_relaxed = {c: (4 if c == "ics_40" else 2) for c in strain}
+    df = spark.createDataFrame([dict(row_strained, id=1), dict(row_relaxed, id=2)])
+    rec = dict((r.id, r.s) for r in df.select("id", clean.strain_score(coded_spec())
+                                               .alias("s")).collect())
+    raw = dict((r.id, r.s) for r in df.select("id", clean.strain_score(
+        coded_spec(raw_label=True)).alias("s")).collect())
+    assert rec[1] == 1.0 and rec[2] == 0.0
+    assert raw[1] < raw[2]
+
+
+def test_prevalence_denominators(spark):
+    # Recoded base drops codes outside the map; raw base keeps them
+    recoded = spark.createDataFrame([(1.0,), (None,), (0.0,)], "fis_10a double")
+    raw = spark.createDataFrame([(1.0,), (3.0,), (2.0,)], "fis_10a double")
+    a = tables.item_prevalence(recoded, ["fis_10a"], {"fis_10a": "x"}, "ics_40", "recoded").first()
+    b = tables.item_prevalence(raw, ["fis_10a"], {"fis_10a": "x"}, "ics_40", "raw").first()
+    assert (a.n_answered, a.pct_strain) == (2, 50.0)
+    assert (b.n_answered, b.pct_strain) == (3, 33.3)
+
+
+def test_target_is_not_ranked_against_itself(spark):
+    # T11
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 3.5)], "t double, x double")
+    out = [r.variable for r in tables.correlate_with(df, "t", ["t", "x"]).collect()]
+    assert out == ["x"]
+
+
+def test_filters_apply_before_every_table(spark):
+    # A filtered view feeds the diagnostics, not the full frame
+    df = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 1, 1)], "sex int, aro_10 int, y int")
+    view = clean.filter_population(df, {"sex": 2})
+    got = tables.activity_breadth(view, ["aro_10"], "y").collect()
+    assert [(r.activity_count, r.respondents) for r in got] == [(1, 1)]
+
+
+def test_weighted_rate(spark):
+    # Optional weight; n stays the row count
+    df = spark.createDataFrame([(1, 1, 3.0), (1, 0, 1.0)], "c int, y int, w double")
+    r = tables.rate_by(df, "c", "y", weight="w").first()
+    assert (r.n, r.high_pct) == (2, 75.0)
+
+
+def test_golden_arithmetic_of_the_committed_report(spark):
+    # 2,863 of 5,633 high = 50.8 %; confusion counts rebuilt from the per-class
+    # support and recall (554 low at 0.762, 573 high at 0.773) give the reported
+    # precision, F1 and accuracy.
+    from strata.operators.evaluate import classification_report
+    df = spark.createDataFrame([(2863, 5633)], "h long, n long")
+    assert df.select(C.pct(F.col("h") / F.col("n")).alias("p")).first().p == 50.8
+    tn, fp, tp, fn = 422, 554 - 422, 443, 573 - 443
+    rows = [(0, 0)] * tn + [(0, 1)] * fp + [(1, 1)] * tp + [(1, 0)] * fn
+    rep = {r["class"]: r for r in classification_report(
+        spark.createDataFrame(rows, "y int, p int"), "y", "p").collect()}
+    assert round(rep["High"].precision, 3) == 0.770 and round(rep["Low"].precision, 3) == 0.764
+    assert round(rep["High"].f1, 3) == 0.772 and round(rep["Low"].f1, 3) == 0.763
+    assert round(rep["accuracy"].f1, 3) == 0.768 and rep["accuracy"].support == 1127
