@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from strata.functions.columns import direction
 from strata.operators.boost import sentinel_for
-from strata.session import scratch_path
+from strata.session import scratch_path, ship_package
 
 
 # ------------------------------------------------------------------ model -> leaves
@@ -136,6 +136,7 @@ def attribute(model, df: DataFrame, id_col: str, features, composites=(),
     unit of the source analysis.
     """
     features = list(features)
+    ship_package(df.sparkSession)
     leaves = leaf_paths(model_nodes(model))
     key = uuid.uuid4().hex
     scale = 2.0 if logodds else 1.0

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.evaluate import sample_rows
+from strata.session import ship_package
 
 
 # ------------------------------------------------------------------ M12
@@ -127,6 +128,7 @@ def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, sample: int =
 def sampled_silhouette(smp: DataFrame, id_col: str, vec: str, cluster: str,
                        partitions: int = 8) -> DataFrame:
     """Silhouette of an already drawn (bounded) sample with cluster labels."""
+    ship_package(smp.sparkSession)
     smp = smp.withColumn("_sid", F.col(id_col))
     local = smp.toPandas()  # bounded: the sample
     if local.empty or local[cluster].nunique() < 2:

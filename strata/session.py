@@ -72,3 +72,24 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``strata`` importable in executor Python workers (once per context).
+
+    Local mode workers share the driver's import path; on a cluster the
+    package is zipped and added with ``addPyFile``, the public equivalent of
+    ``--py-files``, before the first Python-backed stage (mapInPandas).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or sc.master.startswith("local"):
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="strata-pkg-"), "strata")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(pkg), "strata")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
