@@ -167,16 +167,22 @@ def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     return model, model.summary.trainingCost
 
 
+def _threads(spark) -> int:
+    """Concurrent fits: twice the cores (jobs of small fits leave cores idle), <= 32."""
+    return max(2, min(32, 2 * spark.sparkContext.defaultParallelism))
+
+
 def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
-                     max_iter: int = 300, tol: float = 1e-4, threads: int = 8):
+                     max_iter: int = 300, tol: float = 1e-4, threads: int | None = None):
     """Fit ``restarts`` seeds (concurrent Spark jobs) and keep the lowest cost."""
+    threads = threads or _threads(data.sparkSession)
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fits = list(ex.map(lambda r: _fit(data, k, seed + r, max_iter, tol), range(restarts)))
     return min(fits, key=lambda f: f[1])
 
 
 def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
-                 seed: int = 42, sample: int = 2000, threads: int = 8) -> DataFrame:
+                 seed: int = 42, sample: int = 2000, threads: int | None = None) -> DataFrame:
     """Per k: inertia of the best restart and its sampled silhouette.
 
     All (k, restart) fits are submitted together to a pool of driver
@@ -185,6 +191,7 @@ def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts:
     data = _sized(df.select(id_col, vec), vec).select(
         id_col, vec, array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     jobs = [(k, r) for k in ks for r in range(restarts)]
+    threads = threads or _threads(df.sparkSession)
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fits = list(ex.map(lambda kr: (kr[0],) + _fit(data, kr[0], seed + kr[1], 300, 1e-4),
                            jobs))
