@@ -56,5 +56,8 @@ def score_intake_stream(spark, d):
     """The same scoring as a Structured Streaming job over JSON intake files."""
     base = scratch_path(spark, f"intake-{uuid.uuid4().hex}")
     intake_rows(spark, d).write.mode("overwrite").json(f"{base}/source")
-    return intake.run_stream(spark, intake_model(spark, d), f"{base}/source", f"{base}/sink",
+    # the stream scores with the stored model, as a separate scoring job would
+    intake.save_intake_model(spark, intake_model(spark, d), f"{base}/model")
+    model = intake.load_intake_model(spark, f"{base}/model")
+    return intake.run_stream(spark, model, f"{base}/source", f"{base}/sink",
                              f"{base}/checkpoint")

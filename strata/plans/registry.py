@@ -18,3 +18,10 @@ def register(name: str, sql: str | None = None):
             ORACLE[name] = sql
         return fn
     return deco
+
+
+def reset_caches() -> None:
+    """Forget per-session results (analysis table, model, sweeps, intake model)."""
+    from strata.plans import cluster_queries, intake_queries, model_queries, survey_queries
+    for mod in (survey_queries, model_queries, cluster_queries, intake_queries):
+        mod._CACHE.clear()

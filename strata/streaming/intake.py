@@ -122,3 +122,17 @@ def run_stream(spark: SparkSession, model: IntakeModel, source: str, sink: str,
          .trigger(availableNow=True).start(sink))
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+def save_intake_model(spark: SparkSession, model: IntakeModel, path: str) -> str:
+    """Store scaler statistics and centroids (a few numbers) as one JSON text row."""
+    import json
+    body = json.dumps({"scaler": model.scaler, "centroids": model.centroids})
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def load_intake_model(spark: SparkSession, path: str) -> IntakeModel:
+    import json
+    body = json.loads(spark.read.text(path).first()["value"])
+    return IntakeModel(body["scaler"], body["centroids"])
