@@ -192,25 +192,41 @@ def driver_direction(long: DataFrame, n: int = 20) -> DataFrame:
     return top.select("feature", "mean_phi", direction("mean_phi").alias("net_effect"))
 
 
-def beeswarm_points(long: DataFrame, values_long: DataFrame, id_col: str,
+def beeswarm_points(wide: DataFrame, values: DataFrame, id_col: str, features,
                     n: int = 15) -> DataFrame:
     """Per row and top-``n`` feature: phi and the min-max normalised feature value.
 
-    Min/max per feature come from a partially aggregated group-by (one row
-    per feature) joined back, not from a window partitioned by feature.
+    The wide attributions and the wide feature values are joined on the id
+    (one row per record on each side) and only then unpivoted to the top
+    features, so the join never carries one row per (record, feature).  The
+    top names (at most ``n``) and the per-feature min/max (at most ``n`` rows,
+    from a partially aggregated group-by) are bounded.
     """
-    top = driver_importance(long, n).select("feature")
-    vals = values_long.join(F.broadcast(top), "feature")
-    mm = vals.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    top = [r["feature"] for r in
+           driver_importance(to_long(wide, id_col, features), n).select("feature").collect()]
+    vals = values.select(id_col, *[F.col(c).cast("double").alias(f"_x_{c}") for c in top])
+    j = wide.select(id_col, *top).join(vals, id_col)
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("phi"),
+                             F.col(f"_x_{c}").alias("value")) for c in top])
+    long = j.select(id_col, F.explode(arr).alias("p")).select(id_col, "p.*")
+    mm = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     norm = F.when(F.col("_hi") > F.col("_lo"),
                   (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    v = vals.join(F.broadcast(mm), "feature").select(id_col, "feature",
-                                                     norm.alias("value_scaled"))
-    return long.join(F.broadcast(top), "feature").join(v, [id_col, "feature"], "left")
+    return long.join(F.broadcast(mm), "feature").select(id_col, "feature", "phi",
+                                                        norm.alias("value_scaled"))
 
 
-def cluster_drivers(long: DataFrame, cluster: str, n: int = 10) -> DataFrame:
-    """Top-``n`` features by mean |phi| per cluster, with direction (up/down)."""
+def cluster_drivers(wide: DataFrame, clusters: DataFrame, id_col: str, features,
+                    cluster: str = "cluster", n: int = 10) -> DataFrame:
+    """Top-``n`` features by mean |phi| per cluster, with direction (up/down).
+
+    Cluster ids join the wide attributions on the id (one row per record),
+    then the rows are unpivoted and aggregated per (cluster, feature) with
+    partial aggregation; the ranking window runs over those grouped rows
+    (clusters x features).
+    """
+    long = to_long(wide.join(clusters.select(id_col, cluster), id_col), id_col, features,
+                   extra=(cluster,))
     g = long.groupBy(cluster, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"),
                                              F.avg("phi").alias("mean_phi"))
     w = Window.partitionBy(cluster).orderBy(F.desc("mean_abs_phi"), "feature")

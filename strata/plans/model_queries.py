@@ -116,10 +116,8 @@ def driver_direction(spark, d):
 @register("beeswarm_points")
 def beeswarm_points(spark, d):
     """Attribution and min-max scaled value per row for the top-15 features."""
-    frame = split_frame(spark, d)
-    values = frame.select("pumfid", *[F.col(c).cast("double").alias(c) for c in FEATURES]) \
-        .unpivot(["pumfid"], FEATURES, "feature", "value")
-    return attribution.beeswarm_points(attributions_long(spark, d), values, "pumfid", 15)
+    return attribution.beeswarm_points(attributions_wide(spark, d), split_frame(spark, d),
+                                       "pumfid", FEATURES, 15)
 
 
 def _attr_clusters(spark, d) -> DataFrame:
@@ -140,8 +138,8 @@ def _attr_clusters(spark, d) -> DataFrame:
 @register("cluster_drivers")
 def cluster_drivers(spark, d):
     """Top-10 attribution drivers per attribution cluster, with direction."""
-    long = attributions_long(spark, d).join(_attr_clusters(spark, d), "pumfid")
-    return attribution.cluster_drivers(long, "cluster", 10)
+    return attribution.cluster_drivers(attributions_wide(spark, d), _attr_clusters(spark, d),
+                                       "pumfid", FEATURES, "cluster", 10)
 
 
 @register("attribution_clusters")

@@ -70,3 +70,19 @@ def test_driver_tables(spark, entry_module):
     assert all(imp[i].mean_abs_phi >= imp[i + 1].mean_abs_phi for i in range(len(imp) - 1))
     dr = q["driver_direction"](spark, SF_SMALL).collect()
     assert all((r.mean_phi > 0) == (r.net_effect == "Raises risk") for r in dr)
+
+
+def test_beeswarm_and_cluster_driver_shapes(spark, entry_module):
+    from strata.plans import model_queries as M
+    q = entry_module.queries()
+    n = M.split_frame(spark, SF_SMALL).count()
+    b = q["beeswarm_points"](spark, SF_SMALL)
+    r = b.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("feature").alias("f"),
+              F.min("value_scaled").alias("lo"), F.max("value_scaled").alias("hi")).first()
+    assert r.rows == n * r.f and r.f == 15 and r.lo >= 0.0 and r.hi <= 1.0
+    cd = q["cluster_drivers"](spark, SF_SMALL).collect()
+    by = {}
+    for x in cd:
+        by.setdefault(x.cluster, []).append(x["rank"])
+    assert by and all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 10
+                      for v in by.values())
