@@ -147,3 +147,17 @@ def attribution_clusters(spark, d):
     """Size, share and high rate of each attribution cluster (M16 + A19)."""
     rows = split_frame(spark, d).select("pumfid", LABEL).join(_attr_clusters(spark, d), "pumfid")
     return tables.cluster_profile(rows, "cluster", LABEL)
+
+
+@register("boosted_roc_curve")
+def boosted_roc_curve(spark, d):
+    """ROC points of the model on the held-out rows (M5 on M3 output)."""
+    return evaluate.roc_curve(test_scores(spark, d), "p_high", LABEL)
+
+
+@register("attribution_histogram")
+def attribution_histogram(spark, d):
+    """40 fixed-width bins of the attributions of the top driver (A16 on M7)."""
+    top = attribution.driver_importance(attributions_long(spark, d), 1).first()["feature"]
+    return tables.histogram(attributions_wide(spark, d), top, 40).withColumn(
+        "feature", F.lit(top))

@@ -601,3 +601,16 @@ def weighted_rate_by_region(spark, d):
         F.lit("prv").alias("variable_name"), F.col("n_nationkey").alias("code"),
         F.col("n_name").alias("label"))
     return tables.rate_by(adf(spark, d), "prv", LABEL, codes=codes, weight=WEIGHT)
+
+
+@register("histogram_score", A + """, s AS (SELECT min(burnout_score) AS lo,
+  max(burnout_score) AS hi FROM adf WHERE burnout_score IS NOT NULL),
+w AS (SELECT lo, (hi - lo) / 30 AS width FROM s),
+b AS (SELECT CAST(CASE WHEN w.width > 0 THEN least(floor((a.burnout_score - w.lo) / w.width), 29)
+             ELSE 0 END AS INTEGER) AS bin FROM adf a, w WHERE a.burnout_score IS NOT NULL)
+SELECT b.bin, round_even(w.lo + b.bin * w.width, 6) AS lo,
+  round_even(w.lo + (b.bin + 1) * w.width, 6) AS hi, count(*) AS n
+FROM b, w GROUP BY b.bin, w.lo, w.width""")
+def histogram_score(spark, d):
+    """30 fixed-width bins of the strain score (A16, the score distribution chart)."""
+    return tables.histogram(adf(spark, d), SCORE, 30)
