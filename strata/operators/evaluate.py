@@ -69,8 +69,9 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     g = running_sums(_score_groups(df, score, label), "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     return g.agg(
-        (F.sum(F.col("pos") * (below + F.col("neg") * 0.5))
-         / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") * 0.5)),
+                     F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+        .alias("auc"),  # NULL when only one class is present
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
@@ -84,7 +85,8 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     fp = n - (F.col("cum_neg") - F.col("neg"))
     return (r.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"))
             .select("threshold", "tp", "fp",
-                    (F.col("tp") / p).alias("tpr"), (F.col("fp") / n).alias("fpr"))
+                    F.try_divide(F.col("tp").cast("double"), p).alias("tpr"),
+                    F.try_divide(F.col("fp").cast("double"), n).alias("fpr"))
             .orderBy(F.desc("threshold")))
 
 

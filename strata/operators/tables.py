@@ -17,20 +17,18 @@ from strata.functions.columns import count_flags, any_answered, direction, pct
 from strata.operators.decode import small_side
 
 
-def _labels(codes: DataFrame | None, mapping: dict | None, variable: str | None = None):
-    """Codebook rows (_v, _c, _l) from a codebook frame or an inline map."""
-    if codes is not None:
-        return codes.select(F.col("variable_name").alias("_v"),
-                            F.col("code").cast("int").alias("_c"),
-                            F.col("label").alias("_l"))
-    return None
+def _labels(codes: DataFrame) -> DataFrame:
+    """Codebook rows as (_v, _c, _l)."""
+    return codes.select(F.col("variable_name").alias("_v"),
+                        F.col("code").cast("int").alias("_c"),
+                        F.col("label").alias("_l"))
 
 
 def _decode_grouped(g: DataFrame, codes: DataFrame | None, mapping: dict | None,
                     var_col: str | None) -> DataFrame:
     """Attach ``category`` = label, else the code as text, to grouped rows."""
     if codes is not None:
-        dim = small_side(_labels(codes, None))
+        dim = small_side(_labels(codes))
         cond = g["value"] == dim["_c"]
         if var_col is not None:
             cond = cond & (g[var_col] == dim["_v"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.columns import nonnull_count
 from strata.operators import clean, decode, profile, tables
 from strata.plans import sqltext as S
 from strata.plans.registry import register
@@ -543,8 +542,6 @@ def cluster_medians(spark, d):
     return tables.cluster_medians(frame, "famincg1", _CLUSTER_DEMOS)
 
 
-__all__ = ["nonnull_count"]
-
 
 # --------------------------------------------------------------- P1 - P3, Q1, Q8
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from strata.operators import evaluate, profile, tables
 from strata.operators.episodes import attach_episodes
-from strata.plans import sqltext as S
 from strata.plans.registry import register
 from strata.plans.survey_queries import coded
 from strata.sources.coded import coded_cte
@@ -184,5 +183,3 @@ def episodes_per_person(spark, d):
                     F.bround("total_quantity", 6).alias("total_quantity"),
                     F.bround("total_price", 6).alias("total_price"), "last_episode")
 
-
-__all__ = ["S"]

@@ -149,3 +149,9 @@ def test_attribution_equals_brute_force_shapley(spark):
     base = value([0, 0, 0, 0], set())
     assert math.isclose(attr[0].base_value, base, abs_tol=1e-9)
     assert len(leaf_paths(nodes)) > 0
+
+
+def test_auc_single_class_is_null_not_error(spark):
+    df = spark.createDataFrame([(1, 0.3, 1), (2, 0.5, 1)], "id long, s double, y int")
+    assert evaluate.roc_auc(df, "s", "y").first().auc is None
+    assert [r.fpr for r in evaluate.roc_curve(df, "s", "y").collect()] == [None, None]
