@@ -128,8 +128,8 @@ def dataset_overview(raw: DataFrame, adf: DataFrame, score: str, label: str,
         r(threshold).alias("threshold"),
         n_high.alias("n_high"),
         (n - n_high).alias("n_low"),
-        F.bround(n_high * 100.0 / n, 1).alias("pct_high"),
-        F.bround((n - n_high) * 100.0 / n, 1).alias("pct_low"),
+        F.bround(F.try_divide(n_high * 100.0, n), 1).alias("pct_high"),
+        F.bround(F.try_divide((n - n_high) * 100.0, n), 1).alias("pct_low"),
         F.min(weight).alias("weight_min"),
         F.max(weight).alias("weight_max"))
 

@@ -66,7 +66,7 @@ def rate_by(df: DataFrame, col: str, label: str, codes: DataFrame | None = None,
     out = (d.groupBy("category").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"),
                                      F.sum("_sw").alias("_sw"))
            .select(F.col("category").alias(names[0]), F.col("_n").alias(names[1]),
-                   pct(F.col("_s") / F.col("_sw")).alias(names[2])))
+                   pct(F.try_divide(F.col("_s"), F.col("_sw"))).alias(names[2])))
     return out.orderBy(F.desc(names[2]), F.col(names[0]))
 
 

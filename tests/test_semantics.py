@@ -243,3 +243,12 @@ def test_golden_arithmetic_of_the_committed_report(spark):
     assert round(rep["High"].precision, 3) == 0.770 and round(rep["Low"].precision, 3) == 0.764
     assert round(rep["High"].f1, 3) == 0.772 and round(rep["Low"].f1, 3) == 0.763
     assert round(rep["accuracy"].f1, 3) == 0.768 and rep["accuracy"].support == 1127
+
+
+def test_zero_weight_group_and_empty_overview_do_not_raise(spark):
+    df = spark.createDataFrame([(1, 1, 0.0), (2, 0, 1.0)], "c int, y int, w double")
+    got = dict((r.category, r.high_pct) for r in tables.rate_by(df, "c", "y", weight="w").collect())
+    assert got == {"1": None, "2": 0.0}
+    empty = spark.createDataFrame([], "s double, y int, w double")
+    r = profile.dataset_overview(empty, empty, "s", "y", "w", F.lit(0.5), 0).first()
+    assert r.valid_rows == 0 and r.pct_high is None
