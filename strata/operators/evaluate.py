@@ -26,7 +26,8 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2,
     ``row_number()`` within (label, prefix), a window over groups of about
     n / 16**prefix_len rows that reuses the join's hash partitioning.  The
     count table has at most ``classes x 16**prefix_len`` rows whatever the
-    data size.
+    data size.  Ids are record ids (unique): copies of one id would share a
+    hash and so one (label, prefix) group.
     """
     x = df.withColumn("_h", hash_key(id_col, seed)).withColumn(
         "_p", F.substring("_h", 1, prefix_len))
