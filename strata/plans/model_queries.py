@@ -161,3 +161,11 @@ def attribution_histogram(spark, d):
     top = attribution.driver_importance(attributions_long(spark, d), 1).first()["feature"]
     return tables.histogram(attributions_wide(spark, d), top, 40).withColumn(
         "feature", F.lit(top))
+
+
+@register("attribution_cluster_medians")
+def attribution_cluster_medians(spark, d):
+    """Median of each demographic column per attribution cluster (A20 on M16)."""
+    demos = [c for c in ("sex", "marstat", "prv", "famincg1") if c in FEATURES]
+    rows = split_frame(spark, d).select("pumfid", *demos).join(_attr_clusters(spark, d), "pumfid")
+    return tables.cluster_medians(rows, "cluster", demos)
