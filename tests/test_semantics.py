@@ -252,3 +252,19 @@ def test_zero_weight_group_and_empty_overview_do_not_raise(spark):
     empty = spark.createDataFrame([], "s double, y int, w double")
     r = profile.dataset_overview(empty, empty, "s", "y", "w", F.lit(0.5), 0).first()
     assert r.valid_rows == 0 and r.pct_high is None
+
+
+def test_intake_parsing_and_validation(spark):
+    from strata.streaming.intake import parse_intake
+    rows = [(1, "20", "Employed full-time", "Strong support", "2 years", ""),
+            (2, "n/a", "Employed part-time", "Some support", "6 months", None),
+            (3, "200", "Retired", "Little or no support", "26 weeks", None),
+            (4, "5", "Not currently employed", "Lots", "forever", None)]
+    df = spark.createDataFrame(rows, "intake_id long, care_hours string, employment_status string, "
+                                     "support_network string, care_duration string, notes string")
+    got = {r.intake_id: r for r in parse_intake(df).collect()}
+    assert got[1].valid and got[1].care_hours == 20.0 and got[1].duration_years == 2.0
+    assert got[2].errors == ["care_hours"] and got[2].duration_years == 0.5
+    assert sorted(got[3].errors) == ["care_hours", "employment_status"]
+    assert got[3].duration_years == 0.5 and got[3].support_code == 3
+    assert sorted(got[4].errors) == ["care_duration", "support_network"]
