@@ -181,21 +181,29 @@ def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
     return min(fits, key=lambda f: f[1])
 
 
-def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
-                 seed: int = 42, sample: int = 2000, threads: int | None = None) -> DataFrame:
-    """Per k: inertia of the best restart and its sampled silhouette.
-
-    All (k, restart) fits are submitted together to a pool of driver
-    threads, so Spark runs their small jobs concurrently across cores.
+def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
+                  final_restarts: int = 20, seed: int = 42, sample: int = 2000,
+                  threads: int | None = None):
+    """Sweep k, choose k by sampled silhouette, fit the final model.
+
+    Returns ``(sweep, k, model)``.  All (k, restart) fits are submitted
+    together to a pool of driver threads, so Spark runs their small jobs
+    concurrently across cores.  The final fit keeps the best of
+    ``final_restarts`` seeds at the chosen k; the first ``restarts`` of those
+    seeds are the sweep's fits on the same input and are reused, not refitted.
     """
+    spark = df.sparkSession
     data = _sized(df.select(id_col, vec), vec).select(
         id_col, vec, array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
-    jobs = [(k, r) for k in ks for r in range(restarts)]
-    threads = threads or _threads(df.sparkSession)
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        fits = list(ex.map(lambda kr: (kr[0],) + _fit(data, kr[0], seed + kr[1], 300, 1e-4),
-                           jobs))
-    best = {k: min((f[1:] for f in fits if f[0] == k), key=lambda f: f[1]) for k in ks}
+    threads = threads or _threads(spark)
+
+    def run(jobs):
+        with ThreadPoolExecutor(max_workers=threads) as ex:
+            return dict(zip(jobs, ex.map(
+                lambda kr: _fit(data, kr[0], seed + kr[1], 300, 1e-4), jobs)))
+
+    fits = run([(k, r) for k in ks for r in range(restarts)])
+    best = {k: min((fits[(k, r)] for r in range(restarts)), key=lambda f: f[1]) for k in ks}
     # the sample depends on ids only: draw it once, label it with each k's model
     smp = sample_rows(data, id_col, sample, seed).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -207,9 +215,23 @@ def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts:
         sils = dict(zip(ks, ex.map(sil, list(ks))))
     rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]))
             for k in ks]
+    sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+    scored = [r for r in rows if r[2] is not None]
+    k_best = (max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else rows[0][0])
+    model = None
+    if final_restarts:
+        fits.update(run([(k_best, r) for r in range(restarts, final_restarts)]))
+        model = min((fits[(k_best, r)] for r in range(final_restarts)), key=lambda f: f[1])[0]
     smp.unpersist()
     data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return sweep, k_best, model
+
+
+def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
+                 seed: int = 42, sample: int = 2000, threads: int | None = None) -> DataFrame:
+    """Per k: inertia of the best restart and its sampled silhouette."""
+    sweep, _, _ = kmeans_search(df, id_col, vec, ks, restarts, 0, seed, sample, threads)
+    return sweep
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from strata.operators import cluster
@@ -53,30 +54,31 @@ def _z(spark, d):
 _CACHE: dict = {}
 
 
-def _sweep(spark, d):
+def _search(spark, d):
     key = (spark.sparkContext.applicationId, d.rstrip("/"))
     if key not in _CACHE:
-        _CACHE[key] = cluster.kmeans_sweep(_z(spark, d), "vec_id", "z", range(2, 9),
-                                           RESTARTS_SWEEP)
+        _CACHE[key] = cluster.kmeans_search(_z(spark, d), "vec_id", "z", range(2, 9),
+                                            RESTARTS_SWEEP, RESTARTS_FINAL)
     return _CACHE[key]
 
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, d):
     """k = 2..8 with best-of-10 restarts: inertia and sampled silhouette."""
-    return _sweep(spark, d)
+    return _search(spark, d)[0]
 
 
 @register("choose_k")
 def choose_k(spark, d):
     """The k of the sweep with the largest silhouette."""
-    return cluster.choose_k(_sweep(spark, d))
+    return cluster.choose_k(_search(spark, d)[0])
 
 
 @register("assign_clusters")
 def assign_clusters(spark, d):
-    """Final k-means fit at the chosen k; cluster id per vector and cluster sizes."""
-    k = cluster.choose_k(_sweep(spark, d)).first()["k"]
-    rows, _ = cluster.assign_clusters(_z(spark, d), "vec_id", "z", k, RESTARTS_FINAL)
+    """Final k-means fit (best of 20 restarts) at the chosen k; cluster id per vector
+    and cluster sizes (M16)."""
+    _, _, model = _search(spark, d)
+    rows = model.transform(_z(spark, d).withColumn("_v", array_to_vector("z")))
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return rows.select("vec_id", "label", "cluster").join(sizes, "cluster")

@@ -8,6 +8,7 @@ AUC symmetry, every row at its nearest centroid).
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +129,8 @@ def _attr_clusters(spark, d) -> DataFrame:
         vec = wide.select("pumfid", F.array(*FEATURES).alias("phi"))
         z = cluster.standardize(vec, "phi", "z").select("pumfid", "z")
         z = materialize(z, "attribution-z")
-        sweep = cluster.kmeans_sweep(z, "pumfid", "z", range(2, 9), 10)
-        best = cluster.choose_k(sweep).first()["k"]
-        rows, _ = cluster.assign_clusters(z, "pumfid", "z", best, 20)
+        _, _, model = cluster.kmeans_search(z, "pumfid", "z", range(2, 9), 10, 20)
+        rows = model.transform(z.withColumn("_v", array_to_vector("z")))
         _CACHE[k] = cached(rows.select("pumfid", "cluster"))
     return _CACHE[k]
 
