@@ -160,6 +160,20 @@ def _sized(df: DataFrame, vec: str, target_mb: int = 64) -> DataFrame:
     return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
+def mllib_tolerance(df: DataFrame, vec: str, tol: float = 1e-4):
+    """k -> MLlib tolerance equivalent to a relative k-means tolerance.
+
+    The source's rule stops when the summed squared centre shift is at most
+    ``tol`` x mean per-dimension variance; MLlib stops when every centre
+    moves at most ``t``.  With ``t = sqrt(tol * mean_var / k)`` the MLlib stop
+    implies the source's (sum over k centres <= k * t^2).  The variance
+    comes from the per-dimension statistics (one row per dimension).
+    """
+    mean_var = dimension_stats(df, vec).agg(F.avg(F.col("std") * F.col("std"))).first()[0]
+    mean_var = mean_var or 1.0
+    return lambda k: math.sqrt(tol * mean_var / k)
+
+
 def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_v",
                 predictionCol="cluster")
@@ -174,7 +188,10 @@ def _threads(spark) -> int:
 
 def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
                      max_iter: int = 300, tol: float = 1e-4, threads: int | None = None):
-    """Fit ``restarts`` seeds (concurrent Spark jobs) and keep the lowest cost."""
+    """Fit ``restarts`` seeds (concurrent Spark jobs) and keep the lowest cost.
+
+    ``tol`` here is MLlib's absolute centre-shift tolerance.
+    """
     threads = threads or _threads(data.sparkSession)
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fits = list(ex.map(lambda r: _fit(data, k, seed + r, max_iter, tol), range(restarts)))
@@ -183,7 +200,7 @@ def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
 
 def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
                   final_restarts: int = 20, seed: int = 42, sample: int = 2000,
-                  threads: int | None = None):
+                  threads: int | None = None, tol: float = 1e-4):
     """Sweep k, choose k by sampled silhouette, fit the final model.
 
     Returns ``(sweep, k, model)``.  All (k, restart) fits are submitted
@@ -191,16 +208,18 @@ def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts
     concurrently across cores.  The final fit keeps the best of
     ``final_restarts`` seeds at the chosen k; the first ``restarts`` of those
     seeds are the sweep's fits on the same input and are reused, not refitted.
+    ``tol`` is the source's relative tolerance (see :func:`mllib_tolerance`).
     """
     spark = df.sparkSession
     data = _sized(df.select(id_col, vec), vec).select(
         id_col, vec, array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     threads = threads or _threads(spark)
+    tol_for = mllib_tolerance(data, vec, tol)
 
     def run(jobs):
         with ThreadPoolExecutor(max_workers=threads) as ex:
             return dict(zip(jobs, ex.map(
-                lambda kr: _fit(data, kr[0], seed + kr[1], 300, 1e-4), jobs)))
+                lambda kr: _fit(data, kr[0], seed + kr[1], 300, tol_for(kr[0])), jobs)))
 
     fits = run([(k, r) for k in ks for r in range(restarts)])
     best = {k: min((fits[(k, r)] for r in range(restarts)), key=lambda f: f[1]) for k in ks}
@@ -240,9 +259,12 @@ def choose_k(sweep: DataFrame) -> DataFrame:
 
 
 def assign_clusters(df: DataFrame, id_col: str, vec: str, k: int, restarts: int = 20,
-                    seed: int = 42):
-    """Final fit (best of restarts); returns (rows with ``cluster``, model)."""
+                    seed: int = 42, tol: float = 1e-4):
+    """Final fit (best of restarts); returns (rows with ``cluster``, model).
+
+    ``tol`` is the relative tolerance of the source (see :func:`mllib_tolerance`).
+    """
     data = _sized(df, vec).withColumn("_v", array_to_vector(vec)).persist(
         StorageLevel.MEMORY_AND_DISK)
-    model, _ = best_of_restarts(data, k, restarts, seed)
+    model, _ = best_of_restarts(data, k, restarts, seed, tol=mllib_tolerance(data, vec, tol)(k))
     return model.transform(data).drop("_v"), model
