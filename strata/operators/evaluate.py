@@ -139,3 +139,25 @@ def classification_report(df: DataFrame, label: str, pred: str, names=("Low", "H
                              d.alias("f1"), e.cast("long").alias("support"))
                     for a, b, cc, d, e in rows])
     return m.select(F.inline(arr))
+
+
+def train_validation_test(df: DataFrame, id_col: str, label: str, test: float = 0.2,
+                          validation: float = 0.2, seed: int = 42,
+                          early_stop_on: str = "validation") -> DataFrame:
+    """Add ``is_test`` and ``is_val`` flags for model fitting.
+
+    ``early_stop_on='validation'`` (default): exact stratified test share,
+    then an exact stratified validation share of the remaining rows; early
+    stopping watches validation, evaluation uses test.
+    ``early_stop_on='test'``: the source's parity, where the held-out test
+    rows also drive early stopping (``is_val = is_test``), which makes the
+    reported test metrics optimistic.
+    """
+    frame = stratified_split(df, id_col, label, test, seed, out="is_test")
+    if early_stop_on == "test":
+        return frame.withColumn("is_val", F.col("is_test"))
+    if early_stop_on != "validation":
+        raise ValueError(f"unknown early_stop_on {early_stop_on!r}")
+    train = frame.filter(~F.col("is_test"))
+    val = stratified_split(train, id_col, label, validation, seed + 1, out="is_val")
+    return val.unionByName(frame.filter(F.col("is_test")).withColumn("is_val", F.lit(False)))

@@ -22,6 +22,7 @@ from strata.sources.survey import cached
 FEATURES = list(SPEC.features)
 COMPOSITES = SPEC.composites
 CONFIG = BoostConfig()
+EARLY_STOP_ON = "validation"   # "test" reproduces the source's optimistic protocol (T17)
 _CACHE: dict = {}
 
 
@@ -38,11 +39,8 @@ def split_frame(spark, d) -> DataFrame:
     """
     k = _key(spark, d, "split")
     if k not in _CACHE:
-        base = adf(spark, d)
-        frame = evaluate.stratified_split(base, "pumfid", LABEL, 0.2, 42, out="is_test")
-        train = frame.filter(~F.col("is_test"))
-        val = evaluate.stratified_split(train, "pumfid", LABEL, 0.2, 43, out="is_val")
-        out = val.unionByName(frame.filter(F.col("is_test")).withColumn("is_val", F.lit(False)))
+        out = evaluate.train_validation_test(adf(spark, d), "pumfid", LABEL, 0.2, 0.2, 42,
+                                             EARLY_STOP_ON)
         _CACHE[k] = materialize(out, "model-split")
     return _CACHE[k]
 
@@ -51,7 +49,9 @@ def trained(spark, d):
     """Model fitted on train rows, early-stopped on the validation rows (cached)."""
     k = _key(spark, d, "model")
     if k not in _CACHE:
-        fit_rows = split_frame(spark, d).filter(~F.col("is_test"))
+        frame = split_frame(spark, d)
+        # parity mode: the test rows are the validation rows of the fit
+        fit_rows = frame if EARLY_STOP_ON == "test" else frame.filter(~F.col("is_test"))
         _CACHE[k] = fit_boosted(fit_rows, FEATURES, LABEL, SPEC.weight_col, "is_val", CONFIG,
                                 COMPOSITES)
     return _CACHE[k]

@@ -155,3 +155,15 @@ def test_auc_single_class_is_null_not_error(spark):
     df = spark.createDataFrame([(1, 0.3, 1), (2, 0.5, 1)], "id long, s double, y int")
     assert evaluate.roc_auc(df, "s", "y").first().auc is None
     assert [r.fpr for r in evaluate.roc_curve(df, "s", "y").collect()] == [None, None]
+
+
+def test_train_validation_test_modes(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, rnd.randint(0, 1)) for i in range(1000)], "id long, y int")
+    three = evaluate.train_validation_test(df, "id", "y")
+    r = three.agg(F.sum(F.col("is_test").cast("int")).alias("t"),
+                  F.sum(F.col("is_val").cast("int")).alias("v"),
+                  F.sum((F.col("is_test") & F.col("is_val")).cast("int")).alias("both")).first()
+    assert r.t == 200 and 155 <= r.v <= 165 and r.both == 0
+    parity = evaluate.train_validation_test(df, "id", "y", early_stop_on="test")
+    assert parity.filter(F.col("is_test") != F.col("is_val")).count() == 0
