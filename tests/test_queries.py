@@ -86,3 +86,22 @@ def test_beeswarm_and_cluster_driver_shapes(spark, entry_module):
         by.setdefault(x.cluster, []).append(x["rank"])
     assert by and all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 10
                       for v in by.values())
+
+
+def test_filter_commutes_with_decode_and_bracket_shares_add_up(spark):
+    from strata.operators import clean, decode, tables
+    from strata.plans import survey_queries as SQ
+    from strata.spec import EXPENSE_RANGES
+    frame = SQ.adf(spark, SF_SMALL)
+    codes = SQ.demo_codes(spark, SF_SMALL)
+    a = decode.decode(clean.filter_population(frame, {"sex": 1}), "prv", codes)
+    b = clean.filter_population(decode.decode(frame, "prv", codes), {"sex": 1})
+    key = ["pumfid", "prv", "prv_label"]
+    assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+    exp = list(SQ.SPEC.expenses)
+    br = tables.bracket_distribution(frame, exp, SQ.LABEL, EXPENSE_RANGES).collect()
+    for col in exp:
+        rows = [r for r in br if r.variable == col]
+        answered = frame.filter(F.col(col).isNotNull()).count()
+        assert sum(r.n for r in rows) == answered
+        assert abs(sum(r.pct_answers for r in rows) - 100.0) <= 0.05 * len(rows) + 1e-9
