@@ -268,3 +268,28 @@ def test_intake_parsing_and_validation(spark):
     assert sorted(got[3].errors) == ["care_hours", "employment_status"]
     assert got[3].duration_years == 0.5 and got[3].support_code == 3
     assert sorted(got[4].errors) == ["care_duration", "support_network"]
+
+
+def test_labels_presence_and_leak_guards(spark, tmp_path):
+    # S2, Q8, Q9, P2, P3, S6
+    from strata.sources.survey import column_labels, with_labels, write_tables
+    df = spark.createDataFrame([(1, 2, 3, 4.0)], "pumfid long, sex int, wtbs_001 int, w double")
+    labelled = with_labels(df, {"sex": "Sex", "missing": "x"})
+    assert column_labels(labelled) == {"sex": "Sex"}
+    present, missing = clean.column_presence(df, ["sex", "vismin", "pumfid"])
+    assert present == ["sex", "pumfid"] and missing == ["vismin"]
+    assert clean.select_available(df, ["sex", "vismin", "pumfid"]).columns == ["sex", "pumfid"]
+    assert "wtbs_001" not in clean.drop_prefix(df, ["WTBS_"]).columns
+    assert clean.drop_columns(df, exact=["w"], prefixes=["wt"]).columns == ["pumfid", "sex"]
+    spec = SurveySpec(id_col="pumfid", weight_col="w", features=("sex", "ics_40"),
+                      strain_items=("ics_40",), strain_recode=None, fwa_pos=(), fwa_neg="",
+                      ite_pos=(), ite_neg="")
+    leaky = df.withColumn("ics_40", F.lit(1))
+    try:
+        clean.split_roles(leaky, spec)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("label item among features must raise")
+    paths = write_tables({"t": df}, str(tmp_path / "out"), "csv")
+    assert spark.read.option("header", True).csv(paths[0]).count() == 1
