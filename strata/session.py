@@ -93,3 +93,28 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(base, "zip", os.path.dirname(pkg), "strata")
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+# Settings for a large cluster (100 TB class inputs).  Partition sizes are
+# set in bytes, not counts, so they hold at any scale; AQE then coalesces
+# small shuffle partitions and splits skewed ones at run time.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",   # target shuffle partition
+    "spark.sql.shuffle.partitions": "8000",     # upper bound; AQE coalesces by size
+    "spark.sql.files.maxPartitionBytes": "256m",                 # scan split size
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",   # size-estimated broadcast ceiling
+    "spark.sql.constraintPropagation.enabled": "false",  # wide CASE plans (see get_spark)
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",  # mapInPandas batch size
+}
+
+
+def with_cluster_conf(builder):
+    """Apply :data:`CLUSTER_CONF` to a ``SparkSession.builder`` (cluster jobs)."""
+    for k, v in CLUSTER_CONF.items():
+        builder = builder.config(k, v)
+    return builder
