@@ -25,8 +25,10 @@ SECTIONS = (
 
 def run_report(spark, sf_dir: str, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
     from strata.sources.survey import write_tables
+    # building the sections fills the shared results (analysis table, model,
+    # attributions) one after another; the writes then run concurrently
     tables = {name: QUERIES[name](spark, sf_dir) for name in SECTIONS}
-    paths = write_tables(tables, out_dir, fmt)
+    paths = write_tables(tables, out_dir, fmt, parallel=4)
     return dict(zip(SECTIONS, paths))
 
 

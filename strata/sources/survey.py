@@ -43,17 +43,27 @@ def column_labels(df: DataFrame) -> dict:
     return {f.name: f.metadata.get("label") for f in df.schema.fields if f.metadata.get("label")}
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
-    """Persist report tables, one folder per table, overwriting."""
-    out = []
-    for name, df in tables.items():
+def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
+                 parallel: int = 1) -> list[str]:
+    """Persist report tables, one folder per table, overwriting.
+
+    With ``parallel`` > 1 the independent writes run as concurrent Spark
+    jobs (small report tables leave most cores idle one at a time).
+    """
+    def write(item):
+        name, df = item
         target = f"{path.rstrip('/')}/{name}"
         w = df.write.mode("overwrite")
         if fmt == "csv":
             w = w.option("header", True)
         w.format(fmt).save(target)
-        out.append(target)
-    return out
+        return target
+
+    if parallel <= 1:
+        return [write(it) for it in tables.items()]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel) as ex:
+        return list(ex.map(write, tables.items()))
 
 
 def cached(df: DataFrame) -> DataFrame:
