@@ -17,7 +17,6 @@ from strata.operators.boost import BoostConfig, fit_boosted, score
 from strata.plans.registry import register
 from strata.plans.survey_queries import LABEL, SPEC, adf
 from strata.session import materialize
-from strata.sources.survey import cached
 
 FEATURES = list(SPEC.features)
 COMPOSITES = SPEC.composites
@@ -63,12 +62,14 @@ def test_scores(spark, d) -> DataFrame:
 
 
 def attributions_wide(spark, d) -> DataFrame:
-    """Attributions of every scored row, kept for the queries that share them."""
+    """Attributions of every scored row, written once as a table in the shared
+    folder: every driver table reads them, and a lost executor re-reads files
+    instead of re-running the attribution stage."""
     k = _key(spark, d, "attr")
     if k not in _CACHE:
         frame = split_frame(spark, d)
-        _CACHE[k] = cached(attribution.attribute(trained(spark, d), frame, "pumfid", FEATURES,
-                                                 COMPOSITES))
+        _CACHE[k] = materialize(attribution.attribute(trained(spark, d), frame, "pumfid",
+                                                      FEATURES, COMPOSITES), "attributions")
     return _CACHE[k]
 
 
@@ -131,7 +132,7 @@ def _attr_clusters(spark, d) -> DataFrame:
         z = materialize(z, "attribution-z")
         _, _, model = cluster.kmeans_search(z, "pumfid", "z", range(2, 9), 10, 20)
         rows = model.transform(z.withColumn("_v", array_to_vector("z")))
-        _CACHE[k] = cached(rows.select("pumfid", "cluster"))
+        _CACHE[k] = materialize(rows.select("pumfid", "cluster"), "attribution-clusters")
     return _CACHE[k]
 
 
