@@ -124,3 +124,9 @@ def test_intake_stream_restarts_from_its_checkpoint(spark, tmp_path):
     assert both.select("intake_id").distinct().count() == rows.count()
     assert sorted(map(tuple, both.select(*key).collect())) == \
         sorted(map(tuple, batch.select(*key).collect()))
+
+
+def test_every_rows_only_query_runs(spark, entry_module):
+    q, o = entry_module.queries(), entry_module.oracle_sql()
+    counts = {name: fn(spark, SF_SMALL).count() for name, fn in q.items() if name not in o}
+    assert all(n > 0 for n in counts.values()), counts
