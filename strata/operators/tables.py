@@ -70,18 +70,28 @@ def rate_by(df: DataFrame, col: str, label: str, codes: DataFrame | None = None,
     return out.orderBy(F.desc(names[2]), F.col(names[0]))
 
 
-def rate_by_all(df: DataFrame, cols, label: str, codes: DataFrame | None = None) -> DataFrame:
-    """A1 over several columns in one job: (variable, category, n, high_pct)."""
+def rate_by_all(df: DataFrame, cols, label: str, codes: DataFrame | None = None,
+                weight: str | None = None) -> DataFrame:
+    """A1 over several columns in one job: (variable, category, n, high_pct).
+
+    One ``unpivot`` feeds a single partially aggregated group-by over
+    (variable, code); optional ``weight`` as in :func:`rate_by`.
+    """
     cols = [c for c in cols if c in df.columns]
-    long = (df.select(*[F.col(c).cast("int").alias(c) for c in cols], F.col(label).alias("_y"))
-            .unpivot(["_y"], cols, "variable", "value")
-            .filter(F.col("value").isNotNull() & F.col("_y").isNotNull()))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    long = (df.select(*[F.col(c).cast("int").alias(c) for c in cols], F.col(label).alias("_y"),
+                      w.alias("_w"))
+            .unpivot(["_y", "_w"], cols, "variable", "value")
+            .filter(F.col("value").isNotNull() & F.col("_y").isNotNull()
+                    & F.col("_w").isNotNull()))
     g = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_n"),
-                                              F.sum("_y").alias("_s"))
+                                              F.sum(F.col("_y") * F.col("_w")).alias("_s"),
+                                              F.sum("_w").alias("_sw"))
     d = _decode_grouped(g, codes, None, "variable")
     out = (d.groupBy("variable", "category")
-           .agg(F.sum("_n").alias("n"), F.sum("_s").alias("_s"))
-           .select("variable", "category", "n", pct(F.col("_s") / F.col("n")).alias("high_pct")))
+           .agg(F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_sw").alias("_sw"))
+           .select("variable", "category", "n",
+                   pct(F.try_divide(F.col("_s"), F.col("_sw"))).alias("high_pct")))
     return out.orderBy("variable", F.desc("high_pct"), "category")
 
 

@@ -293,3 +293,14 @@ def test_labels_presence_and_leak_guards(spark, tmp_path):
         raise AssertionError("label item among features must raise")
     paths = write_tables({"t": df}, str(tmp_path / "out"), "csv")
     assert spark.read.option("header", True).csv(paths[0]).count() == 1
+
+
+def test_rate_by_all_matches_rate_by_per_column(spark):
+    df = spark.createDataFrame([(1, 2, 1, 2.0), (1, 3, 0, 1.0), (2, 2, 1, 1.0), (None, 3, 1, 5.0)],
+                               "a int, b int, y int, w double")
+    for weight in (None, "w"):
+        allv = {(r.variable, r.category): (r.n, r.high_pct)
+                for r in tables.rate_by_all(df, ["a", "b"], "y", weight=weight).collect()}
+        for col in ("a", "b"):
+            for r in tables.rate_by(df, col, "y", weight=weight).collect():
+                assert allv[(col, r.category)] == (r.n, r.high_pct)
