@@ -80,12 +80,14 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``strata`` importable in executor Python workers (once per context).
 
-    Local mode workers share the driver's import path; on a cluster the
-    package is zipped and added with ``addPyFile``, the public equivalent of
-    ``--py-files``, before the first Python-backed stage (mapInPandas).
+    Python workers do not see ``sys.path`` changes of the driver (not even in
+    local mode, where they only find the package when the driver happens to
+    run from the repository root), so the package is zipped and added with
+    ``addPyFile``, the public equivalent of ``--py-files``, before the first
+    Python-backed stage (mapInPandas).
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or sc.master.startswith("local"):
+    if sc.applicationId in _SHIPPED:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
