@@ -77,7 +77,7 @@ def coded_columns() -> list[str]:
 
 
 # Bump when the SELECT above changes so stale written copies are not reused.
-CODED_VERSION = 2
+CODED_VERSION = 3
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -96,22 +96,25 @@ def load_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     Parquet into the shared checkpoint folder and read back through
     :func:`strata.sources.survey.read_microdata`, so scans, pruning and
     pushed filters act on stored columns as they would on the real file.
+    Each writer uses its own ``data-<uuid>`` folder and then rewrites a small
+    pointer table naming it; readers follow the pointer and no data folder is
+    ever deleted, so concurrent sessions never read a half-overwritten table.
     """
+    import uuid
+
     from strata.session import scratch_path
     from strata.sources.survey import read_microdata
 
     slug = hashlib.md5(f"{CODED_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:16]
-    path = scratch_path(spark, f"coded-{slug}")
-    key = (path, spark.sparkContext.applicationId)
+    base = scratch_path(spark, f"coded-{slug}")
+    key = (base, spark.sparkContext.applicationId)
     if key not in _WRITTEN:
         try:
-            spark.read.parquet(f"{path}/_SUCCESS_MARKER")
-            ok = True
-        except Exception:  # noqa: BLE001  (marker absent -> write the table)
-            ok = False
-        if not ok:
-            coded_frame(spark, sf_dir).write.mode("overwrite").parquet(f"{path}/data")
-            spark.createDataFrame([(CODED_VERSION,)], "v int").write.mode("overwrite") \
-                .parquet(f"{path}/_SUCCESS_MARKER")
-        _WRITTEN[key] = path
-    return read_microdata(spark, f"{path}/data")
+            data = spark.read.parquet(f"{base}/pointer").first()["path"]
+        except Exception:  # noqa: BLE001  (no pointer yet -> write the table)
+            data = f"{base}/data-{uuid.uuid4().hex}"
+            coded_frame(spark, sf_dir).write.parquet(data)
+            spark.createDataFrame([(data,)], "path string").coalesce(1).write \
+                .mode("overwrite").parquet(f"{base}/pointer")
+        _WRITTEN[key] = data
+    return read_microdata(spark, _WRITTEN[key])
