@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from strata.llm import quality, tokens, urls
+from strata.llm import jaccard, quality, tokens, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.query,
     "op3_url_filters": urls.query,
     "op5_token_counts": tokens.query,
     "op8_quality_rules": quality.query,
 }
 
 ORACLE = {
+    "op1_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op3_url_filters": urls.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
 }
