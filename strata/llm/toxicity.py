@@ -41,12 +41,12 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 class Settings:
     """Learning rate, its offset, L1 and L2 strength, passes over the sample."""
 
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 3.0
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.0
     passes: int = 3
-    train_rows: int = 10_000
+    train_rows: int = 16_000
 
 
 def features(text: str | None) -> np.ndarray:
