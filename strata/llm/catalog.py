@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from strata.llm import decontaminate, jaccard, quality, tokens, toxicity, urls
+from strata.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
     "op3_url_filters": urls.query,
     "op5_token_counts": tokens.query,
     "op6_toxicity": toxicity.query,
+    "op7_mixing_sources": mixing.query,
     "op8_quality_rules": quality.query,
     "op9_benchmark_decontamination": decontaminate.query,
+    "op10_pii": pii.query,
 }
 
 ORACLE = {
