@@ -31,7 +31,7 @@ read whole; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import byte_words, documents, prepare, written
 from strata.llm.components import connected_components
 
-SKETCH_BITS = 20      # counters of the order's sketch: 2 ** SKETCH_BITS, sent out as one byte each
-CHUNK = 4096          # counters in one row while they are added up
+SKETCH_BITS = (16, 25)    # the order's sketch has 2 ** 16 to 2 ** 25 counters, sent out as one byte each
+BYTES_PER_COUNTER = 96    # bytes of text for one counter
+CHUNK = 1 << 16           # counters in one row while they are added up
 FAN_IN = 256          # rows added in one group on each of the two levels
 PARITY = 4            # 64-bit words of the parity sketch
 BLOOM_WORDS = 1 << 16     # 64-bit words of the filter for texts to read again
@@ -76,49 +77,59 @@ def _difference(n: Column, m: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (n + m) / F.lit(100 + percent))
 
 
-def frequency_levels(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> bytes:
-    """log2 of each counter: one byte for each of ``2 ** bits`` counters.
+def frequency_levels(docs: DataFrame, n: int) -> tuple[int, bytes]:
+    """Bits of the sketch and the level of each of its ``2 ** bits`` counters.
 
-    Every task counts its shingles by their leading bits; the partial counts
-    are added in two levels of bounded groups.  Only the counters, whose number
-    is fixed, come to the driver.
+    The sketch grows with the text, so that rare shingles tell apart at any
+    size below its bound.  Every task counts its shingles by their leading
+    bits (up to 255 each); the partial counts are added in two levels of
+    bounded groups.  Only the counters, at most 32 MB, come to the driver.
     """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((total // BYTES_PER_COUNTER).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     size = 1 << bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint16)
         for b in batches:
             for text in b["text"]:
                 s = shingles(text, n)
-                if len(s):
-                    at, c = np.unique(s >> np.uint64(64 - bits), return_counts=True)
-                    total[at.astype(np.int64)] += c
+                if len(s):      # they are sorted, so equal leading bits are neighbours
+                    at = (s >> np.uint64(64 - bits)).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    c = np.diff(np.r_[first, len(at)])
+                    at = at[first]
+                    total[at] = np.minimum(total[at].astype(np.int64) + c, 255)
         part = TaskContext.get().partitionId()
         for k in range(0, size, CHUNK):
             if total[k:k + CHUNK].any():
-                yield pd.DataFrame({"chunk": [k // CHUNK], "part": [part], "counts": [total[k:k + CHUNK].tobytes()]})
+                yield pd.DataFrame({"chunk": [k // CHUNK], "part": [part], "counts": [total[k:k + CHUNK].astype(np.uint8).tobytes()]})
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, dtype=np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, dtype=np.int64)
-        return pd.DataFrame({"chunk": rows["chunk"][:1], "part": rows["part"][:1] // FAN_IN, "counts": [total.tobytes()]})
+    def add(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(min(size, CHUNK), dtype=np.uint32)
+            for c in rows["counts"]:
+                total += np.frombuffer(c, dtype=kind)
+            return pd.DataFrame({"chunk": rows["chunk"][:1], "part": rows["part"][:1] // FAN_IN, "counts": [total.tobytes()]})
+        return run
 
     schema = "chunk int, part int, counts binary"
     counts = docs.select("text").mapInPandas(count, schema)
-    counts = counts.groupBy("chunk", F.floor(F.col("part") / FAN_IN).alias("g")).applyInPandas(add, schema)
-    counts = counts.groupBy("chunk").applyInPandas(add, schema)
-    out = np.zeros(size, dtype=np.int64)
+    counts = counts.groupBy("chunk", F.floor(F.col("part") / FAN_IN).alias("g")).applyInPandas(add(np.uint8), schema)
+    counts = counts.groupBy("chunk").applyInPandas(add(np.uint32), schema)
+    out = np.zeros(size, dtype=np.uint32)
     for r in counts.select("chunk", "counts").collect():     # size / CHUNK rows
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, dtype=np.int64)
-    return np.ceil(np.log2(out + 1)).astype(np.uint8).tobytes()
+        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, dtype=np.uint32)
+    high = np.minimum(128 + 8 * np.log2(np.maximum(out, 128) / 128), 255)
+    return bits, np.where(out < 128, out, high).astype(np.uint8).tobytes()
 
 
 def set_features(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, n, set_key, prefix, parity`` of each document."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
+    bits, counters = frequency_levels(docs, n)
+    levels = spark.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = np.frombuffer(levels.value, dtype=np.uint8)
@@ -131,7 +142,7 @@ def set_features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     continue
                 # the hash's lowest bits place a shingle in the parity sketch
                 flips = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-                order = np.lexsort((s, level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                order = np.lexsort((s, level[(s >> np.uint64(64 - bits)).astype(np.int64)]))
                 rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                              s[order[:prefix_size(len(s), percent)]].view(np.int64),
                              np.packbits(flips.astype(np.uint8)).view(np.int64)))
