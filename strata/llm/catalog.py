@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity, urls
+from strata.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
     "op3_url_filters": urls.query,
+    "op4_warc": warc.query,
     "op5_token_counts": tokens.query,
     "op6_toxicity": toxicity.query,
     "op7_mixing_sources": mixing.query,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op1_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op3_url_filters": urls.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
 }
