@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity, urls, warc
+from strata.llm import decontaminate, jaccard, licenses, mixing, pii, quality, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
+    "op2_license_scans": licenses.query,
     "op3_url_filters": urls.query,
     "op4_warc": warc.query,
     "op5_token_counts": tokens.query,
