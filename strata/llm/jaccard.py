@@ -10,7 +10,8 @@ links connect.
   A set enters the lists of its prefix, the ``n - ceil(percent n / 100) + 1``
   first shingles, with its size and position: linked sets share a list.
 * Skipping by position.  Lists are cut in blocks by size class and by near or
-  far position.  The first shared shingle of linked sets lies at positions
+  far position; a set enters the block of its own class, and as a guest those
+  of larger sets that it may link to.  The first shared shingle of linked sets lies at positions
   i and j with ``i + j <= D``, where D bounds the sets' difference; so two far
   entries are never compared, nor blocks whose sizes can't link.
 * Answers of a similar set.  The first set of each list is its leader.  All
@@ -31,6 +32,8 @@ read whole; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +48,7 @@ SKETCH_BITS = (16, 25)    # the order's sketch has 2 ** 16 to 2 ** 25 counters,
 BYTES_PER_COUNTER = 96    # bytes of text for one counter
 CHUNK = 1 << 16           # counters in one row while they are added up
 FAN_IN = 256          # rows added in one group on each of the two levels
+SIZE_RATIO = 1.4      # largest to smallest size of a block
 PARITY = 4            # 64-bit words of the parity sketch
 BLOOM_WORDS = 1 << 16     # 64-bit words of the filter for texts to read again
 
@@ -104,14 +108,14 @@ def frequency_levels(docs: DataFrame, n: int) -> tuple[int, bytes]:
         part = TaskContext.get().partitionId()
         for k in range(0, size, CHUNK):
             if total[k:k + CHUNK].any():
-                yield pd.DataFrame({"chunk": [k // CHUNK], "part": [part], "counts": [total[k:k + CHUNK].astype(np.uint8).tobytes()]})
+                yield pd.DataFrame({"chunk": [k // CHUNK], "part": [part], "counts": [zlib.compress(total[k:k + CHUNK].astype(np.uint8).tobytes(), 1)]})
 
     def add(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(min(size, CHUNK), dtype=np.uint32)
             for c in rows["counts"]:
-                total += np.frombuffer(c, dtype=kind)
-            return pd.DataFrame({"chunk": rows["chunk"][:1], "part": rows["part"][:1] // FAN_IN, "counts": [total.tobytes()]})
+                total += np.frombuffer(zlib.decompress(c), dtype=kind)
+            return pd.DataFrame({"chunk": rows["chunk"][:1], "part": rows["part"][:1] // FAN_IN, "counts": [zlib.compress(total.tobytes(), 1)]})
         return run
 
     schema = "chunk int, part int, counts binary"
@@ -120,7 +124,7 @@ def frequency_levels(docs: DataFrame, n: int) -> tuple[int, bytes]:
     counts = counts.groupBy("chunk").applyInPandas(add(np.uint32), schema)
     out = np.zeros(size, dtype=np.uint32)
     for r in counts.select("chunk", "counts").collect():     # size / CHUNK rows
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, dtype=np.uint32)
+        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
     high = np.minimum(128 + 8 * np.log2(np.maximum(out, 128) / 128), 255)
     return bits, np.where(out < 128, out, high).astype(np.uint8).tobytes()
 
@@ -200,6 +204,10 @@ def checked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str)
                    f"{name}-checked")
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_RATIO) + 1e-9).cast("int")
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Size and position bounds of two entries of one list."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -221,18 +229,20 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
                       .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies")), "classes")
     first = features.filter("n > 0").join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
-    # index lists with at least two sets
-    far = 2 * F.col("pos") > _difference(F.col("n"), F.col("n"), percent)
-    entries = first.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # blocks of index lists with at least two sets: one key per shingle and size class
+    own = _size_class(F.col("n"))
+    blocks = F.sequence(own, _size_class(F.floor(100 * F.col("n") / F.lit(percent))))
+    entries = first.select("doc_id", "n", "prefix", F.explode(blocks).alias("block")).select(
+        "doc_id", "n", (F.col("block") == own).alias("own"), "block", F.posexplode("prefix").alias("pos", "token")).select(
+        F.xxhash64("token", "block").alias("token"), "doc_id", "n", "pos", "own")
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
-    lists = written(entries.join(shared, "token", "left_semi").select(
-        "*", far.alias("far"),
-        F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).alias("size_class")), "lists")
+    far = 2 * F.col("pos") > _difference(F.col("n"), F.col("n"), percent)
+    lists = written(entries.join(shared, "token", "left_semi").withColumn("far", far), "lists")
 
     # leaders first
-    leaders = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("l")).select("token", "l.*")
+    leaders = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos", "own")).alias("l")).select("token", "l.*")
     led = lists.alias("x").join(leaders.alias("l"), "token").filter(
-        (F.col("x.doc_id") > F.col("l.doc_id")) & _may_link("x", "l", percent))
+        (F.col("x.doc_id") > F.col("l.doc_id")) & (F.col("x.own") | F.col("l.own")) & _may_link("x", "l", percent))
     pairs = led.select(F.col("l.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
     parity = first.select("doc_id", "n", "parity").distinct()
     pairs = _parity_join(pairs, parity, percent)
@@ -249,15 +259,12 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     rest = lists.join(known, "doc_id")
     open_lists = rest.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
     rest = written(rest.join(open_lists, "token", "left_semi"), "open-lists")
-    probe = rest.filter("not far").withColumn("size_class", F.explode(F.array(
-        F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
-    x, y = F.col, F.col
-    bound = (F.coalesce(x("x.leader") != y("y.leader"), F.lit(True))
-             | (F.abs(x("x.apart") - y("y.apart")) <= _difference(x("x.n"), y("y.n"), percent)))
-    met_in_list = probe.alias("x").join(rest.alias("y"), (x("x.token") == y("y.token"))
-                                        & (x("x.size_class") == y("y.size_class"))
-                                        & (x("x.group") != y("y.group"))
-                                        & (y("y.far") | (x("x.doc_id") < y("y.doc_id")))
+    c = F.col
+    bound = (F.coalesce(c("x.leader") != c("y.leader"), F.lit(True))
+             | (F.abs(c("x.apart") - c("y.apart")) <= _difference(c("x.n"), c("y.n"), percent)))
+    met_in_list = rest.filter("not far").alias("x").join(rest.alias("y"), (c("x.token") == c("y.token"))
+                                        & (c("x.group") != c("y.group")) & (c("x.own") | c("y.own"))
+                                        & (c("y.far") | (c("x.doc_id") < c("y.doc_id")))
                                         & _may_link("x", "y", percent) & bound
                                         & _parity_near("x", "y", percent))
     more = met_in_list.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
