@@ -11,26 +11,30 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from strata.operators.evaluate import sample_rows
-from strata.session import ship_package
 
 
 # ------------------------------------------------------------------ M12
 
 def dimension_stats(df: DataFrame, vec: str) -> DataFrame:
-    """Per-dimension mean and population std (one row per dimension)."""
-    long = df.select(F.posexplode(vec).alias("dim", "x"))
-    return long.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"),
-                                   F.stddev_pop(F.col("x").cast("double")).alias("std"))
+    """Per-dimension mean and population std (one row per dimension).
+
+    One pass over the vectors as they are; the summarizer's sample variance
+    is rescaled to the population's.
+    """
+    double = F.transform(vec, lambda x: x.cast("double"))
+    m = df.filter(F.col(vec).isNotNull()).select(Summarizer.metrics("mean", "variance", "count").summary(
+        array_to_vector(double)).alias("m"))
+    n = F.col("m.count")
+    arrays = m.select(F.posexplode(F.arrays_zip(vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"))), n.alias("n"))
+    return arrays.select(F.col("pos").alias("dim"), F.col("col.mean").alias("mean"),
+                         F.sqrt(F.col("col.var") * (F.col("n") - 1) / F.col("n")).alias("std"))
 
 
 def standardize(df: DataFrame, vec: str, out: str = "z") -> DataFrame:
@@ -71,95 +75,28 @@ def apply_scaler(df: DataFrame, vec: str, scaler: dict, out: str = "z") -> DataF
 
 # ------------------------------------------------------------------ M14
 
-def _silhouette_rows(sample: pd.DataFrame, vec: str, cluster: str, chunk: int = 64):
-    """Task function: silhouette of each incoming point against the whole sample."""
-    pts = np.stack(sample[vec].to_numpy()).astype(np.float64)
-    lab = sample[cluster].to_numpy()
-    ids = sample["_sid"].to_numpy()
-    labels, inv, counts = np.unique(lab, return_inverse=True, return_counts=True)
-    onehot = np.zeros((len(lab), len(labels)))
-    onehot[np.arange(len(lab)), inv] = 1.0
-    index = {v: i for i, v in enumerate(labels)}
-
-    def fn(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            own = np.array([index[v] for v in pdf[cluster].to_numpy()])
-            sid = pdf["_sid"].to_numpy()
-            out = np.zeros(len(pdf))
-            for lo in range(0, len(pdf), chunk):
-                xs = x[lo:lo + chunk]
-                d = np.sqrt(((xs[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
-                d[sid[lo:lo + chunk, None] == ids[None, :]] = 0.0
-                sums = d @ onehot                       # (rows, clusters)
-                n = np.broadcast_to(counts.astype(np.float64), sums.shape).copy()
-                o = own[lo:lo + chunk]
-                n[np.arange(len(o)), o] -= 1.0          # exclude the point itself
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    means = sums / n
-                a = means[np.arange(len(o)), o]
-                other = means.copy()
-                other[np.arange(len(o)), o] = np.inf
-                b = other.min(axis=1)
-                denom = np.maximum(a, b)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sv = np.where(denom > 0, (b - a) / denom, 0.0)
-                sv[n[np.arange(len(o)), o] == 0] = 0.0    # singleton cluster
-                out[lo:lo + chunk] = sv
-            yield pd.DataFrame({"s": out})
-    return fn
-
-
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, sample: int = 2000,
-               seed: int = 42, partitions: int = 8) -> DataFrame:
-    """Mean Euclidean silhouette on a seeded sample of at most ``sample`` rows.
-
-    The sample (bounded by ``sample`` x vector length) is broadcast to the
-    tasks of a ``mapInPandas`` over the same sample rows, each task scoring
-    its share of points against all sampled points.  No cross join is
-    planned.  For all rows use :func:`silhouette_full`.
-    """
-    smp = sample_rows(df.select(id_col, vec, cluster), id_col, sample, seed)
-    return sampled_silhouette(smp, id_col, vec, cluster, partitions)
+def _score(df: DataFrame, cluster: str) -> float | None:
+    """Silhouette of rows with a vector ``_v``; None with fewer than two clusters."""
+    labels = df.filter(F.col(cluster).isNotNull()).select(F.col(cluster).cast("double").alias("_c"), "_v")
+    if len(labels.select("_c").distinct().limit(2).collect()) < 2:
+        return None
+    return ClusteringEvaluator(featuresCol="_v", predictionCol="_c").evaluate(labels)
 
 
-def sampled_silhouette(smp: DataFrame, id_col: str, vec: str, cluster: str,
-                       partitions: int = 8) -> DataFrame:
-    """Silhouette of an already drawn (bounded) sample with cluster labels."""
-    ship_package(smp.sparkSession)
-    smp = smp.withColumn("_sid", F.col(id_col))
-    local = smp.toPandas()  # bounded: the sample
-    if local.empty or local[cluster].nunique() < 2:
-        return smp.sparkSession.createDataFrame([(None,)], "silhouette double")
-    fn = _silhouette_rows(local, vec, cluster)
-    per = (smp.repartition(partitions, "_sid")
-           .mapInPandas(fn, T.StructType([T.StructField("s", T.DoubleType())])))
-    return per.agg(F.avg("s").alias("silhouette"))
+def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
+    """Mean silhouette of all rows, from squared Euclidean distances.
 
-
-def silhouette_full(df: DataFrame, vec: str, cluster: str) -> float:
-    """Silhouette over all rows with MLlib (squared Euclidean, distributed)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    v = df.withColumn("_v", array_to_vector(vec)).withColumn("_c", F.col(cluster).cast("double"))
-    return ClusteringEvaluator(featuresCol="_v", predictionCol="_c").evaluate(v)
+    MLlib needs one pass for each cluster's count, vector sum and sum of
+    squared norms, and one that scores every row against these, so the work
+    is rows x clusters however many rows there are.  Rows without a cluster
+    don't count; with fewer than two clusters the value is NULL.
+    """
+    value = _score(df.select(array_to_vector(vec).alias("_v"), F.col(cluster).alias("cluster")), "cluster")
+    return df.sparkSession.createDataFrame([(value,)], "silhouette double")
 
 
 # ------------------------------------------------------------------ M13, M15, M16
 
-def _sized(df: DataFrame, vec: str, target_mb: int = 64) -> DataFrame:
-    """About ``target_mb`` of vectors per partition for the iterative fits.
-
-    Each k-means iteration is a job over every partition; tiny partitions
-    cost scheduling, not compute.  Small inputs are coalesced (no shuffle);
-    large inputs keep their partitioning.
-    """
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    want = max(1, math.ceil((st["n"] or 0) * ((st["d"] or 1) * 8 + 32) / (target_mb << 20)))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
-
-
 def mllib_tolerance(df: DataFrame, vec: str, tol: float = 1e-4):
     """k -> MLlib tolerance equivalent to a relative k-means tolerance.
 
@@ -198,59 +135,52 @@ def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
     return min(fits, key=lambda f: f[1])
 
 
-def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
-                  final_restarts: int = 20, seed: int = 42, sample: int = 2000,
-                  threads: int | None = None, tol: float = 1e-4):
-    """Sweep k, choose k by sampled silhouette, fit the final model.
+def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 1,
+                  final_restarts: int = 1, seed: int = 42, threads: int | None = None,
+                  tol: float = 1e-4):
+    """Sweep k, choose k by the silhouette of all rows, fit the final model.
 
-    Returns ``(sweep, k, model)``.  All (k, restart) fits are submitted
-    together to a pool of driver threads, so Spark runs their small jobs
-    concurrently across cores.  The final fit keeps the best of
-    ``final_restarts`` seeds at the chosen k; the first ``restarts`` of those
-    seeds are the sweep's fits on the same input and are reused, not refitted.
+    Returns ``(sweep, k, model)``.  The default is one seeded k-means|| fit
+    per k, whose own sampling rounds stand in for random restarts; 10 and 20
+    are the source's settings.  All (k, restart) fits are submitted together
+    to a pool of driver threads.  The final fit keeps the best of
+    ``final_restarts`` seeds at the chosen k and reuses the sweep's fits.
     ``tol`` is the source's relative tolerance (see :func:`mllib_tolerance`).
     """
     spark = df.sparkSession
-    data = _sized(df.select(id_col, vec), vec).select(
-        id_col, vec, array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.select(id_col, array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     threads = threads or _threads(spark)
-    tol_for = mllib_tolerance(data, vec, tol)
+    tol_for = mllib_tolerance(df, vec, tol)
 
     def run(jobs):
         with ThreadPoolExecutor(max_workers=threads) as ex:
             return dict(zip(jobs, ex.map(
                 lambda kr: _fit(data, kr[0], seed + kr[1], 300, tol_for(kr[0])), jobs)))
 
-    fits = run([(k, r) for k in ks for r in range(restarts)])
-    best = {k: min((fits[(k, r)] for r in range(restarts)), key=lambda f: f[1]) for k in ks}
-    # the sample depends on ids only: draw it once, label it with each k's model
-    smp = sample_rows(data, id_col, sample, seed).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def sil(k):
-        labelled = best[k][0].transform(smp).select(id_col, vec, "cluster")
-        return sampled_silhouette(labelled, id_col, vec, "cluster").first()[0]
-
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        sils = dict(zip(ks, ex.map(sil, list(ks))))
-    rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]))
-            for k in ks]
-    sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
-    scored = [r for r in rows if r[2] is not None]
-    k_best = (max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else rows[0][0])
-    model = None
-    if final_restarts:
-        fits.update(run([(k_best, r) for r in range(restarts, final_restarts)]))
-        model = min((fits[(k_best, r)] for r in range(final_restarts)), key=lambda f: f[1])[0]
-    smp.unpersist()
-    data.unpersist()
+    try:
+        fits = run([(k, r) for k in ks for r in range(restarts)])
+        best = {k: min((fits[(k, r)] for r in range(restarts)), key=lambda f: f[1]) for k in ks}
+        with ThreadPoolExecutor(max_workers=threads) as ex:
+            sils = dict(zip(ks, ex.map(lambda k: _score(best[k][0].transform(data), "cluster"), list(ks))))
+        rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]))
+                for k in ks]
+        sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+        scored = [r for r in rows if r[2] is not None]
+        k_best = (max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else rows[0][0])
+        model = None
+        if final_restarts:
+            fits.update(run([(k_best, r) for r in range(restarts, final_restarts)]))
+            model = min((fits[(k_best, r)] for r in range(max(restarts, final_restarts))),
+                        key=lambda f: f[1])[0]
+    finally:
+        data.unpersist()
     return sweep, k_best, model
 
 
-def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
-                 seed: int = 42, sample: int = 2000, threads: int | None = None) -> DataFrame:
-    """Per k: inertia of the best restart and its sampled silhouette."""
-    sweep, _, _ = kmeans_search(df, id_col, vec, ks, restarts, 0, seed, sample, threads)
-    return sweep
+def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 1,
+                 seed: int = 42, threads: int | None = None) -> DataFrame:
+    """Per k: inertia of the best restart and its silhouette over all rows."""
+    return kmeans_search(df, id_col, vec, ks, restarts, 0, seed, threads)[0]
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:
@@ -258,13 +188,16 @@ def choose_k(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc_nulls_last("silhouette"), "k").limit(1)
 
 
-def assign_clusters(df: DataFrame, id_col: str, vec: str, k: int, restarts: int = 20,
+def assign_clusters(df: DataFrame, id_col: str, vec: str, k: int, restarts: int = 1,
                     seed: int = 42, tol: float = 1e-4):
     """Final fit (best of restarts); returns (rows with ``cluster``, model).
 
     ``tol`` is the relative tolerance of the source (see :func:`mllib_tolerance`).
     """
-    data = _sized(df, vec).withColumn("_v", array_to_vector(vec)).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    model, _ = best_of_restarts(data, k, restarts, seed, tol=mllib_tolerance(data, vec, tol)(k))
+    data = df.withColumn("_v", array_to_vector(vec))
+    fitted = data.select("_v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, _ = best_of_restarts(fitted, k, restarts, seed, tol=mllib_tolerance(df, vec, tol)(k))
+    finally:
+        fitted.unpersist()
     return model.transform(data).drop("_v"), model

@@ -5,32 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when its row count is at most this bound.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def small_side(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; larger sides stay shuffle joins.
-
-    The count is one cheap job over the (small) dimension; when it exceeds
-    ``max_rows`` no hint is given and Spark plans a sort-merge join.
-    """
-    n = dim.count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
 def codes_for(codes: DataFrame, variable: str) -> DataFrame:
     """(code, label) of one variable of a codebook (variable_name, code, label)."""
     return (codes.filter(F.col("variable_name") == variable)
             .select(F.col("code").cast("int").alias("_code"), F.col("label").alias("_label")))
 
 
-def decode(df: DataFrame, col: str, codes: DataFrame, out: str | None = None,
-           checked: bool = True) -> DataFrame:
-    """Left lookup (variable, code) -> label; falls back to the code as text."""
+def decode(df: DataFrame, col: str, codes: DataFrame, out: str | None = None) -> DataFrame:
+    """Left lookup (variable, code) -> label; falls back to the code as text.
+
+    Spark broadcasts the codebook below its own byte threshold.
+    """
     out = out or f"{col}_label"
     dim = codes_for(codes, col)
-    dim = small_side(dim) if checked else F.broadcast(dim)
     j = df.join(dim, df[col] == dim["_code"], "left")
     lab = F.when(F.col(col).isNotNull(),
                  F.coalesce(F.col("_label"), F.col(col).cast("string")))
@@ -47,8 +34,7 @@ def decode_map(col: str, mapping: dict) -> F.Column:
 def describe_variables(df: DataFrame, variable_col: str, variables: DataFrame,
                        width: int = 65, out: str = "description") -> DataFrame:
     """Left lookup variable -> description, fallback to the name, cut at ``width``."""
-    dim = small_side(variables.select(F.col("variable_name").alias("_v"),
-                                      F.col("description").alias("_d")))
+    dim = variables.select(F.col("variable_name").alias("_v"), F.col("description").alias("_d"))
     j = df.join(dim, df[variable_col] == dim["_v"], "left")
     d = F.substring(F.coalesce(F.col("_d"), F.col(variable_col)), 1, width)
     return j.select(*[F.col(c) for c in df.columns], d.alias(out))
@@ -61,9 +47,8 @@ def filter_options(df: DataFrame, cols, codes: DataFrame) -> DataFrame:
             .unpivot([], present, "variable", "code")
             .filter(F.col("code").isNotNull())
             .distinct())
-    dim = small_side(codes.select(F.col("variable_name").alias("_v"),
-                                  F.col("code").cast("int").alias("_c"),
-                                  F.col("label").alias("_l")))
+    dim = codes.select(F.col("variable_name").alias("_v"), F.col("code").cast("int").alias("_c"),
+                       F.col("label").alias("_l"))
     j = long.join(dim, (long["variable"] == dim["_v"]) & (long["code"] == dim["_c"]), "left")
     return (j.select("variable", "code",
                      F.coalesce("_l", F.col("code").cast("string")).alias("label"))

@@ -41,7 +41,9 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2,
         (F.sum("_n").over(w_cum) - F.col("_n")).alias("_prev"))
     # the count table is an aggregate output: AQE broadcasts it when its measured
     # size is small and keeps a shuffle join otherwise (no extra counting job)
-    j = x.join(plan, [label, "_p"])
+    # a NULL label is a class of its own, so the keys compare null-safe
+    plan = plan.withColumnRenamed(label, "_l").withColumnRenamed("_p", "_pp")
+    j = x.join(plan, x[label].eqNullSafe(plan["_l"]) & (x["_p"] == plan["_pp"]))
     w_rank = Window.partitionBy(label, "_p").orderBy("_h", id_col)
     rank = F.col("_prev") + F.row_number().over(w_rank)
     return j.select(*df.columns, (rank <= F.col("_k")).alias(out))

@@ -99,11 +99,12 @@ def missingness(df: DataFrame, cols, n: int | None = 20) -> DataFrame:
 
 
 def missingness_bands(df: DataFrame, cols) -> DataFrame:
-    """Columns at 0 %, 1-50 % (inclusive) and > 50 % missing, over all columns."""
+    """Columns at 0 %, below 1 %, at 1-50 % and > 50 % missing; they add up to all columns."""
     m = missingness(df, cols, n=None)
     total = len(list(cols))
     return m.agg(
         (F.lit(total) - F.count(F.lit(1))).cast("long").alias("n_complete"),
+        F.count_if(F.col("pct_missing") < 1).alias("n_under_1"),
         F.count_if(F.col("pct_missing").between(1, 50)).alias("n_1_to_50"),
         F.count_if(F.col("pct_missing") > 50).alias("n_over_50"))
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import count_flags, any_answered, direction, pct
-from strata.operators.decode import small_side
 
 
 def _labels(codes: DataFrame) -> DataFrame:
@@ -28,7 +27,7 @@ def _decode_grouped(g: DataFrame, codes: DataFrame | None, mapping: dict | None,
                     var_col: str | None) -> DataFrame:
     """Attach ``category`` = label, else the code as text, to grouped rows."""
     if codes is not None:
-        dim = small_side(_labels(codes))
+        dim = _labels(codes)
         cond = g["value"] == dim["_c"]
         if var_col is not None:
             cond = cond & (g[var_col] == dim["_v"])

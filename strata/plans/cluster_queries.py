@@ -9,8 +9,6 @@ from strata.operators import cluster
 from strata.plans.registry import register
 from strata.sources.tables import read_table
 
-RESTARTS_SWEEP = 10   # restarts per k in the sweep
-RESTARTS_FINAL = 20   # restarts of the final fit
 
 
 def _emb(spark, d):
@@ -32,19 +30,22 @@ def standardize_embeddings(spark, d):
 
 
 @register("silhouette_labels", """WITH s AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
-  ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 2000),
-p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, list_distance(a.v, b.v) AS dist
-      FROM s a, s b WHERE a.vec_id <> b.vec_id),
-m AS (SELECT vec_id, la, lb, avg(dist) AS md FROM p GROUP BY vec_id, la, lb),
-per AS (SELECT vec_id, any_value(la) AS la, max(CASE WHEN la = lb THEN md END) AS a,
-        min(CASE WHEN la <> lb THEN md END) AS b FROM m GROUP BY vec_id),
-sv AS (SELECT CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM per)
-SELECT round_even(avg(s), 9) AS silhouette FROM sv""")
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM s),
+c AS (SELECT label, dim, sum(x) AS sx FROM x GROUP BY label, dim),
+q AS (SELECT vec_id, any_value(label) AS label, sum(x * x) AS sq FROM x GROUP BY vec_id),
+n AS (SELECT label, count(*) AS n, sum(sq) AS sq FROM q GROUP BY label),
+dots AS (SELECT x.vec_id, c.label AS other, sum(x.x * c.sx) AS dot FROM x JOIN c ON c.dim = x.dim GROUP BY 1, 2),
+m AS (SELECT q.vec_id, q.label, dots.other, n.n,
+        n.n * q.sq + n.sq - 2 * dots.dot AS total
+      FROM q JOIN dots ON dots.vec_id = q.vec_id JOIN n ON n.label = dots.other),
+per AS (SELECT vec_id, max(CASE WHEN label = other AND n > 1 THEN total / (n - 1) END) AS a,
+        min(CASE WHEN label <> other THEN total / n END) AS b FROM m GROUP BY vec_id)
+SELECT round_even(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM per""")
 def silhouette_labels(spark, d):
-    """Euclidean silhouette of the given label on a 2000-row seeded sample."""
-    sil = cluster.silhouette(_emb(spark, d), "vec_id", "embedding", "label", 2000, 42)
-    return sil.select(F.bround("silhouette", 9).alias("silhouette"))
+    """Silhouette of the given label over all vectors, squared Euclidean."""
+    sil = cluster.silhouette(_emb(spark, d), "embedding", "label")
+    return sil.select(F.bround("silhouette", 6).alias("silhouette"))
 
 
 def _z(spark, d):
@@ -57,14 +58,13 @@ _CACHE: dict = {}
 def _search(spark, d):
     key = (spark.sparkContext.applicationId, d.rstrip("/"))
     if key not in _CACHE:
-        _CACHE[key] = cluster.kmeans_search(_z(spark, d), "vec_id", "z", range(2, 9),
-                                            RESTARTS_SWEEP, RESTARTS_FINAL)
+        _CACHE[key] = cluster.kmeans_search(_z(spark, d), "vec_id", "z", range(2, 9))
     return _CACHE[key]
 
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, d):
-    """k = 2..8 with best-of-10 restarts: inertia and sampled silhouette."""
+    """k = 2..8, one k-means|| fit each: inertia and silhouette over all rows."""
     return _search(spark, d)[0]
 
 
@@ -76,7 +76,7 @@ def choose_k(spark, d):
 
 @register("assign_clusters")
 def assign_clusters(spark, d):
-    """Final k-means fit (best of 20 restarts) at the chosen k; cluster id per vector
+    """Final k-means fit at the chosen k; cluster id per vector
     and cluster sizes (M16)."""
     _, _, model = _search(spark, d)
     rows = model.transform(_z(spark, d).withColumn("_v", array_to_vector("z")))

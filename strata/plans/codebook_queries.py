@@ -144,3 +144,50 @@ def codebook_json(spark, d):
     _json_codebook_rows(spark, d).write.mode("overwrite").json(path)
     codes, _ = read_codebook_json(spark, path)
     return codes
+
+
+# ------------------------------------------------------------------ S3, S4 from files
+
+_CSV_ANSWERS = """SELECT CASE WHEN p_partkey % 7 = 0 THEN ' ' || p_name || ', "' || p_brand || '"' || chr(10) || p_type
+       WHEN p_partkey % 17 = 0 THEN 'Y  es' WHEN p_partkey % 19 = 0 THEN 'Valid skip' ELSE ' ' || p_name || ' ' END AS label,
+  'v' || CAST(p_partkey AS {s}) AS variable_name,
+  CASE WHEN p_size <= 40 THEN lpad(CAST(p_size AS {s}), 2, '0') WHEN p_size <= 45 THEN '00 - 84'
+       ELSE CAST(p_size AS {s}) || '.0' END AS code
+FROM {part}"""
+
+_CSV_VARIABLES = """SELECT CASE WHEN p_size % 5 = 0 THEN NULL
+       ELSE 'Is the "' || p_name || '",' || chr(10) || 'by ' || p_brand || ', used?' END AS question_text,
+  p_brand AS note,
+  CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '   ' ELSE p_type || ', "' || p_brand || '"' END AS concept,
+  'v' || CAST(p_partkey AS {s}) AS variable_name
+FROM {part}"""
+
+
+def _csv_file(spark, d, sql, name):
+    """The rows as CSV files in the shared folder, quoted where needed."""
+    import uuid
+    from strata.session import scratch_path
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    rows = spark.sql(sql.format(s="STRING", part="{part}"), part=read_table(spark, d, "part"))
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return path
+
+
+@register("read_codebook_csv", "WITH raw AS (" + _CSV_ANSWERS.format(s="VARCHAR", part="part") + f"""),
+c AS (SELECT variable_name, TRY_CAST(TRY_CAST(code AS DOUBLE) AS INTEGER) AS code,
+        regexp_replace(trim(label), '^Y\\s+es$', 'Yes') AS label FROM raw)
+SELECT variable_name, code, label FROM c WHERE label NOT IN ({_RES}) AND code IS NOT NULL""")
+def read_codebook_csv(spark, d):
+    """Answer categories from CSV files whose columns stand in another order (S3)."""
+    from strata.sources.codebook import read_answer_codes
+    return read_answer_codes(spark, _csv_file(spark, d, _CSV_ANSWERS, "answers"))
+
+
+@register("read_variables_csv", "WITH raw AS (" + _CSV_VARIABLES.format(s="VARCHAR", part="part") + """)
+SELECT variable_name, trim(COALESCE(NULLIF(trim(concept), ''), substring(question_text, 1, 80), variable_name)) AS description FROM raw
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in COMPUTED_DESCRIPTIONS.items())
+          + ") t(variable_name, description)")
+def read_variables_csv(spark, d):
+    """Variable descriptions from CSV files with quotes and line breaks inside fields."""
+    from strata.sources.codebook import read_variables
+    return read_variables(spark, _csv_file(spark, d, _CSV_VARIABLES, "variables"))

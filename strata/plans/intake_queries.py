@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strata.plans.registry import register
 from strata.session import scratch_path
 from strata.sources.tables import read_table
+from strata.spec import PROFILES
 from strata.streaming import intake
 
 _CACHE: dict = {}
@@ -61,3 +62,32 @@ def score_intake_stream(spark, d):
     model = intake.load_intake_model(spark, f"{base}/model")
     return intake.run_stream(spark, model, f"{base}/source", f"{base}/sink",
                              f"{base}/checkpoint")
+
+
+# A stored model: scaler, centroids in standard units, and the profile of each.
+GIVEN = intake.IntakeModel(
+    {"mean": [40.0, 2.0, 2.0, 3.0], "std": [24.0, 0.8, 0.8, 2.5]},
+    [[-1.0, 0.0, -1.2, 1.3], [1.2, 0.8, 1.1, 0.0], [0.1, -1.0, 0.5, -0.3]], [4, 0, 1])
+
+_FORMS_SQL = """WITH forms AS (
+  SELECT event_id AS intake_id,
+    CASE WHEN event_type <> 'error' AND floor(value) BETWEEN 0 AND 168 THEN CAST(floor(value) AS INTEGER) END AS h,
+    CASE WHEN user_id % 4 < 3 THEN user_id % 4 + 1 END AS e, event_id % 3 + 1 AS s,
+    (user_id % 10 + 1) / CASE event_type WHEN 'click' THEN CAST(12 AS DOUBLE) WHEN 'view' THEN 52 ELSE 1 END AS y
+  FROM events),
+z AS (SELECT intake_id, h IS NOT NULL AND e IS NOT NULL AS valid,
+        (h - CAST(40 AS DOUBLE)) / CAST(24 AS DOUBLE) AS a, (e - CAST(2 AS DOUBLE)) / CAST('0.8' AS DOUBLE) AS b,
+        (s - CAST(2 AS DOUBLE)) / CAST('0.8' AS DOUBLE) AS c, (y - CAST(3 AS DOUBLE)) / CAST('2.5' AS DOUBLE) AS d FROM forms),
+m(k, ma, mb, mc, md) AS (VALUES """ + ", ".join(
+    "(" + ", ".join([str(k), *(f"CAST('{x}' AS DOUBLE)" for x in c)]) + ")" for k, c in enumerate(GIVEN.centroids)) + """),
+near AS (SELECT intake_id, valid, arg_min(k, (a-ma)*(a-ma) + (b-mb)*(b-mb) + (c-mc)*(c-mc) + (d-md)*(d-md)) AS k
+         FROM z CROSS JOIN m GROUP BY intake_id, valid)
+SELECT intake_id, valid, CASE WHEN valid THEN k END AS cluster,
+  CASE WHEN valid THEN CASE k """ + " ".join(f"WHEN {k} THEN '{PROFILES[p][0]}'" for k, p in enumerate(GIVEN.profiles)) + """ END END AS profile_name
+FROM near"""
+
+
+@register("score_intake_given", _FORMS_SQL)
+def score_intake_given(spark, d):
+    """Every form scored with a given stored model; forms that aren't valid get no profile."""
+    return intake.score_intake(GIVEN, intake_rows(spark, d)).select("intake_id", "valid", "cluster", "profile_name")

@@ -123,14 +123,14 @@ def beeswarm_points(spark, d):
 
 
 def _attr_clusters(spark, d) -> DataFrame:
-    """k-means on standardised attribution vectors, k chosen by sampled silhouette."""
+    """k-means on standardised attribution vectors, k chosen by the silhouette of all rows."""
     k = _key(spark, d, "attr_clusters")
     if k not in _CACHE:
         wide = attributions_wide(spark, d)
         vec = wide.select("pumfid", F.array(*FEATURES).alias("phi"))
         z = cluster.standardize(vec, "phi", "z").select("pumfid", "z")
         z = materialize(z, "attribution-z")
-        _, _, model = cluster.kmeans_search(z, "pumfid", "z", range(2, 9), 10, 20)
+        _, _, model = cluster.kmeans_search(z, "pumfid", "z", range(2, 9))
         rows = model.transform(z.withColumn("_v", array_to_vector("z")))
         _CACHE[k] = materialize(rows.select("pumfid", "cluster"), "attribution-clusters")
     return _CACHE[k]

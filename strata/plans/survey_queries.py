@@ -42,12 +42,11 @@ def adf(spark: SparkSession, d: str, policy: str = "median", raw: bool = False)
     shared ``spark.checkpoint.dir`` (as the source analysis keeps its cleaned
     frame for every section); later scans prune columns and take pushed
     filters.  Other policies are computed on demand."""
-    frame = clean.analysis_frame(coded(spark, d), SPEC_RAW if raw else SPEC, policy)
     if policy != "median" or raw:
-        return frame
+        return clean.analysis_frame(coded(spark, d), SPEC_RAW if raw else SPEC, policy)
     key = (spark.sparkContext.applicationId, d.rstrip("/"))
     if key not in _CACHE:
-        _CACHE[key] = materialize(frame, "analysis")
+        _CACHE[key] = materialize(clean.analysis_frame(coded(spark, d), SPEC, policy), "analysis")
     return _CACHE[key]
 
 
@@ -234,10 +233,11 @@ def missingness_top(spark, d):
 @register("missingness_bands", A + ", m AS (" + _miss_sql() + f"""),
 p AS (SELECT value * CAST(100 AS DOUBLE) AS pct_missing FROM m WHERE value > 0)
 SELECT CAST({len(_MISS_COLS)} - count(*) AS BIGINT) AS n_complete,
+  count(*) FILTER (WHERE pct_missing < 1) AS n_under_1,
   count(*) FILTER (WHERE pct_missing BETWEEN 1 AND 50) AS n_1_to_50,
   count(*) FILTER (WHERE pct_missing > 50) AS n_over_50 FROM p""")
 def missingness_bands(spark, d):
-    """Number of features fully answered, 1-50 % and > 50 % missing."""
+    """Number of features fully answered, under 1 %, 1-50 % and > 50 % missing."""
     return profile.missingness_bands(adf(spark, d), _MISS_COLS)
 
 

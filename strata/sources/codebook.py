@@ -2,7 +2,7 @@
 
 The codebook is a dimension whose size is fixed by the questionnaire (a few
 thousand rows), independent of the number of respondents; decode joins
-broadcast it after a row-count check (:func:`strata.operators.decode.small_side`).
+are left to Spark, which broadcasts a side below its byte threshold.
 """
 
 from __future__ import annotations
@@ -13,15 +13,6 @@ from pyspark.sql import types as T
 
 from strata.spec import COMPUTED_DESCRIPTIONS, RESERVE_LABELS
 
-ANSWER_SCHEMA = T.StructType([
-    T.StructField("variable_name", T.StringType()),
-    T.StructField("code", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("frequency", T.StringType()),
-    T.StructField("weighted_frequency", T.StringType()),
-    T.StructField("percent", T.StringType()),
-])
-
 VARIABLE_COLUMNS = ("variable_name", "concept", "question_text")
 
 
@@ -46,9 +37,15 @@ def clean_answer_codes(raw: DataFrame, order_col: str) -> DataFrame:
             .agg(F.max_by("label", "_ord").alias("label")))
 
 
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, all columns text, found by name whatever their order;
+    doubled quotes and line breaks inside quotes belong to the field."""
+    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
+
+
 def read_answer_codes(spark: SparkSession, path: str) -> DataFrame:
     """S3: answer-category CSV -> (variable_name, code int, label)."""
-    raw = (spark.read.option("header", True).schema(ANSWER_SCHEMA).csv(path)
+    raw = (_read_csv(spark, path).select("variable_name", "code", "label")
            .withColumn("_ord", F.monotonically_increasing_id()))
     return clean_answer_codes(raw, "_ord")
 
@@ -69,7 +66,7 @@ def variable_descriptions(raw: DataFrame, computed: dict | None = None) -> DataF
 
 def read_variables(spark: SparkSession, path: str) -> DataFrame:
     """S4 reader: only the three used columns of the variables CSV are read."""
-    raw = spark.read.option("header", True).csv(path).select(*VARIABLE_COLUMNS)
+    raw = _read_csv(spark, path).select(*VARIABLE_COLUMNS)
     return variable_descriptions(raw)
 
 

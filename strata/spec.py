@@ -114,8 +114,7 @@ COMPUTED_DESCRIPTIONS = {
 YES_NO = {1: 1.0, 2: 0.0}
 FOUR_POINT = {1: 1.0, 2: 2 / 3, 3: 1 / 3, 4: 0.0}
 
-# Narrative caregiver profiles (name, description), in profile order 1..5;
-# a cluster id k maps to the (k+1)-th profile when scoring intake records.
+# Narrative caregiver profiles (name, description), in profile order 1..5.
 PROFILES = (
     ("Solo Caregiver, High Risk",
      "No support network, high hours, employment affected, financially strained. "
@@ -134,6 +133,16 @@ PROFILES = (
      "risk but should be monitored for cumulative fatigue."),
 )
 
+# What each profile looks like on the intake form, in standard units of (weekly
+# hours, employment 1 full-time .. 3 none, support 1 strong .. 3 little, years).
+PROFILE_SIGNATURES = (
+    (1.2, 0.6, 1.2, 0.0),      # many hours, work affected, no support
+    (0.2, -0.9, 0.4, -0.2),    # moderate hours beside work, uneven support
+    (0.8, 0.0, -1.2, 0.2),     # more hours, steady support
+    (-1.2, 0.0, 0.4, -0.4),    # few hours
+    (-0.2, 0.4, -1.0, 1.4),    # many years, reliable support
+)
+
 # --------------------------------------------------------------------------
 
 

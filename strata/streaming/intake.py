@@ -3,19 +3,20 @@
 The scoring step is a stateless column transform, so the same function runs
 on a batch DataFrame and on a ``readStream`` source (no watermark, no state
 store).  The fitted artefact is small and explicit: per-field mean/std and
-the k centroids (k x fields numbers), stored alongside the model.
+the k centroids (k x fields numbers) with the profile of each, stored alongside the model.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.cluster import apply_scaler, assign_clusters, scaler_model
-from strata.spec import PROFILES
+from strata.spec import PROFILE_SIGNATURES, PROFILES
 
 INTAKE_SCHEMA = T.StructType([
     T.StructField("intake_id", T.LongType()),
@@ -39,14 +40,22 @@ def _code(col: str, mapping: dict) -> Column:
     return m[F.trim(F.col(col))]
 
 
+def duration_years(col: str) -> Column:
+    """Years of "2 years 6 months", "18 months", "3": all parts added, a bare number is years."""
+    text = F.lower(F.col(col))
+    parts = [F.aggregate(F.transform(F.regexp_extract_all(text, F.lit(rf"([0-9]+(?:\.[0-9]+)?)\s*{unit}"), F.lit(1)),
+                                     lambda x: x.try_cast("double") / per), F.lit(0.0), lambda a, x: a + x)
+             for unit, per in (("year", 1.0), ("month", 12.0), ("week", 52.0), ("day", 365.0))]
+    named = text.rlike(r"[0-9]\s*(?:year|month|week|day)")
+    return F.when(named, parts[0] + parts[1] + parts[2] + parts[3]).otherwise(
+        F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"))
+
+
 def parse_intake(df: DataFrame) -> DataFrame:
     """Validate and transform the form strings into numeric fields plus an error list."""
     hours = F.col("care_hours").try_cast("double")
     hours = F.when((hours >= 0) & (hours <= 168), hours)
-    num = F.regexp_extract(F.lower("care_duration"), r"([0-9]+(\.[0-9]+)?)", 1).try_cast("double")
-    unit = F.regexp_extract(F.lower("care_duration"), r"(year|month|week|day)", 1)
-    years = (F.when(unit == "month", num / 12.0).when(unit == "week", num / 52.0)
-             .when(unit == "day", num / 365.0).otherwise(num))
+    years = duration_years("care_duration")
     parsed = df.select("*", hours.alias("care_hours_n"),
                        _code("employment_status", EMPLOYMENT).alias("employment_code"),
                        _code("support_network", SUPPORT).alias("support_code"),
@@ -69,24 +78,41 @@ def _vector(df: DataFrame) -> DataFrame:
 
 @dataclass
 class IntakeModel:
+    """Scaler, centroids, and the profile (by place in ``PROFILES``) of each centroid."""
+
     scaler: dict
     centroids: list
+    profiles: list
+
+
+def match_profiles(centroids: list, signatures=PROFILE_SIGNATURES) -> list:
+    """Profile of each centroid, by the smallest total distance to the signatures.
+
+    Centroids and signatures are in standard units, so k-means numbers, which
+    have no order, decide nothing.  Up to as many centroids as profiles match
+    one to one; any further centroid takes its nearest profile.
+    """
+    cost = [[sum((a - b) ** 2 for a, b in zip(c, s)) for s in signatures] for c in centroids]
+    n = min(len(centroids), len(signatures))
+    best = min(permutations(range(len(signatures)), n), key=lambda p: sum(cost[i][j] for i, j in enumerate(p)))
+    return [*best, *(min(range(len(signatures)), key=row.__getitem__) for row in cost[n:])]
 
 
-def fit_intake_model(history: DataFrame, k: int = len(PROFILES), restarts: int = 10,
+def fit_intake_model(history: DataFrame, k: int = len(PROFILES), restarts: int = 1,
                      seed: int = 42) -> IntakeModel:
-    """Scaler statistics and k-means centroids from parsed intake history."""
-    v = _vector(parse_intake(history))
+    """Scaler statistics, centroids and their profiles from the valid forms of a history."""
+    v = _vector(parse_intake(history).filter("valid"))
     scaler = scaler_model(v, "_x")
     z = apply_scaler(v, "_x", scaler, "_z")
     _, model = assign_clusters(z.select("intake_id", "_z"), "intake_id", "_z", k, restarts, seed)
-    return IntakeModel(scaler, [list(map(float, c)) for c in model.clusterCenters()])
+    centroids = [list(map(float, c)) for c in model.clusterCenters()]
+    return IntakeModel(scaler, centroids, match_profiles(centroids))
 
 
 def score_intake(model: IntakeModel, df: DataFrame) -> DataFrame:
-    """Stateless scoring: nearest centroid, profile text, top-3 factors by |z|.
+    """Stateless scoring: nearest centroid, its profile, top-3 factors by |z|.
 
-    Works unchanged on batch and streaming DataFrames.
+    A form that isn't valid has no cluster, profile or factors (NULL).  Works unchanged on batch and streaming DataFrames.
     """
     v = apply_scaler(_vector(parse_intake(df)), "_x", model.scaler, "_z")
     dists = F.array(*[
@@ -100,11 +126,13 @@ def score_intake(model: IntakeModel, df: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.transform("_z", lambda z, i: F.struct(
         (-F.abs(z)).alias("k"), i.alias("i"))))
     top = F.transform(F.slice(ranked, 1, 3), lambda s: F.element_at(labels, s["i"] + 1))
-    cl = best % len(PROFILES)
-    return (v.withColumn("cluster", best)
+    of_cluster = F.array(*[F.lit(int(p)) for p in model.profiles])
+    profile = F.element_at(of_cluster, best + 1)
+    return (v.withColumn("cluster", F.when(F.col("valid"), best))
             .select("intake_id", "valid", "errors", "cluster",
-                    names[cl].alias("profile_name"), descs[cl].alias("profile_description"),
-                    top.alias("top_factors")))
+                    F.when(F.col("valid"), names[profile]).alias("profile_name"),
+                    F.when(F.col("valid"), descs[profile]).alias("profile_description"),
+                    F.when(F.col("valid"), top).alias("top_factors")))
 
 
 def read_intake(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -126,7 +154,7 @@ def run_stream(spark: SparkSession, model: IntakeModel, source: str, sink: str,
 def save_intake_model(spark: SparkSession, model: IntakeModel, path: str) -> str:
     """Store scaler statistics and centroids (a few numbers) as one JSON text row."""
     import json
-    body = json.dumps({"scaler": model.scaler, "centroids": model.centroids})
+    body = json.dumps({"scaler": model.scaler, "centroids": model.centroids, "profiles": model.profiles})
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 
@@ -134,4 +162,4 @@ def save_intake_model(spark: SparkSession, model: IntakeModel, path: str) -> str
 def load_intake_model(spark: SparkSession, path: str) -> IntakeModel:
     import json
     body = json.loads(spark.read.text(path).first()["value"])
-    return IntakeModel(body["scaler"], body["centroids"])
+    return IntakeModel(body["scaler"], body["centroids"], body["profiles"])
