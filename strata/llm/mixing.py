@@ -23,11 +23,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import WORD_SPACE, documents, prepare, written
 
+ROUNDS_PER_TABLE = 4
+
 _WORD = "[^" + "".join(f"\\x{ord(c):02x}" for c in WORD_SPACE) + "]+"
 
 
@@ -37,8 +39,8 @@ class Mix:
 
     exponents: dict = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.7})
     rate: float = 0.5           # share of all tokens that the sample should have
-    tolerance: float = 1e-6     # largest relative error of a marginal
-    max_rounds: int = 60
+    tolerance: float = 1e-4     # largest relative error of a marginal
+    max_rounds: int = 40
     seed: int = 11
 
 
@@ -62,23 +64,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, max_
     """Scale column ``w`` of the cells until each dimension has its target shares.
 
     ``targets`` maps a column of the cells to a table of its value and
-    ``share``; shares sum to 1.  Each round is a written table of the cells.
+    ``share``; shares sum to 1.  A round scales every dimension once; every
+    ``ROUNDS_PER_TABLE`` rounds are one job that writes the cells and looks at
+    the factors of its last round.
     """
     total = cells.agg(F.sum("w").alias("t")).first().t or 0.0
-    for _ in range(max_rounds):
-        off = F.lit(0.0)
-        for dim, target in targets.items():
-            now = cells.groupBy(dim).agg(F.sum("w").alias("now"))
-            cells = cells.join(now.join(target, dim), dim).withColumn(
-                "f", F.when(F.col("now") > 0, F.col("share") * total / F.col("now")).otherwise(F.lit(1.0)))
-            cells = cells.withColumn("w", F.col("w") * F.col("f")).withColumn(
-                "off", F.greatest(off if "off" not in cells.columns else F.col("off"), F.abs(F.col("f") - 1))).drop("now", "share", "f")
-        cells = written(cells, "raked")
-        worst = cells.agg(F.max("off").alias("m")).first().m
-        cells = cells.drop("off")
+    columns = cells.columns
+    for dim, target in targets.items():
+        cells = cells.join(target.select(dim, F.col("share").alias(f"__share_{dim}")), dim)
+    for _ in range(0, max_rounds, ROUNDS_PER_TABLE):
+        cells = cells.withColumn("__off", F.lit(0.0))
+        for i in range(ROUNDS_PER_TABLE):
+            for dim in targets:
+                now = F.sum("w").over(Window.partitionBy(dim))
+                cells = cells.withColumn("__f", F.when(now > 0, F.col(f"__share_{dim}") * total / now).otherwise(F.lit(1.0)))
+                cells = cells.withColumn("w", F.col("w") * F.col("__f"))
+                if i == ROUNDS_PER_TABLE - 1:
+                    cells = cells.withColumn("__off", F.greatest("__off", F.abs(F.col("__f") - 1)))
+        cells = written(cells.drop("__f"), "raked")
+        worst = cells.agg(F.max("__off").alias("m")).first().m
+        cells = cells.drop("__off")
         if worst is None or worst <= tolerance:
             break
-    return cells
+    return cells.select(columns)
 
 
 def flattened(cells: DataFrame, dim: str, exponent: float) -> DataFrame:
