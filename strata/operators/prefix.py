@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, order_col: str, value_cols, buckets: int = 64,
+def running_sums(df: DataFrame, order_col: str, value_cols, buckets: int | None = None,
                  accuracy: int = 10_000, tie_col: str | None = None) -> DataFrame:
     """Add ``cum_<v>`` = Σ v over rows with order <= current (ascending).
 
     ``order_col`` should be unique per row (e.g. a grouped-by score); with
-    duplicates, ``tie_col`` fixes the order among equal values.
+    duplicates, ``tie_col`` fixes the order among equal values.  There are as
+    many ranges as shuffle partitions, and 64 at least.
     """
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = F.col(order_col).cast("double")
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.percentile_approx(x, probs, accuracy)).scalar()
@@ -39,3 +41,22 @@ def running_sums(df: DataFrame, order_col: str, value_cols, buckets: int = 64,
     return j.select(*[F.col(c) for c in df.columns],
                     *[(F.col(f"_o_{v}") + F.sum(v).over(w_in)).alias(f"cum_{v}")
                       for v in value_cols])
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, out: str = "q") -> DataFrame:
+    """One row with the exact quantiles of ``col`` as an array, interpolated linearly.
+
+    Values are counted first, the counts are summed in order by
+    :func:`running_sums`, and each quantile reads the two values around its
+    place, so no task ever holds all distinct values.  NULL without values.
+    """
+    x = F.col(col).cast("double")
+    counts = df.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    summed = running_sums(counts, "x", ["n"]).withColumn("_total", total)
+    parts = []
+    for p in probs:
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        lo, hi = (F.min(F.when(F.col("cum_n") > f(at), F.col("x"))) for f in (F.floor, F.ceil))
+        parts.append(lo + (hi - lo) * F.max(at - F.floor(at)))
+    return summed.agg(F.when(F.count(F.lit(1)) > 0, F.array(*parts)).alias(out))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.prefix import exact_quantiles
+
 
 # -------------------------------------------------------------------- Q1-Q3
 
@@ -35,28 +37,21 @@ def null_counts(df: DataFrame, cols=None) -> DataFrame:
 
 # -------------------------------------------------------------------- Q4-Q7
 
-def describe(df: DataFrame, cols, digits: int | None = None, exact: bool = True,
-             accuracy: int = 100_000) -> DataFrame:
-    """count, mean, std (sample), min, quartiles (linear), max per column.
+def describe(df: DataFrame, cols, digits: int | None = None) -> DataFrame:
+    """count, mean, std (sample), min, exact quartiles (linear), max per column.
 
-    ``exact`` uses ``percentile`` (value -> count maps, right for small code
-    domains); for continuous columns at scale pass ``exact=False``
-    (``percentile_approx`` with the given accuracy).
+    The quartiles come from value counts and running sums, so columns with as
+    many values as rows are fine.
     """
-    aggs = []
+    out = None
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    parts = ", ".join(
-        f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, `{c}__q`[0], "
-        f"`{c}__q`[1], `{c}__q`[2], `{c}__max`" for c in cols)
-    out = wide.selectExpr(f"stack({len(cols)}, {parts}) AS "
-                          "(variable, count, mean, std, min, q25, q50, q75, max)")
+        q = exact_quantiles(df, c, (0.25, 0.5, 0.75)).scalar()
+        one = (df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                      F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_q", q)
+               .select(F.lit(c).alias("variable"), "count", "mean", "std", "min",
+                       *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max"))
+        out = one if out is None else out.unionByName(one)
     if digits is not None:
         out = out.select("variable", "count", *[F.bround(c, digits).alias(c) for c in
                                                 ("mean", "std", "min", "q25", "q50", "q75", "max")])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import evaluate, profile, tables
 from strata.operators.episodes import attach_episodes
+from strata.operators.prefix import exact_quantiles
 from strata.plans.registry import register
 from strata.plans.survey_queries import coded
 from strata.sources.coded import coded_cte
@@ -13,7 +14,7 @@ from strata.sources.tables import read_table
 
 # ------------------------------------------------------------------ Q4, A16
 
-_DESC = ["l_quantity", "l_discount", "l_tax"]
+_DESC = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 
 @register("describe_lineitem", "\nUNION ALL ".join(
@@ -24,7 +25,7 @@ _DESC = ["l_quantity", "l_discount", "l_tax"]
     f"round_even(quantile_cont({c}, 0.75), 6) AS q75, round_even(max({c}), 6) AS max "
     f"FROM lineitem" for c in _DESC))
 def describe_lineitem(spark, d):
-    """count, mean, std, min, exact quartiles, max of bounded-domain lineitem columns (Q4)."""
+    """count, mean, std, min, exact quartiles, max of lineitem columns, the price among them (Q4)."""
     return profile.describe(read_table(spark, d, "lineitem"), _DESC, digits=6)
 
 
@@ -154,7 +155,7 @@ UNION ALL SELECT 'weighted avg', {r('(p0 * s0 + p1 * s1) / s')}, {r('(r0 * s0 +
 def classification_report(spark, d):
     """Per-class precision/recall/F1/support of 'n_chars >= median' for quality (M6)."""
     j = _docs(spark, d)
-    med = j.select(F.median("n_chars")).scalar()
+    med = exact_quantiles(j, "n_chars", [0.5]).select(F.col("q")[0]).scalar()
     pred = j.withColumn("pred", (F.col("n_chars") >= med).cast("int"))
     return evaluate.classification_report(pred, "quality", "pred")
 

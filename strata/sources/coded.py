@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.sources.tables import read_table
 
@@ -89,6 +90,13 @@ def coded_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
                      customer=customer)
 
 
+def _input_stamp(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of the input files as one number (no content is read)."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
+    r = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{r[0]}-{r[1]}"
+
+
 def load_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coded survey table for ``sf_dir``, stored like real microdata.
 
@@ -96,25 +104,32 @@ def load_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     Parquet into the shared checkpoint folder and read back through
     :func:`strata.sources.survey.read_microdata`, so scans, pruning and
     pushed filters act on stored columns as they would on the real file.
-    Each writer uses its own ``data-<uuid>`` folder and then rewrites a small
-    pointer table naming it; readers follow the pointer and no data folder is
-    ever deleted, so concurrent sessions never read a half-overwritten table.
+    The store is named by the input's files, so changed input is read again.
+    Each writer uses its own ``data-<uuid>`` folder and then appends its name
+    to a small pointer table; nothing is overwritten or deleted, so concurrent
+    sessions never read a half-written table.
     """
     import uuid
 
+    from pyspark.errors import AnalysisException
+
     from strata.session import scratch_path
     from strata.sources.survey import read_microdata
 
-    slug = hashlib.md5(f"{CODED_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:16]
-    base = scratch_path(spark, f"coded-{slug}")
-    key = (base, spark.sparkContext.applicationId)
-    if key not in _WRITTEN:
+    root = sf_dir.rstrip("/")
+    known = (root, spark.sparkContext.applicationId)
+    if known not in _WRITTEN:
+        stamp = _input_stamp(spark, f"{root}/orders.parquet", f"{root}/customer.parquet")
+        slug = hashlib.md5(f"{CODED_VERSION}:{root}:{stamp}".encode()).hexdigest()[:16]
+        base = scratch_path(spark, f"coded-{slug}")
         try:
-            data = spark.read.parquet(f"{base}/pointer").first()["path"]
-        except Exception:  # noqa: BLE001  (no pointer yet -> write the table)
+            pointer = spark.read.parquet(f"{base}/pointer")
+        except AnalysisException:       # no pointer yet: write the table
             data = f"{base}/data-{uuid.uuid4().hex}"
             coded_frame(spark, sf_dir).write.parquet(data)
             spark.createDataFrame([(data,)], "path string").coalesce(1).write \
-                .mode("overwrite").parquet(f"{base}/pointer")
-        _WRITTEN[key] = data
-    return read_microdata(spark, _WRITTEN[key])
+                .mode("append").parquet(f"{base}/pointer")
+        else:
+            data = pointer.agg(F.min("path")).first()[0]
+        _WRITTEN[known] = data
+    return read_microdata(spark, _WRITTEN[known])

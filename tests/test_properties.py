@@ -167,3 +167,33 @@ def test_train_validation_test_modes(spark):
     assert r.t == 200 and 155 <= r.v <= 165 and r.both == 0
     parity = evaluate.train_validation_test(df, "id", "y", early_stop_on="test")
     assert parity.filter(F.col("is_test") != F.col("is_val")).count() == 0
+
+
+def test_split_keeps_rows_without_a_label(spark):
+    from strata.operators.evaluate import stratified_split
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "id long, y int")
+    got = stratified_split(df, "id", "y", 0.2).collect()
+    assert len(got) == 100 and sum(r.is_test for r in got if r.y is None) == 2
+
+
+def test_exact_quantiles_interpolate(spark):
+    from strata.operators.prefix import exact_quantiles
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=997), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = exact_quantiles(df, "x", (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)).first().q
+    assert np.allclose(got, np.quantile(x, (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)))
+    assert exact_quantiles(df.limit(0), "x", (0.5,)).first().q is None
+
+
+def test_intake_scores_valid_forms_only(spark):
+    from strata.streaming import intake
+    rows = [(1, "40", "Employed full-time", "Strong support", "2 years 6 months", ""), (2, "n/a", "Employed full-time", "Strong support", "1 year", ""),
+            (3, "160", "Not currently employed", "Little or no support", "30 months", "")]
+    forms = spark.createDataFrame(rows, intake.INTAKE_SCHEMA)
+    assert [r.duration_years for r in intake.parse_intake(forms).orderBy("intake_id").collect()] == [2.5, 1.0, 2.5]
+    model = intake.IntakeModel({"mean": [40.0, 2.0, 2.0, 3.0], "std": [24.0, 0.8, 0.8, 2.5]}, [[-1.0, 0, -1.2, 0], [1.2, 0.8, 1.1, 0]],
+                               intake.match_profiles([[-1.0, 0, -1.2, 0], [1.2, 0.8, 1.1, 0]]))
+    got = {r.intake_id: r for r in intake.score_intake(model, forms).collect()}
+    assert got[2].cluster is None and got[2].profile_name is None and got[2].top_factors is None
+    assert got[3].profile_name == "Solo Caregiver, High Risk" and got[1].profile_name != got[3].profile_name
