@@ -16,8 +16,8 @@ Cases: null and empty texts have no words and match nothing.  An item shorter
 than the masks' span matches where all its words stand in order.  Texts and
 items of any length are read whole; around a hit, ``CONTEXT`` words on either
 side are compared, more than ``min_words`` by far.  Repeated items and rows
-give their own hits, which are merged per document and item.  Empty tables
-give no rows.  Extra columns are not read.
+give their own hits, which are merged per document and item.  Rows with a null
+id give no overlap and stay in ``clean_documents``.  Empty tables give no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
