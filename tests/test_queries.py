@@ -13,15 +13,23 @@ def entry_module():
     return E
 
 
+@pytest.fixture(scope="module")
+def survey(entry_module):
+    """The survey queries and their SQL; the corpus queries have their own tests."""
+    entry_module.queries()
+    from strata.plans.registry import ORACLE, QUERIES
+    return QUERIES, ORACLE
+
+
 def test_entry_smoke(spark, entry_module):
     df = entry_module.entry(spark)
     assert df.count() > 0
     assert [f.name for f in df.schema.fields] == ["category", "n", "high_pct"]
 
 
-def test_every_sql_query_matches_duckdb(spark, entry_module):
+def test_every_sql_query_matches_duckdb(spark, survey):
     from tests.oracle_check import check
-    names = list(entry_module.oracle_sql())
+    names = list(survey[1])
     res = check(spark, SF_SMALL, names, verbose=False)
     bad = {k: v for k, v in res.items() if v[0] != "OK"}
     assert not bad, bad
@@ -126,7 +134,7 @@ def test_intake_stream_restarts_from_its_checkpoint(spark, tmp_path):
         sorted(map(tuple, batch.select(*key).collect()))
 
 
-def test_every_rows_only_query_runs(spark, entry_module):
-    q, o = entry_module.queries(), entry_module.oracle_sql()
+def test_every_rows_only_query_runs(spark, survey):
+    q, o = survey
     counts = {name: fn(spark, SF_SMALL).count() for name, fn in q.items() if name not in o}
     assert all(n > 0 for n in counts.values()), counts
