@@ -123,7 +123,7 @@ def frequency_levels(docs: DataFrame, n: int) -> tuple[int, bytes]:
     counts = counts.groupBy("chunk", F.floor(F.col("part") / FAN_IN).alias("g")).applyInPandas(add(np.uint8), schema)
     counts = counts.groupBy("chunk").applyInPandas(add(np.uint32), schema)
     levels = np.zeros(size, dtype=np.uint8)
-    for r in counts.select("chunk", "counts").toLocalIterator():     # size / CHUNK rows, one partition at a time
+    for r in counts.select("chunk", "counts").collect():     # size / CHUNK rows, compressed
         out = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
         high = np.minimum(128 + 8 * np.log2(np.maximum(out, 128) / 128), 255)
         levels[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.where(out < 128, out, high)
