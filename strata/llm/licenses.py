@@ -13,9 +13,6 @@ The fit uses bounded samples: every notice in ``VARIANTS`` variants, and the
 paragraphs of about ``sample_docs`` documents, chosen by a hash of the id.  The
 scan covers every paragraph of every document.
 
-A paragraph without any notice word that drawn paragraphs never use (a cue) is
-of the class none without further look.
-
 Cases: null and empty texts have no paragraphs.  Paragraphs of any length are
 read whole.  Repeated rows give their own findings; repeated lines each count.
 An empty table gives no rows.  Extra columns are not read.  Of equally likely
@@ -24,8 +21,6 @@ families the first listed is taken.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -72,7 +67,8 @@ def words_of(text: Column) -> Column:
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, paragraph, words``: every line with words, numbered from 0."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    with_words = lines.filter(F.lower("line").rlike(r"[\p{L}\p{N}]"))      # cuts no line in words twice
+    return with_words.select("doc_id", "paragraph", words_of(F.col("line")).alias("words"))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -117,20 +113,10 @@ def training_rows(docs: DataFrame, sample_docs: int) -> DataFrame:
 
 
 class LicenseModel:
-    """The paragraph classifier, its cue words and the calibration of its margin.
-
-    A cue is a word of a notice that no drawn paragraph uses.  A paragraph
-    without a cue is of the class none: its words are those of ordinary text.
-    """
-
-    def __init__(self, families: LogisticRegressionModel, cues: list[str], slope: float, offset: float):
-        self.families, self.cues, self.slope, self.offset = families, cues, slope, offset
+    """The paragraph classifier and the calibration of its margin."""
 
-    def candidates(self, docs: DataFrame) -> DataFrame:
-        """Paragraphs with a cue; texts that hold none as a substring aren't cut in words."""
-        low = F.lower("text")
-        any_cue = reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in self.cues], F.lit(False))
-        return paragraphs(docs.filter(any_cue)).filter(F.arrays_overlap("words", F.array(*map(F.lit, self.cues)).cast("array<string>")))
+    def __init__(self, families: LogisticRegressionModel, slope: float, offset: float):
+        self.families, self.slope, self.offset = families, slope, offset
 
     def judged(self, rows: DataFrame) -> DataFrame:
         """Adds ``family`` (by number, never none) and its calibrated ``probability``."""
@@ -140,12 +126,13 @@ class LicenseModel:
 
 def margins(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     """Adds the best family and how far its log odds lie above none's."""
-    scored = model.transform(_vectors(rows)).withColumn("__raw", vector_to_array("rawPrediction")).drop(
-        _FEATURES, "rawPrediction", "probability", "prediction")
-    top = F.array_max(F.slice("__raw", 2, len(FAMILIES) - 1))
-    return scored.withColumn("__top", top).withColumn(
-        "family", F.array_position(F.slice("__raw", 2, len(FAMILIES) - 1), F.col("__top")).cast("int")).withColumn(
-        "margin", F.col("__top") - F.col("__raw")[0]).drop("__raw", "__top")
+    kept = rows.columns
+    scored = model.transform(_vectors(rows)).select(*kept, vector_to_array("rawPrediction").alias("__raw"))
+    # through a generator no filter is pushed, so that a paragraph is hashed and scored once
+    scored = scored.select(*kept, F.explode(F.array("__raw")).alias("__raw"))
+    odds = F.slice("__raw", 2, len(FAMILIES) - 1)
+    return scored.select(*kept, F.array_position(odds, F.array_max(odds)).cast("int").alias("family"),
+                         (F.array_max(odds) - F.col("__raw")[0]).alias("margin"))
 
 
 def fit(docs: DataFrame, sample_docs: int = 500) -> LicenseModel:
@@ -159,14 +146,12 @@ def fit(docs: DataFrame, sample_docs: int = 500) -> LicenseModel:
     families = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-4, elasticNetParam=0.2, maxIter=25,
                                   standardization=False).fit(train)
     train.unpersist()
-    used = rows.select((F.col("label") > 0).alias("notice"), F.explode("words").alias("w")).groupBy("w").agg(F.every("notice").alias("cue"))
-    cues = sorted(r.w for r in used.filter("cue").collect())        # at most the words of the fixed notices
     held = margins(families, rows.filter("held_out")).select(F.array("margin").alias("m"), (F.col("label") > 0).cast("double").alias("label"))
     held = written(held.select(array_to_vector("m").alias("features"), "label"), "license-margins")
     if held.select("label").distinct().count() < 2:      # no paragraph in the sample: the margin as it is
-        return LicenseModel(families, cues, 1.0, 0.0)
+        return LicenseModel(families, 1.0, 0.0)
     platt = LogisticRegression(regParam=1e-2, maxIter=40, standardization=False).fit(held)
-    return LicenseModel(families, cues, float(platt.coefficients[0]), float(platt.intercept))
+    return LicenseModel(families, float(platt.coefficients[0]), float(platt.intercept))
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, sample_docs: int = 500, id_col: str = "doc_id",
@@ -180,7 +165,7 @@ def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, sampl
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = model or fit(docs, sample_docs)
-    likely = model.judged(model.candidates(docs)).filter("probability >= 0.5")
+    likely = model.judged(paragraphs(docs)).filter("probability >= 0.5")
     spark = docs.sparkSession
     texts = {r.label: [] for r in notices(spark).select("label").distinct().collect()}
     for r in notices(spark).collect():      # the fixed notices

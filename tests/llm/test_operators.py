@@ -78,6 +78,14 @@ def test_license_scan_finds_every_license_line(spark):
     assert want and want <= got
 
 
+def test_notice_words_in_ordinary_text_hide_no_notice(spark):
+    rows = [(900_001, "All seats were reserved and the rights of the buyers were kept.\nThe rights to the song are all that she kept.\n"
+                      "He reserved a table for all of them."), (900_002, f"{PROSE}\nAll rights reserved.")]
+    docs = table(spark, "documents").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = licenses.license_paragraphs(docs).filter("doc_id > 900000 and confirmed").collect()
+    assert [(r.doc_id, r.paragraph, r.license) for r in got] == [(900_002, 1, "proprietary")]
+
+
 # ---- op 3
 
 def brute_glob(pattern: str, text: str) -> bool:
