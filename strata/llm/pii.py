@@ -99,7 +99,7 @@ def _names(text: Column) -> Column:
 
 
 _LOCAL = f"[A-Za-z0-9._%+{_DOT}-]"
-# (kind, is a base rule, what the text must contain, preparation, pattern)
+# (kind, is a base rule, what every match contains, preparation, pattern)
 _SEARCHES: tuple[tuple[str, bool, str, Callable[[Column], Column], str], ...] = (
     ("email", True, "@", _names, rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++{_DOT}[A-Za-z0-9{_DOT}-]++"),
     ("ip", True, r"[0-9]\.[0-9]", lambda t: t, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
@@ -111,8 +111,8 @@ _SEARCHES: tuple[tuple[str, bool, str, Callable[[Column], Column], str], ...] =
     ("iban", False, "[A-Z]{2}[0-9]{2}", lambda t: t,
      r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", False, "[A-Za-z0-9]{20}", lambda t: t,
-     r"(?<![A-Za-z0-9_])(?:[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9]{20,200})(?![A-Za-z0-9_])"),
-    ("person", False, "[.] [A-Z]|Herr|Frau|Mon|Mad|Se", lambda t: t,
+     r"(?<![A-Za-z0-9_])(?:[0-9A-Fa-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9_])"),
+    ("person", False, r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.? \p{Lu}", lambda t: t,
      r"(?<![\p{L}0-9])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.? \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30})?"),
 )
 

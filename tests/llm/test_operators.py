@@ -324,6 +324,16 @@ def test_redaction_and_empty_tables(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0 and pii.redacted(docs.limit(0)).count() == 0
 
 
+def test_titled_names_and_long_secrets_are_candidates(spark):
+    texts = ["please call Mr Smith tomorrow", "Mrs Jones", "Dr. Özil", "Prof. Émile", "con Señora Ávila", "key " + "0a1b" * 50 + " end",
+             "sk-" + "aB3" * 100, "ghp_" + "aB3d" * 80]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[s.kind], texts[r.doc_id][s.start:s.stop]) for s in r.found if pii.KINDS[s.kind] in ("person", "secret")]
+           for r in pii.with_spans(rows, "text", "found").collect()}
+    assert got == {0: [("person", "Mr Smith")], 1: [("person", "Mrs Jones")], 2: [("person", "Dr. Özil")], 3: [("person", "Prof. Émile")],
+                   4: [("person", "Señora Ávila")], 5: [("secret", "0a1b" * 50)], 6: [("secret", texts[6])], 7: [("secret", texts[7])]}
+
+
 @pytest.mark.parametrize("run", [
     lambda d, s: jaccard.similarity_groups(d, 3, 90), lambda d, s: licenses.license_paragraphs(d), lambda d, s: tokens.token_counts(d, _model()),
     lambda d, s: quality.quality_scores(d), lambda d, s: toxicity.toxicity_scores(d, table(s, "labels"))], ids=["op1", "op2", "op5", "op8", "op6"])
