@@ -4,16 +4,23 @@ A seed mask reads some of the words of a window and ignores the others, so a
 window still hits when words at ignored places were substituted.  The hashes
 of all masks over the benchmark are joined with those over the documents; each
 hit names a diagonal (document position minus item position), along which the
-words around the hit are compared one by one.  An overlap counts when its best
-stretch has at least ``min_words`` equal words (or is a whole shorter item) and
-a share of equal words of at least ``min_share``.
+words around the hit are compared one by one.  An overlap counts when a stretch
+has a share of equal words of at least ``min_share`` and at least ``min_words``
+equal words, or ``min_share`` of the item's words if those are fewer.
+
+No such overlap is without a hit.  With 12 words and 0.8, every one that can't
+be cut to a smaller one has at most 5 unequal words: 12 equal and up to 3
+unequal words, or 16 and 4 or 20 and 5 with 5 equal words at either end.
+``MASKS`` hit each of these orders.  Looser settings read the longest run of
+equal words that they leave.  An item from which fewer than ``min_words`` are
+asked is cut in blocks, two more than the words that may differ; each pair of
+blocks is a mask, and one pair is free of them.
 
 Only document windows that pass a fixed-size filter of the benchmark's hashes
 leave the scan, with the words around them; the join behind it is exact.
 Words are runs of letters, digits and ``_``, lower-cased.
 
-Cases: null and empty texts have no words and match nothing.  An item shorter
-than the masks' span matches where all its words stand in order.  Texts and
+Cases: null and empty texts have no words and match nothing.  Texts and
 items of any length are read whole; around a hit, ``CONTEXT`` words on either
 side are compared, more than ``min_words`` by far.  Repeated items and rows
 give their own hits, which are merged per document and item.  Rows with a null
@@ -22,8 +29,10 @@ id give no overlap and stay in ``clean_documents``.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,11 +42,13 @@ from pyspark.sql import functions as F
 from strata.llm.common import documents, prepare, written
 from strata.sources.tables import read_table
 
-# The seed masks, 1 = word is read, 0 = word is ignored (weight 8, span 12).
-MASKS = ("111111110000", "110110101011", "101011100111", "111001011101")
-SPAN = 12
+# The seed masks, 1 = word is read, 0 = word is ignored (weight 7, span up to 13).
+MASKS = ("11011111", "11110010101", "11010100111", "1110010010011", "1100011111", "1001110111")
+MASK_WORDS, MASK_SHARE = 12, 0.8      # what the masks are whole for
+SPAN = 13
 CONTEXT = 256
-FILTER_BITS = 24       # the filter has 2 ** FILTER_BITS bits (2 MB), two per hash
+FILTER_BITS = 24       # the filter has 2 ** FILTER_BITS bits (2 MB), three per hash
+SLICES = (0, 64 - FILTER_BITS, 20)      # first bit of each slice of a hash that the filter knows
 
 _WORDS = re.compile(r"\w+")
 _ODD = np.random.default_rng(20240611).integers(1, 1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +73,36 @@ def seeds(w: np.ndarray, shape: str) -> np.ndarray:
     return h
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
+def needed(item_words: int, min_words: int, min_share: float) -> int:
+    """Equal words that an overlap with an item of so many words has at least."""
+    return min(min_words, math.ceil(min_share * item_words - 1e-9))
+
+
+def _sure_run(min_words: int, min_share: float) -> int:
+    """Equal words in a row that every stretch of the rule has."""
+    if min_share <= 0:
+        return 1
+    return min(-(-n // (int(n * (1 - min_share) / min_share + 1e-9) + 1)) for n in range(min_words, min_words + 1000))
+
+
+def shapes_of(item_words: int, min_words: int, min_share: float) -> list[tuple[str, int | None]]:
+    """Masks for items of so many words, with the item's word each begins at (None: at any)."""
+    n = needed(item_words, min_words, min_share)
+    if n >= min_words:
+        if min_words >= MASK_WORDS and min_share >= MASK_SHARE:
+            return [(m, None) for m in MASKS]
+        return [("1" * _sure_run(min_words, min_share), None)]
+    n = max(n, 1)
+    differ = item_words - n
+    blocks = np.array_split(np.arange(item_words), min(differ + 2, item_words))
+    out = []
+    for read in combinations(blocks, len(blocks) - differ):
+        at = np.concatenate(read)
+        out.append(("".join("1" if k in at else "0" for k in range(at[0], at[-1] + 1)), int(at[0])))
+    return out
+
+
+def _item_seeds(items: DataFrame, min_words: int, min_share: float) -> DataFrame:
     """``hash, item_id, pos`` of every window of every item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,16 +111,19 @@ def _item_seeds(items: DataFrame) -> DataFrame:
                 w = np.asarray(words, dtype=np.int64).view(np.uint64)
                 if not len(w):
                     continue
-                for shape in MASKS if len(w) >= SPAN else ("1" * len(w),):
+                for shape, at in shapes_of(len(w), min_words, min_share):
                     h = seeds(w, shape)
-                    yield pd.DataFrame({"hash": h.view(np.int64), "item_id": item, "pos": np.arange(len(h), dtype=np.int32)})
+                    pos = np.arange(len(h), dtype=np.int32)
+                    if at is not None:
+                        h, pos = h[at:at + 1], pos[at:at + 1]
+                    yield pd.DataFrame({"hash": h.view(np.int64), "item_id": item, "pos": pos})
 
     return items.mapInPandas(run, "hash long, item_id long, pos int")
 
 
 def _filter(item_seeds: DataFrame) -> bytes:
     """Bits of all benchmark hashes; comes to the driver as at most 2 ** (FILTER_BITS - 6) words."""
-    slices = [F.shiftrightunsigned("hash", 64 - FILTER_BITS), F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)]
+    slices = [F.shiftrightunsigned("hash", k).bitwiseAND((1 << FILTER_BITS) - 1) for k in SLICES]
     words = item_seeds.select(F.explode(F.array(*slices)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).collect()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
@@ -95,7 +138,7 @@ def _regions(docs: DataFrame, bits: bytes, shapes: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.frombuffer(sent.value, dtype=np.uint8)
-        low, high = np.uint64((1 << FILTER_BITS) - 1), np.uint64(64 - FILTER_BITS)
+        low = np.uint64((1 << FILTER_BITS) - 1)
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
@@ -104,7 +147,8 @@ def _regions(docs: DataFrame, bits: bytes, shapes: list[str]) -> DataFrame:
                 for shape in shapes:
                     h = seeds(w, shape)
                     at = np.flatnonzero(table[(h & low).astype(np.int64)])
-                    at = at[table[(h[at] >> high).astype(np.int64)] == 1]
+                    for k in SLICES[1:]:
+                        at = at[table[((h[at] >> np.uint64(k)) & low).astype(np.int64)] == 1]
                     if len(at):
                         found.append((at, h[at]))
                 if not found:
@@ -135,6 +179,19 @@ def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
     return begin, end, int(equal[begin:end].sum())
 
 
+def longest_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """Begin, end and equal words of the stretch with most equal words whose share is at least ``min_share``."""
+    total = np.r_[0.0, np.cumsum(np.where(equal, 1 - min_share, -min_share))]
+    count = np.r_[0, np.cumsum(equal)]
+    low = np.minimum.accumulate(total)
+    first = np.searchsorted(-low, -(total + 1e-9))       # of each end, the first begin that holds the share
+    end = int(np.argmax(count - count[first]))
+    at = np.flatnonzero(equal[first[end]:end])
+    if not len(at):
+        return 0, 0, 0
+    return int(first[end] + at[0]), int(first[end] + at[-1] + 1), len(at)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_share: float = 0.8, id_col: str = "doc_id",
              text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_equal, n_words, item_words, doc_start`` of each overlap.
@@ -149,9 +206,12 @@ def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_share:
 
     items = written(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
                     .filter("item_id is not null").mapInPandas(words, "item_id long, words array<long>"), "items")
-    item_seeds = written(_item_seeds(items), "item-seeds")
-    short = items.select(F.size("words").alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect()
-    shapes = [*MASKS, *("1" * r.n for r in short)]       # fewer than SPAN shapes are added
+    item_seeds = written(_item_seeds(items, min_words, min_share), "item-seeds")
+    asked = F.least(F.lit(min_words), F.ceil(F.lit(min_share) * F.size("words") - 1e-9))
+    lengths = items.select(F.size("words").alias("n"), (asked >= min_words).alias("long")).filter("n > 0").select(
+        F.when(F.col("long"), F.lit(-1)).otherwise(F.col("n")).alias("n")).distinct().collect()     # the lengths of short items
+    longest = math.ceil(min_words / max(min_share, 1e-9)) + 1
+    shapes = sorted({m for r in lengths for m, _ in shapes_of(r.n if r.n > 0 else longest, min_words, min_share)})
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     regions = written(_regions(docs, _filter(item_seeds), shapes), "regions")
 
@@ -168,8 +228,11 @@ def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_share:
             for doc, item, start, diagonal, d, i in zip(b["doc_id"], b["item_id"], b["start"], b["diagonal"], b["words"], b["item"]):
                 shift = diagonal - start            # item word j stands beside region word j + shift
                 lo, hi = max(0, -shift), min(len(i), len(d) - shift)
-                begin, end, n = best_stretch(np.asarray(d[lo + shift:hi + shift]) == np.asarray(i[lo:hi]), min_share)
-                if n >= min(min_words, len(i)) and n >= min_share * (end - begin):
+                equal, least = np.asarray(d[lo + shift:hi + shift]) == np.asarray(i[lo:hi]), needed(len(i), min_words, min_share)
+                begin, end, n = best_stretch(equal, min_share)
+                if n < least:       # what gains most may be a part of a stretch that counts
+                    begin, end, n = longest_stretch(equal, min_share)
+                if n >= max(least, 1) and n >= min_share * (end - begin) - 1e-9:
                     rows.append((doc, item, n, end - begin, len(i), diagonal + lo + begin))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_equal", "n_words", "item_words", "doc_start"])
 

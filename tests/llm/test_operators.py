@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import sys
@@ -299,6 +300,34 @@ def test_overlaps_find_passages_and_substitutions(spark):
     assert decontaminate.clean_documents(awkward(spark), bench).columns == awkward(spark).columns
 
 
+def test_masks_hit_every_overlap_that_counts():
+    def hit(n, changed, shapes):
+        equal = "".join("0" if k in changed else "1" for k in range(n))
+        return any(all(e >= m for e, m in zip(equal[k:], shape)) for shape, at in shapes
+                   for k in (range(n - len(shape) + 1) if at is None else [at]))
+    for n, errors in ((12, 0), (13, 1), (14, 2), (15, 3), (20, 4)):
+        assert all(hit(n, c, decontaminate.shapes_of(n, 12, 0.8)) for c in itertools.combinations(range(n), errors))
+    rng = random.Random(9)
+    for n in (25, 30, 40):
+        assert all(hit(n, rng.sample(range(n), n // 5), decontaminate.shapes_of(n, 12, 0.8)) for _ in range(3000))
+    for n in range(1, 14):
+        least = decontaminate.needed(n, 12, 0.8)
+        assert all(hit(n, c, decontaminate.shapes_of(n, 12, 0.8)) for c in itertools.combinations(range(n), n - least))
+
+
+def test_short_items_with_changed_words_are_found(spark):
+    changes = {15: [(3, 7, 11), (1, 6, 9), (0, 7, 14)], 12: [(5,), (4, 8), (0, 11)], 5: [(2,), (0,)], 20: [(6, 8, 10, 12)], 25: [(5, 10, 12, 14, 19)]}
+    too_many = {15: (2, 5, 8, 11), 12: (3, 6, 9), 5: (1, 3), 20: (3, 7, 11, 14, 16)}
+    items = {n: [f"item{n}word{k}" for k in range(n)] for n in changes}
+    changed = lambda n, c: f"{PROSE} {' '.join('changed' if k in c else x for k, x in enumerate(items[n]))} {PROSE}"
+    rows = [(n * 100 + k, changed(n, c)) for n, cs in changes.items() for k, c in enumerate(cs)]
+    wrong = [(n * 100 + 99, changed(n, c)) for n, c in too_many.items()]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = decontaminate.overlaps(spark.createDataFrame(rows + wrong, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, d // 100) for d, _ in rows}
+    assert all(r.n_equal >= decontaminate.needed(r.item_words, 12, 0.8) and r.n_equal >= 0.8 * r.n_words - 1e-9 for r in found)
+
+
 # ---- op 10
 
 def test_base_spans_equal_brute_force(spark):
