@@ -6,6 +6,7 @@ from strata.llm import decontaminate, jaccard, licenses, mixing, pii, quality, t
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
+    "op1_ngram_jaccard_links": jaccard.links_query,
     "op2_license_scans": licenses.query,
     "op3_url_filters": urls.query,
     "op4_warc": warc.query,

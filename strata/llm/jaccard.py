@@ -21,6 +21,11 @@ links connect.
   difference of their distances to it bounds their own distance from below.
   A parity sketch of each set (256 bits, one flip per shingle) bounds the
   distance of all others.  Only pairs that pass go to the exact check.
+* Numbers of links.  Links join sets of one group only.  Each set of a group is
+  kept as its difference to the group's first set; the difference of two sets
+  is that of their differences, so that every pair's verdict is exact and comes
+  from short lists.  Large groups are dealt in buckets, pair by pair of buckets,
+  and only sums per set leave a task.
 
 Cases: a null text counts as empty; an empty text has an empty set, links with
 nothing and is its own group.  Fewer words than n give one shingle.  Repeated
@@ -50,6 +55,9 @@ CHUNK = 1 << 16           # counters in one row while they are added up
 FAN_IN = 256          # rows added in one group on each of the two levels
 SIZE_RATIO = 1.4      # largest to smallest size of a block
 PARITY = 4            # 64-bit words of the parity sketch
+BUCKET = 2048         # sets in a bucket of a large group
+BUCKET_TOKENS = 1 << 20   # shingles of the differences in a bucket
+SALTED = 256          # sets of a group that meet its first set under one key
 BLOOM_WORDS = 1 << 16     # 64-bit words of the filter for texts to read again
 
 # Odd multipliers that mix the words of a shingle, by position.
@@ -172,7 +180,7 @@ def _bloom_bits(doc_id: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``doc_id, tokens`` of the named documents, read from their texts again.
+    """``doc_id, set_key, tokens`` of the named documents, read from their texts again.
 
     Few documents are named, so the Bloom filter keeps most texts out of the
     shuffle; its size is fixed and the join behind it is exact.
@@ -186,16 +194,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [shingles(t, n).view(np.int64) for t in b["text"]]})
+            sets = [shingles(t, n) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                                "tokens": [s.view(np.int64) for s in sets]})
 
-    return near.join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, tokens array<long>")
+    return near.join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, set_key binary, tokens array<long>")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """``a, b, apart, linked`` of the pairs: exact difference and verdict."""
     pairs = written(pairs, f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(sets_of(docs, ids, n), f"{name}-sets")
+    sets = written(sets_of(docs, ids, n).drop("set_key"), f"{name}-sets")
     both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
             .join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
             .select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"),
@@ -225,6 +235,11 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _groups(docs, n, percent).drop("set_key")
+
+
+def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The columns of ``similarity_groups`` and ``set_key``."""
     features = written(set_features(docs, n, percent), "features")
     classes = written(features.filter("n > 0").groupBy("set_key")
                       .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies")), "classes")
@@ -277,7 +292,95 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
         "set_key", "class_id", "n_copies", F.coalesce("component", "class_id").alias("component_id"))
     return features.select("doc_id", "n", "set_key").join(labels, "set_key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "set_key")
+
+
+def similarity_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """The columns of ``similarity_groups`` and ``n_links``: the other documents that link to each."""
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    groups = written(_groups(docs, n, percent), "groups")
+    classes = groups.filter("n_shingles > 0").groupBy("set_key").agg(
+        *[F.min(c).alias(c) for c in ("class_id", "n_copies", "component_id", "n_shingles")])
+    members = _differences(classes, docs, n)
+    counts = link_counts(members, percent)
+    own = F.when(F.col("n_shingles") > 0, F.col("n_copies") - 1).otherwise(F.lit(0))
+    return groups.join(counts, "set_key", "left").select(
+        "doc_id", "n_shingles", "component_id", "class_id", "n_copies",
+        (own + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+
+
+def _differences(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``component_id, bucket, buckets, set_key, n, n_copies, apart`` of the sets in groups of several.
+
+    ``apart`` lists the shingles in which a set differs from the group's first.
+    """
+    several = classes.groupBy("component_id").agg(F.count("*").alias("sets"), F.min(F.struct("class_id", "set_key")).alias("f")).filter("sets > 1").select(
+        "component_id", "sets", F.col("f.set_key").alias("first_key"))
+    several = written(several, "several")
+    named = written(classes.join(several, "component_id"), "members")
+
+    sets = sets_of(docs, named.select(F.col("class_id").alias("doc_id")).distinct(), n).withColumnRenamed("doc_id", "class_id")
+    # a repeated row of one id gives its set once
+    sets = written(sets.join(named, ["set_key", "class_id"]).dropDuplicates(["set_key"]), "member-sets")
+    salts = F.ceil(F.col("sets") / F.lit(SALTED)).cast("int")
+    firsts = sets.filter("set_key = first_key").select(
+        "component_id", F.col("tokens").alias("first"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    met = sets.withColumn("salt", F.pmod(F.xxhash64("set_key"), salts).cast("int")).join(firsts, ["component_id", "salt"])
+    apart = F.concat(F.array_except("tokens", "first"), F.array_except("first", "tokens"))
+    met = written(met.select("component_id", "set_key", F.col("n_shingles").alias("n"), "n_copies", apart.alias("apart")), "differences")
+    size = met.groupBy("component_id").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(BUCKET)), F.ceil(F.sum(F.size("apart")) / F.lit(BUCKET_TOKENS))).cast("int").alias("buckets"))
+    return met.join(size, "component_id").withColumn("bucket", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("buckets")).cast("int"))
+
+
+def _common(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Number of shared entries of each two lists."""
+    out = np.zeros((len(x), len(y)), dtype=np.int32)
+    flat = [(np.concatenate([np.asarray(t, dtype=np.int64) for t in s]), np.repeat(np.arange(len(s)), [len(t) for t in s])) for s in (x, y)]
+    both = np.intersect1d(flat[0][0], flat[1][0])
+    sides = []
+    for tokens, row in flat:
+        keep = np.isin(tokens, both)
+        order = np.argsort(tokens[keep], kind="stable")
+        tokens, row = tokens[keep][order], row[keep][order]
+        sides.append(np.split(row, np.flatnonzero(tokens[1:] != tokens[:-1]) + 1))
+    for a, b in zip(*sides) if len(both) else ():
+        out[np.ix_(a, b)] += 1
+    return out
+
+
+def link_counts(members: DataFrame, percent: int) -> DataFrame:
+    """``set_key, links``: the documents of the other sets that link to each."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+        x, y = (rows[rows["bucket"] == k].reset_index(drop=True) for k in (lo, hi))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"set_key": [], "links": []})
+        common = _common(x["apart"], y["apart"])
+        n, m = (s["n"].to_numpy(dtype=np.int64) for s in (x, y))
+        d, e = (s["apart"].map(len).to_numpy(dtype=np.int64) for s in (x, y))
+        copies = [s["n_copies"].to_numpy(dtype=np.int64) for s in (x, y)]
+        links = [np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)]
+        for k in range(0, len(x), 128):      # the verdicts of 128 rows at a time
+            part = slice(k, k + 128)
+            sizes = n[part, None] + m[None, :]
+            shared = (sizes - (d[part, None] + e[None, :] - 2 * common[part])) // 2
+            linked = 100 * shared >= percent * (sizes - shared)
+            if lo == hi:
+                linked[np.arange(len(linked)), k + np.arange(len(linked))] = False
+            links[0][part] = linked @ copies[1]
+            links[1] += linked.T @ copies[0][part]
+        out = [pd.DataFrame({"set_key": s["set_key"], "links": v}) for s, v in zip((x, y), links)]
+        return out[0] if lo == hi else pd.concat(out)
+
+    others = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda k: F.struct(
+        F.least(k, "bucket").alias("lo"), F.greatest(k, "bucket").alias("hi")))
+    dealt = members.withColumn("p", F.explode(others)).select("component_id", "p.lo", "p.hi", "bucket", "set_key", "n", "n_copies", "apart")
+    sums = dealt.groupBy("component_id", "lo", "hi").applyInPandas(run, "set_key binary, links long")
+    return sums.groupBy("set_key").agg(F.sum("links").alias("links"))
 
 
 def _parity_near(x: str, y: str, percent: int) -> Column:
@@ -305,6 +408,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_groups(documents(spark, sf_dir), n=3, percent=90)
 
 
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of links of every document."""
+    return similarity_links(documents(spark, sf_dir), n=3, percent=90)
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -48,6 +48,32 @@ def test_groups_equal_brute_force(spark, n, percent):
     assert {r.doc_id: r.class_id for r in got} == {d: min(e for e in docs if sets[e] == sets[d]) for d in docs}
 
 
+@pytest.mark.parametrize("n,percent,bucket", [(3, 90, 2048), (5, 80, 7), (1, 60, 5)])
+def test_link_numbers_equal_brute_force(spark, monkeypatch, n, percent, bucket):
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "SALTED", bucket)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    docs, base = {}, [rng.choices(vocab, k=rng.choice([3, 30, 60])) for _ in range(5)]
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        docs[i * 3 + 1] = " ".join(w)
+    docs[1000] = ""
+    got = jaccard.similarity_links(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5), n, percent).collect()
+    sets = {d: shingle_set(t, n) for d, t in docs.items()}
+    want = {d: sum(e != d and bool(s) and 100 * len(s & t) >= percent * len(s | t) for e, t in sets.items()) for d, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(docs)
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(docs, n, percent)
+
+
+def test_links_on_awkward_rows(spark):
+    got = jaccard.similarity_links(awkward(spark), 3, 90).collect()
+    assert sorted(r.n_links for r in got if r.doc_id in (1, 2, 9)) == [4 + (11 in {r.doc_id for r in got if r.component_id == 1})] * 4
+    assert {r.doc_id: r.n_links for r in got if r.doc_id in (3, 4, 5, 6)} == dict.fromkeys((3, 4, 5, 6), 0) and len(got) == len(awkward_rows())
+
+
 def test_groups_on_awkward_rows(spark):
     got = jaccard.similarity_groups(awkward(spark), 3, 90).collect()
     assert len(got) == len(awkward_rows())
