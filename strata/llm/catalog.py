@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import decontaminate, jaccard, licenses, mixing, pii, quality, tokens, toxicity, urls, warc
+from strata.llm import bytebpe, decontaminate, jaccard, licenses, mixing, pii, quality, tokens, toxicity, trie, urls, warc, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_benchmark_decontamination": decontaminate.query,
     "op10_pii": pii.query,
+    "op11_byte_bpe": bytebpe.query,
+    "op12_embedding_whitening": whitening.query,
+    "op13_prefix_trie": trie.query,
 }
 
 ORACLE = {
@@ -23,4 +26,5 @@ ORACLE = {
     "op3_url_filters": urls.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
+    "op13_prefix_trie": trie.ORACLE_SQL,
 }
