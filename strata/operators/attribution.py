@@ -14,17 +14,27 @@ whose Shapley value for i is
 
 with c_k the t^k coefficient of prod_{j != i} (z_j + a_j t) and a_j the
 interval indicator.  Since a is binary, each leaf has at most 2^d input
-patterns (d <= depth); the per-leaf table pattern -> phi is built once per
-Python worker from the model's node arrays (a few thousand numbers), and
-rows only compute their pattern and gather.  base + sum(phi) equals the
-margin for every row (tested).  The work is one ``mapInPandas`` stage over
-all rows; nothing but the model travels to the tasks.
+patterns (d <= depth), so a table pattern -> phi answers a leaf for all rows.
+
+Rows are not compared with thresholds leaf by leaf.  Each value becomes its
+rank among the thresholds that the model has for the feature, once for all
+leaves, and for a block of leaves a (feature, rank) table holds the indicator
+bits of all its leaves: a row's patterns are the sum of one gathered table row
+per feature.  Leaves are padded to one number of features with a feature that
+always holds (z = 1, a = 1), whose phi is 0 and which changes no other.
+
+Blocks are built in the task.  Those that fit into ``TABLE_BYTES`` are kept for
+the task's later batches, the others are built again for each batch, so memory
+is bounded whatever the number of trees.  base + sum(phi) equals the margin for
+every row (tested).  The work is one ``mapInPandas`` stage; the leaves travel
+as a Spark broadcast (their size is that of the model, whatever the data).
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -89,36 +99,137 @@ def leaf_paths(nodes: dict):
     return out
 
 
-def _leaf_table(value: float, z: np.ndarray) -> np.ndarray:
-    """phi for every indicator pattern of one leaf: shape (2^d, d)."""
-    d = len(z)
-    patterns = np.arange(1 << d)
-    a = ((patterns[:, None] >> np.arange(d)[None, :]) & 1).astype(np.float64)  # (P, d)
-    w = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
-                  for k in range(d)])
-    table = np.zeros((1 << d, d))
+BLOCK_BYTES = 4 << 20       # of the pattern tables of one block of leaves
+TABLE_BYTES = 96 << 20      # of the blocks that a task keeps
+ROWS = 2048                 # rows that are worked on at once
+
+
+@dataclass(frozen=True)
+class LeafArrays:
+    """All leaves, padded to ``width`` features: rows of numpy arrays, in tree order."""
+    value: np.ndarray       # (leaves,)
+    feature: np.ndarray     # (leaves, width); the number of features where padded
+    low: np.ndarray         # (leaves, width): a value is inside if low < x <= high
+    high: np.ndarray
+    share: np.ndarray       # (leaves, width): product of the cover ratios
+
+    @classmethod
+    def of(cls, leaves, n_features: int) -> LeafArrays:
+        width = max((len(f) for _, f, *_ in leaves), default=0)
+
+        def padded(rows, fill):
+            out = np.full((len(leaves), width), fill, dtype=np.asarray(fill).dtype)
+            for i, r in enumerate(rows):
+                out[i, :len(r)] = r
+            return out
+        _, feats, lo, hi, z = zip(*leaves) if leaves else ((), (), (), (), ())
+        return cls(np.array([v for v, *_ in leaves], dtype=np.float64), padded(feats, np.int64(n_features)),
+                   padded(lo, -np.inf), padded(hi, np.inf), padded(z, 1.0))
+
+    @property
+    def width(self) -> int:
+        return self.feature.shape[1]
+
+    def part(self, i: int, j: int) -> LeafArrays:
+        return LeafArrays(*(a[i:j] for a in (self.value, self.feature, self.low, self.high, self.share)))
+
+
+def pattern_tables(leaves: LeafArrays) -> np.ndarray:
+    """phi of every leaf, indicator pattern and padded feature: (leaves, 2^width, width)."""
+    d = leaves.width
+    bits = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(np.float64)    # (patterns, d)
+    w = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+    z = leaves.share
+    table = np.zeros((len(z), 1 << d, d))
     for i in range(d):
-        coef = np.zeros((1 << d, d))
-        coef[:, 0] = 1.0
+        # coefficients of prod (z_j + a_j t) over the other features
+        coef = np.zeros((len(z), 1 << d, d))
+        coef[:, :, 0] = 1.0
         for j in range(d):
-            if j == i:
-                continue
-            shifted = np.zeros_like(coef)
-            shifted[:, 1:] = coef[:, :-1] * a[:, j:j + 1]
-            coef = coef * z[j] + shifted
-        table[:, i] = value * (a[:, i] - z[i]) * (coef @ w)
+            if j != i:
+                shifted = np.zeros_like(coef)
+                shifted[:, :, 1:] = coef[:, :, :-1] * bits[None, :, j, None]
+                coef = coef * z[:, j, None, None] + shifted
+        table[:, :, i] = leaves.value[:, None] * (bits[None, :, i] - z[:, i, None]) * (coef @ w)
     return table
 
 
-_TABLES: dict[str, list] = {}
+def thresholds_of(leaves: LeafArrays, n_features: int) -> list[np.ndarray]:
+    """Sorted thresholds of each feature; a value's rank is how many lie below it."""
+    out = []
+    for f in range(n_features):
+        at = leaves.feature == f
+        ends = np.concatenate([leaves.low[at], leaves.high[at]])
+        out.append(np.unique(ends[np.isfinite(ends)]))
+    return out
 
 
-def _tables(key: str, leaves):
-    t = _TABLES.get(key)
-    if t is None:
-        t = [(feats, lo, hi, _leaf_table(v, z)) for v, feats, lo, hi, z in leaves]
-        _TABLES[key] = t
-    return t
+class LeafBlock:
+    """Scores one block of leaves from the ranks of the rows' values."""
+
+    def __init__(self, leaves: LeafArrays, thresholds: list[np.ndarray]):
+        n, d = leaves.feature.shape
+        n_features = len(thresholds)
+        self.kind = np.uint8 if d <= 8 else np.uint16 if d <= 16 else np.uint32
+        self.table = pattern_tables(leaves).reshape(n << d, d)
+        self.offset = np.arange(n, dtype=np.int64) << d
+        # (leaf, place) -> feature, as a matrix that adds the places up
+        self.add = np.zeros((n * d, n_features + 1))
+        self.add[np.arange(n * d), leaves.feature.ravel()] = 1.0
+        self.always = ((leaves.feature == n_features) << np.arange(d)).sum(axis=1).astype(self.kind)
+        self.bits = {}
+        for f in np.unique(leaves.feature[leaves.feature < n_features]):
+            leaf, place = np.nonzero(leaves.feature == f)
+            low = np.searchsorted(thresholds[f], leaves.low[leaf, place], side="right")     # of -inf: 0
+            high = np.searchsorted(thresholds[f], leaves.high[leaf, place], side="left")    # of inf: all
+            # ranks between the block's own cuts behave alike
+            cuts = np.unique(np.concatenate([low, high + 1]))
+            cuts = cuts[(cuts > 0) & (cuts <= len(thresholds[f]))]
+            first = np.concatenate([[0], cuts])
+            local = np.searchsorted(cuts, np.arange(len(thresholds[f]) + 1), side="right")
+            bits = np.zeros((len(first), n), dtype=self.kind)
+            inside = (first[:, None] >= low) & (first[:, None] <= high)
+            bits[:, leaf] = inside.astype(self.kind) << place.astype(self.kind)
+            self.bits[int(f)] = (local, bits)
+        self.bytes = self.table.nbytes + self.add.nbytes + sum(a.nbytes + b.nbytes for a, b in self.bits.values())
+
+    def add_to(self, phi: np.ndarray, ranks: list[np.ndarray]) -> None:
+        pattern = np.repeat(self.always[None, :], len(phi), axis=0)
+        for f, (local, bits) in self.bits.items():
+            pattern += bits[local[ranks[f]]]
+        got = self.table[pattern + self.offset]         # (rows, leaves, places)
+        phi += got.reshape(len(phi), -1) @ self.add[:, :-1]
+
+
+class RankScorer:
+    """Attributions of batches of rows; holds at most TABLE_BYTES of blocks."""
+
+    def __init__(self, leaves: LeafArrays, n_features: int):
+        self.leaves, self.n_features = leaves, n_features
+        self.thresholds = thresholds_of(leaves, n_features)
+        self.step = max(1, BLOCK_BYTES // (8 * max(leaves.width, 1) << leaves.width))
+        self.kept: list[LeafBlock] = []
+
+    def blocks(self):
+        yield from self.kept
+        room = TABLE_BYTES - sum(b.bytes for b in self.kept)
+        for i in range(len(self.kept) * self.step, len(self.leaves.value), self.step):
+            block = LeafBlock(self.leaves.part(i, i + self.step), self.thresholds)
+            # blocks are kept in order, without gaps
+            if block.bytes <= room and i == len(self.kept) * self.step:
+                self.kept.append(block)
+                room -= block.bytes
+            yield block
+
+    def phi(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), self.n_features))
+        if not self.leaves.width:
+            return out
+        ranks = [np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(self.thresholds)]
+        for block in self.blocks():
+            for i in range(0, len(x), ROWS):
+                block.add_to(out[i:i + ROWS], [r[i:i + ROWS] for r in ranks])
+        return out
 
 
 def expected_value(leaves) -> float:
@@ -136,26 +247,21 @@ def attribute(model, df: DataFrame, id_col: str, features, composites=(),
     unit of the source analysis.
     """
     features = list(features)
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     leaves = leaf_paths(model_nodes(model))
-    key = uuid.uuid4().hex
     scale = 2.0 if logodds else 1.0
     base = expected_value(leaves) * scale
     sentinels = np.array([sentinel_for(c, composites) for c in features])
     nf = len(features)
+    sent = spark.sparkContext.broadcast(LeafArrays.of(leaves, nf))
 
     def run(it):
-        tables = _tables(key, leaves)
+        scorer = RankScorer(sent.value, nf)
         for pdf in it:
             x = pdf[features].to_numpy(dtype=np.float64, na_value=np.nan)
             x = np.where(np.isnan(x), sentinels[None, :], x)
-            phi = np.zeros((len(pdf), nf))
-            for feats, lo, hi, table in tables:
-                xs = x[:, feats]
-                inside = (xs > lo[None, :]) & (xs <= hi[None, :])
-                pattern = inside.astype(np.int64) @ (1 << np.arange(len(feats)))
-                phi[:, feats] += table[pattern]
-            phi *= scale
+            phi = scorer.phi(x) * scale
             out = pd.DataFrame(phi, columns=features)
             out.insert(0, id_col, pdf[id_col].to_numpy())
             out["base_value"] = base

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.prefix import exact_quantiles
+from strata.operators.prefix import quantile_table
 
 
 # -------------------------------------------------------------------- Q1-Q3
@@ -40,18 +40,18 @@ def null_counts(df: DataFrame, cols=None) -> DataFrame:
 def describe(df: DataFrame, cols, digits: int | None = None) -> DataFrame:
     """count, mean, std (sample), min, exact quartiles (linear), max per column.
 
-    The quartiles come from value counts and running sums, so columns with as
-    many values as rows are fine.
+    One scan for the moments and one rank selection for the quartiles of all
+    columns; columns with as many values as rows are fine.
     """
-    out = None
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = exact_quantiles(df, c, (0.25, 0.5, 0.75)).scalar()
-        one = (df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                      F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_q", q)
-               .select(F.lit(c).alias("variable"), "count", "mean", "std", "min",
-                       *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max"))
-        out = one if out is None else out.unionByName(one)
+    cols = list(cols)
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{s}{i}") for i, c in enumerate(cols) for s, f in stats.items()])
+    parts = ", ".join(f"'{c}', " + ", ".join(f"{s}{i}" for s in stats) for i, c in enumerate(cols))
+    moments = wide.selectExpr(f"stack({len(cols)}, {parts}) AS (variable, {', '.join(stats)})")
+    q = quantile_table(df, cols, (0.25, 0.5, 0.75))
+    out = moments.join(F.broadcast(q), "variable", "left").select(     # one row per column
+        "variable", "count", "mean", "std", "min",
+        *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
     if digits is not None:
         out = out.select("variable", "count", *[F.bround(c, digits).alias(c) for c in
                                                 ("mean", "std", "min", "q25", "q50", "q75", "max")])

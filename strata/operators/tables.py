@@ -10,10 +10,14 @@ label, which merges distinct codes that share a label.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import count_flags, any_answered, direction, pct
+from strata.operators.prefix import quantile_table
+from strata.session import ship_package
 
 
 def _labels(codes: DataFrame) -> DataFrame:
@@ -278,24 +282,48 @@ def correlate_with(df: DataFrame, target: str, cols, n: int = 30, digits: int =
 
 
 def correlation_pairs(df: DataFrame, cols, digits: int = 6) -> DataFrame:
-    """Pairwise-complete r for every pair of ``cols`` (i < j), one pass.
-
-    Each row emits one entry per column pair (a fixed number set by the
-    column list, not by the data); a partially aggregated group-by over
-    (v1, v2) computes the moments, so the shuffle carries one buffer per
-    pair and partition.  (Measured faster than one wide aggregate with a
-    masked moment set per pair, whose generated code exceeds the JIT limits.)
+    """Pairwise-complete r for every pair of ``cols`` (i < j) from Gram matrices.
+
+    Each task multiplies its rows, centred by the column means, with the mask
+    of the values that are there: ``M'M`` counts, ``X'M`` sums, ``(X*X)'M``
+    squares and ``X'X`` products of the rows that have both columns.  Spark
+    adds the tasks' matrices cell by cell, so a task sends columns^2 numbers
+    whatever its rows.  NULL and NaN are missing; a column that is constant on
+    the common rows gives NULL.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("v1"), F.lit(b).alias("v2"),
-                             F.col(a).cast("double").alias("x"),
-                             F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = (df.select(F.explode(arr).alias("p")).select("p.*")
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    g = long.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"),
-                                     _r(F.col("x"), F.col("y")).alias("_r"))
-    return g.select("v1", "v2", "n", F.bround("_r", digits).alias("r")).orderBy("v1", "v2")
+    ship_package(df.sparkSession)
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    names = values.columns
+    means = values.agg(*[F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)) for c in names]).first()
+    centre, n = np.array(means, dtype=np.float64), len(cols)
+
+    def gram(batches):
+        total = np.zeros((4, n, n))
+        for b in batches:
+            x = b.to_numpy(dtype=np.float64, na_value=np.nan) - centre
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            m = there.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(n, 1)
+        have = total[0, i, j] > 0
+        i, j = i[have], j[have]
+        # sums of the first and of the second column over the rows that have both
+        yield pd.DataFrame({"i": i, "j": j, "n": total[0, i, j].astype(np.int64), "sx": total[1, i, j], "sy": total[1, j, i],
+                            "xx": total[2, i, j], "yy": total[2, j, i], "xy": total[3, i, j]})
+
+    sums = ["sx", "sy", "xx", "yy", "xy"]
+    cells = values.mapInPandas(gram, "i int, j int, n long, " + ", ".join(f"{s} double" for s in sums))
+    g = cells.groupBy("i", "j").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
+
+    def spread(xx, sx):
+        v = F.col(xx) - F.col(sx) * F.col(sx) / F.col("n")
+        return F.when(v > F.col(xx) * 1e-13, v)         # below is the rounding of a constant
+    r = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(spread("xx", "sx") * spread("yy", "sy"))
+    name = F.array(*[F.lit(c) for c in cols])
+    return g.select(name[F.col("i")].alias("v1"), name[F.col("j")].alias("v2"), "n",
+                    F.bround(r, digits).alias("r")).orderBy("v1", "v2")
 
 
 # ------------------------------------------------------------------ A15, A16
@@ -340,11 +368,14 @@ def cluster_profile(df: DataFrame, cluster: str, label: str) -> DataFrame:
 
 
 def cluster_medians(df: DataFrame, cluster: str, cols, digits: int = 1) -> DataFrame:
-    """Median of each column per cluster (exact; code domains are small)."""
+    """Exact median of each column per cluster, by one rank selection for all of them."""
     cols = [c for c in cols if c in df.columns]
-    long = (df.select(F.col(cluster).alias("_k"), *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot(["_k"], cols, "variable", "value"))
-    return (long.groupBy("_k", "variable")
-            .agg(F.bround(F.median("value"), digits).alias("median"))
-            .withColumnRenamed("_k", cluster)
+    rows = df.select(F.col(cluster).alias("_k"), *cols)
+    medians = quantile_table(rows, cols, [0.5], by=["_k"]).alias("m")
+    # a column without values in a cluster has a NULL median
+    keys = rows.select("_k").distinct().select("_k", F.explode(F.array(*[F.lit(c) for c in cols])).alias("variable")).alias("k")
+    same = F.col("k._k").eqNullSafe(F.col("m._k")) & (F.col("k.variable") == F.col("m.variable"))
+    return (keys.join(medians, same, "left")
+            .select(F.col("k._k").alias(cluster), F.col("k.variable").alias("variable"),
+                    F.bround(F.col("m.q")[0], digits).alias("median"))
             .orderBy(cluster, "variable"))

@@ -1,8 +1,8 @@
 """Registered model queries on the analysis frame.
 
 Training, attributions and clustering are not SQL-expressible; these
-queries get the driver's rows-only check, and ``tests/test_model.py`` checks
-their properties (exact split sizes, base + sum(phi) = margin on every row,
+queries get the driver's rows-only check, and ``tests/test_properties.py`` and
+``tests/test_queries.py`` check their properties (exact split sizes, base + sum(phi) = margin on every row,
 AUC symmetry, every row at its nearest centroid).
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import attribution, cluster, evaluate, tables
-from strata.operators.boost import BoostConfig, fit_boosted, score
+from strata.operators.boost import BoostConfig, best_round, fit_with_patience, score
 from strata.plans.registry import register
 from strata.plans.survey_queries import LABEL, SPEC, adf
 from strata.session import materialize
@@ -44,18 +44,23 @@ def split_frame(spark, d) -> DataFrame:
     return _CACHE[k]
 
 
-def trained(spark, d):
-    """Model fitted on train rows, early-stopped on the validation rows (cached)."""
+def _fitted(spark, d):
+    """(model, validation losses): boosting with patience on the validation rows (cached)."""
     k = _key(spark, d, "model")
     if k not in _CACHE:
         frame = split_frame(spark, d)
         # parity mode: the test rows are the validation rows of the fit
         fit_rows = frame if EARLY_STOP_ON == "test" else frame.filter(~F.col("is_test"))
-        _CACHE[k] = fit_boosted(fit_rows, FEATURES, LABEL, SPEC.weight_col, "is_val", CONFIG,
-                                COMPOSITES)
+        _CACHE[k] = fit_with_patience(fit_rows, FEATURES, LABEL, SPEC.weight_col, "is_val", CONFIG,
+                                      COMPOSITES)
     return _CACHE[k]
 
 
+def trained(spark, d):
+    """The model, cut at its best round."""
+    return _fitted(spark, d)[0]
+
+
 def test_scores(spark, d) -> DataFrame:
     test = split_frame(spark, d).filter(F.col("is_test"))
     return score(trained(spark, d), test, FEATURES, COMPOSITES)
@@ -83,6 +88,15 @@ def boosted_scores(spark, d):
     return test_scores(spark, d).select("pumfid", LABEL, "p_high", "predicted")
 
 
+@register("boosting_curve")
+def boosting_curve(spark, d):
+    """Validation loss after every round and the round at which the model is cut (M2)."""
+    losses = _fitted(spark, d)[1]
+    keep, _ = best_round(losses, CONFIG.patience)
+    rows = [(i, float(loss), i == keep) for i, loss in enumerate(losses, 1)]
+    return spark.createDataFrame(rows, "round int, validation_loss double, chosen boolean")
+
+
 @register("boosted_auc")
 def boosted_auc(spark, d):
     """Exact ROC-AUC of the model on the held-out rows and the trees used."""

@@ -160,6 +160,19 @@ def classification_report(spark, d):
     return evaluate.classification_report(pred, "quality", "pred")
 
 
+# ------------------------------------------------------------------ A20
+
+_SUPPLIER_COLS = ["l_quantity", "l_discount", "l_extendedprice"]
+
+
+@register("supplier_medians", "\nUNION ALL ".join(
+    f"SELECT l_suppkey, '{c}' AS variable, round_even(quantile_cont({c}, 0.5), 6) AS median "
+    f"FROM lineitem GROUP BY l_suppkey" for c in _SUPPLIER_COLS))
+def supplier_medians(spark, d):
+    """Exact medians of continuous columns per supplier, all in one rank selection."""
+    return tables.cluster_medians(read_table(spark, d, "lineitem"), "l_suppkey", _SUPPLIER_COLS, digits=6)
+
+
 # ------------------------------------------------------------------ J4
 
 @register("episodes_per_person", coded_cte().rstrip() + """,
