@@ -99,9 +99,9 @@ def leaf_paths(nodes: dict):
     return out
 
 
-BLOCK_BYTES = 4 << 20       # of the pattern tables of one block of leaves
+BLOCK_BYTES = 200_000       # of the pattern tables of one block of leaves: about a tree of depth 6, held by a core's cache
 TABLE_BYTES = 96 << 20      # of the blocks that a task keeps
-ROWS = 2048                 # rows that are worked on at once
+ROWS = 512                  # rows that are worked on at once
 
 
 @dataclass(frozen=True)
@@ -174,8 +174,9 @@ class LeafBlock:
         self.table = pattern_tables(leaves).reshape(n << d, d)
         self.offset = np.arange(n, dtype=np.int64) << d
         # (leaf, place) -> feature, as a matrix that adds the places up
-        self.add = np.zeros((n * d, n_features + 1))
-        self.add[np.arange(n * d), leaves.feature.ravel()] = 1.0
+        add = np.zeros((n * d, n_features + 1))
+        add[np.arange(n * d), leaves.feature.ravel()] = 1.0
+        self.add = np.ascontiguousarray(add[:, :-1])
         self.always = ((leaves.feature == n_features) << np.arange(d)).sum(axis=1).astype(self.kind)
         self.bits = {}
         for f in np.unique(leaves.feature[leaves.feature < n_features]):
@@ -190,15 +191,16 @@ class LeafBlock:
             bits = np.zeros((len(first), n), dtype=self.kind)
             inside = (first[:, None] >= low) & (first[:, None] <= high)
             bits[:, leaf] = inside.astype(self.kind) << place.astype(self.kind)
-            self.bits[int(f)] = (local, bits)
+            self.bits[int(f)] = (local.astype(np.int32), bits)
         self.bytes = self.table.nbytes + self.add.nbytes + sum(a.nbytes + b.nbytes for a, b in self.bits.values())
 
     def add_to(self, phi: np.ndarray, ranks: list[np.ndarray]) -> None:
         pattern = np.repeat(self.always[None, :], len(phi), axis=0)
         for f, (local, bits) in self.bits.items():
-            pattern += bits[local[ranks[f]]]
-        got = self.table[pattern + self.offset]         # (rows, leaves, places)
-        phi += got.reshape(len(phi), -1) @ self.add[:, :-1]
+            pattern += bits.take(local[ranks[f]], axis=0, mode="clip")
+        # (rows, leaves, places); every index is in the table by construction
+        got = self.table.take(pattern + self.offset, axis=0, mode="clip")
+        phi += got.reshape(len(phi), -1) @ self.add
 
 
 class RankScorer:

@@ -341,6 +341,28 @@ def kpis(df: DataFrame, label: str, score: str, flex: str | None = None,
     return df.agg(*aggs)
 
 
+def population_cube(df: DataFrame, cols, label: str, score: str, flex: str, digits: int = 6) -> DataFrame:
+    """KPIs of every combination of the filters, "All" included, in one pass.
+
+    One row per combination of codes that occurs: ``cols`` (NULL where the
+    filter is "All" or the code is missing), ``all_flags`` with one digit per
+    column (1: it is "All"), and the columns of :func:`kpis`.  Rows are reduced to the finest cells first; only cells are
+    expanded to the 2^columns levels.
+    """
+    cols = list(cols)
+    cells = df.groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(label).cast("long").alias("_h"),
+        F.sum(score).alias("_s"), F.count(score).alias("_sn"), F.sum(flex).alias("_f"), F.count(flex).alias("_fn"))
+    every = F.concat(*[F.grouping(c).cast("string") for c in cols])
+    g = cells.cube(*cols).agg(every.alias("all_flags"), *[F.sum(c).alias(c) for c in ("_n", "_h", "_s", "_sn", "_f", "_fn")])
+    n_high = F.coalesce("_h", F.lit(0))
+    return g.filter(F.col("_n").isNotNull()).select(
+        *cols, "all_flags", F.col("_n").alias("n_view"), n_high.alias("n_high"),
+        F.bround(n_high * 100.0 / F.col("_n"), 1).alias("pct_high"),
+        F.bround(F.try_divide("_s", "_sn"), digits).alias("mean_score"),
+        F.bround(F.try_divide("_f", "_fn"), digits).alias("mean_flex"))
+
+
 def histogram(df: DataFrame, col: str, bins: int, digits: int = 6) -> DataFrame:
     """Exactly ``bins`` fixed-width bins between min and max (empty ones omitted)."""
     x = F.col(col).cast("double")

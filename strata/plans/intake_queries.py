@@ -91,3 +91,20 @@ FROM near"""
 def score_intake_given(spark, d):
     """Every form scored with a given stored model; forms that aren't valid get no profile."""
     return intake.score_intake(GIVEN, intake_rows(spark, d)).select("intake_id", "valid", "cluster", "profile_name")
+
+
+# one form in JSON by event; the line of an "error" event ends inside its first value
+_LINE = """concat('{"intake_id":', CAST(event_id AS VARCHAR(20)), ',"care_hours":"',
+  CASE WHEN event_type = 'error' THEN '' ELSE concat(CAST(event_id % 90 AS VARCHAR(20)),
+  '","employment_status":"Employed part-time","support_network":"Some support","care_duration":"2 years"}') END)"""
+
+
+@register("intake_rejects", f"SELECT raw, count(*) AS n FROM (SELECT {_LINE} AS raw, event_type FROM events) x "
+          "WHERE event_type = 'error' GROUP BY raw")
+def intake_rejects(spark, d):
+    """Broken JSON lines of an intake stream, from its second sink."""
+    base = scratch_path(spark, f"rejects-{uuid.uuid4().hex}")
+    read_table(spark, d, "events").selectExpr(f"{_LINE} AS value").write.text(f"{base}/source")
+    _, broken = intake.run_stream_with_rejects(spark, intake_model(spark, d), f"{base}/source", f"{base}/scores",
+                                               f"{base}/rejects", f"{base}/checkpoint")
+    return broken.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))

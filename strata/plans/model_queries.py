@@ -8,6 +8,7 @@ AUC symmetry, every row at its nearest centroid).
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from strata.operators.boost import BoostConfig, best_round, fit_with_patience, s
 from strata.plans.registry import register
 from strata.plans.survey_queries import LABEL, SPEC, adf
 from strata.session import materialize
+from strata.sources.coded import CODED_VERSION
+from strata.sources.store import input_stamp, stored_model, stored_table
 
 FEATURES = list(SPEC.features)
 COMPOSITES = SPEC.composites
@@ -29,30 +32,39 @@ def _key(spark, d, what):
     return (spark.sparkContext.applicationId, d.rstrip("/"), what)
 
 
+def _made_from(spark, d) -> tuple:
+    """What the stored results depend on: input files, spec, configuration."""
+    k = _key(spark, d, "stamp")
+    if k not in _CACHE:
+        _CACHE[k] = input_stamp(spark, *(f"{d.rstrip('/')}/{t}.parquet" for t in ("orders", "customer")))
+    return (_CACHE[k], CODED_VERSION, repr(SPEC), repr(CONFIG), EARLY_STOP_ON)
+
+
 def split_frame(spark, d) -> DataFrame:
     """Analysis frame with exact stratified test (20 %) and validation (20 % of train).
 
     Boosting iterates over this frame and attribution reads it again, so it
-    is written once as a table in the shared ``spark.checkpoint.dir``: the
-    lineage is cut and a lost executor re-reads the written files.
+    is a stored table: the lineage is cut, a lost executor re-reads the written
+    files, and a later session finds it (S7).
     """
     k = _key(spark, d, "split")
     if k not in _CACHE:
-        out = evaluate.train_validation_test(adf(spark, d), "pumfid", LABEL, 0.2, 0.2, 42,
-                                             EARLY_STOP_ON)
-        _CACHE[k] = materialize(out, "model-split")
+        _CACHE[k] = stored_table(spark, "model-split", _made_from(spark, d), lambda: evaluate.train_validation_test(
+            adf(spark, d), "pumfid", LABEL, 0.2, 0.2, 42, EARLY_STOP_ON))
     return _CACHE[k]
 
 
 def _fitted(spark, d):
-    """(model, validation losses): boosting with patience on the validation rows (cached)."""
-    k = _key(spark, d, "model")
-    if k not in _CACHE:
+    """(model, validation losses): boosting with patience on the validation rows, stored."""
+    def fit():
         frame = split_frame(spark, d)
         # parity mode: the test rows are the validation rows of the fit
         fit_rows = frame if EARLY_STOP_ON == "test" else frame.filter(~F.col("is_test"))
-        _CACHE[k] = fit_with_patience(fit_rows, FEATURES, LABEL, SPEC.weight_col, "is_val", CONFIG,
-                                      COMPOSITES)
+        return fit_with_patience(fit_rows, FEATURES, LABEL, SPEC.weight_col, "is_val", CONFIG, COMPOSITES)
+
+    k = _key(spark, d, "model")
+    if k not in _CACHE:
+        _CACHE[k] = stored_model(spark, "boosted", _made_from(spark, d), fit, GBTClassificationModel.load)
     return _CACHE[k]
 
 
@@ -67,14 +79,13 @@ def test_scores(spark, d) -> DataFrame:
 
 
 def attributions_wide(spark, d) -> DataFrame:
-    """Attributions of every scored row, written once as a table in the shared
-    folder: every driver table reads them, and a lost executor re-reads files
-    instead of re-running the attribution stage."""
+    """Attributions of every scored row, a stored table: every driver table reads
+    it, a lost executor re-reads files instead of re-running the attribution
+    stage, and a later session finds it (S7)."""
     k = _key(spark, d, "attr")
     if k not in _CACHE:
-        frame = split_frame(spark, d)
-        _CACHE[k] = materialize(attribution.attribute(trained(spark, d), frame, "pumfid",
-                                                      FEATURES, COMPOSITES), "attributions")
+        _CACHE[k] = stored_table(spark, "attributions", _made_from(spark, d), lambda: attribution.attribute(
+            trained(spark, d), split_frame(spark, d), "pumfid", FEATURES, COMPOSITES))
     return _CACHE[k]
 
 
@@ -137,16 +148,18 @@ def beeswarm_points(spark, d):
 
 
 def _attr_clusters(spark, d) -> DataFrame:
-    """k-means on standardised attribution vectors, k chosen by the silhouette of all rows."""
-    k = _key(spark, d, "attr_clusters")
-    if k not in _CACHE:
+    """k-means on standardised attribution vectors, k chosen by the silhouette of all rows (stored, S7)."""
+    def build():
         wide = attributions_wide(spark, d)
         vec = wide.select("pumfid", F.array(*FEATURES).alias("phi"))
         z = cluster.standardize(vec, "phi", "z").select("pumfid", "z")
         z = materialize(z, "attribution-z")
         _, _, model = cluster.kmeans_search(z, "pumfid", "z", range(2, 9))
-        rows = model.transform(z.withColumn("_v", array_to_vector("z")))
-        _CACHE[k] = materialize(rows.select("pumfid", "cluster"), "attribution-clusters")
+        return model.transform(z.withColumn("_v", array_to_vector("z"))).select("pumfid", "cluster")
+
+    k = _key(spark, d, "attr_clusters")
+    if k not in _CACHE:
+        _CACHE[k] = stored_table(spark, "attribution-clusters", _made_from(spark, d), build)
     return _CACHE[k]
 
 

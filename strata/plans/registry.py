@@ -20,8 +20,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def reset_caches() -> None:
-    """Forget per-session results (analysis table, model, sweeps, intake model)."""
+def reset_caches(keep_stored: bool = False) -> None:
+    """Forget per-session results (analysis table, model, sweeps, intake model).
+
+    Results stored across sessions are not read again either, unless
+    ``keep_stored``, which leaves what a new session on the same folder finds.
+    """
     from strata.plans import cluster_queries, intake_queries, model_queries, survey_queries
+    from strata.sources import store
     for mod in (survey_queries, model_queries, cluster_queries, intake_queries):
         mod._CACHE.clear()
+    if not keep_stored:
+        store.forget()

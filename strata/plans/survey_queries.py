@@ -189,6 +189,21 @@ def filtered_kpis(spark, d):
     return tables.kpis(view, LABEL, SCORE, "flexibility_score")
 
 
+_CUBE = ["sex", "marstat", "prv", "famincg1"]
+
+
+@register("population_cube", A + "SELECT " + ", ".join(_CUBE) + """,
+  """ + " || ".join(f"CAST(GROUPING({c}) AS VARCHAR)" for c in _CUBE) + """ AS all_flags,
+  count(*) AS n_view, CAST(COALESCE(sum(burnout_high), 0) AS BIGINT) AS n_high,
+  round_even(CAST(COALESCE(sum(burnout_high), 0) AS DOUBLE) * CAST(100 AS DOUBLE)
+             / CAST(count(*) AS DOUBLE), 1) AS pct_high,
+  round_even(avg(burnout_score), 6) AS mean_score, round_even(avg(flexibility_score), 6) AS mean_flex
+FROM adf GROUP BY CUBE (""" + ", ".join(_CUBE) + ")")
+def population_cube(spark, d):
+    """KPIs of every filter combination of the dashboard, "All" being the cube's own level (P15 x A15 x A1)."""
+    return tables.population_cube(adf(spark, d), _CUBE, LABEL, SCORE, "flexibility_score")
+
+
 @register("filter_options", A + ", " + DEMO_CODES_SQL + ", u AS ("
           + S.unpivot("adf", DEMOS, "CAST({c} AS INTEGER)") + """),
 dd AS (SELECT DISTINCT variable, value AS code FROM u WHERE value IS NOT NULL)

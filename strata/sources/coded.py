@@ -15,6 +15,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources.store import input_stamp
 from strata.sources.tables import read_table
 
 # Item columns in generation order; the position k (1-based) seeds the codes.
@@ -90,13 +91,6 @@ def coded_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
                      customer=customer)
 
 
-def _input_stamp(spark: SparkSession, *paths: str) -> str:
-    """Names, sizes and times of the input files as one number (no content is read)."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
-    r = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
-    return f"{r[0]}-{r[1]}"
-
-
 def load_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coded survey table for ``sf_dir``, stored like real microdata.
 
@@ -119,7 +113,7 @@ def load_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = sf_dir.rstrip("/")
     known = (root, spark.sparkContext.applicationId)
     if known not in _WRITTEN:
-        stamp = _input_stamp(spark, f"{root}/orders.parquet", f"{root}/customer.parquet")
+        stamp = input_stamp(spark, f"{root}/orders.parquet", f"{root}/customer.parquet")
         slug = hashlib.md5(f"{CODED_VERSION}:{root}:{stamp}".encode()).hexdigest()[:16]
         base = scratch_path(spark, f"coded-{slug}")
         try:

@@ -141,6 +141,26 @@ def read_intake(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return reader.schema(INTAKE_SCHEMA).json(path)
 
 
+BROKEN = "_broken_record"
+
+
+def read_records(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Intake records, and the text of each line that is no record of the schema in ``BROKEN``."""
+    reader = spark.readStream if stream else spark.read
+    schema = T.StructType([*INTAKE_SCHEMA.fields, T.StructField(BROKEN, T.StringType())])
+    return (reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+            .json(path).select("*", F.col("_metadata.file_name").alias("file_name")))
+
+
+def whole_records(records: DataFrame) -> DataFrame:
+    return records.filter(F.col(BROKEN).isNull()).drop(BROKEN, "file_name")
+
+
+def broken_records(records: DataFrame) -> DataFrame:
+    """``raw`` (the line) and ``file_name`` of each broken record."""
+    return records.filter(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("raw"), "file_name")
+
+
 def run_stream(spark: SparkSession, model: IntakeModel, source: str, sink: str,
                checkpoint: str) -> DataFrame:
     """Score every file in ``source`` with an available-now trigger into a Parquet sink."""
@@ -151,6 +171,28 @@ def run_stream(spark: SparkSession, model: IntakeModel, source: str, sink: str,
     return spark.read.parquet(sink)
 
 
+def run_stream_with_rejects(spark: SparkSession, model: IntakeModel, source: str, sink: str, rejects: str,
+                            checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """(scores, broken records): one stream over new files into two Parquet sinks.
+
+    Each micro-batch goes to a folder of its own number in both sinks, and a
+    batch that is run again after a failure overwrites its own folders, so
+    both sinks hold every record once.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()         # two sinks read it, the source is read once
+        try:
+            for df, target in ((score_intake(model, whole_records(batch)), sink), (broken_records(batch), rejects)):
+                df.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    q = (read_records(spark, source, stream=True).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return tuple(spark.read.option("basePath", t).parquet(t).drop("batch") for t in (sink, rejects))
+
+
 def save_intake_model(spark: SparkSession, model: IntakeModel, path: str) -> str:
     """Store scaler statistics and centroids (a few numbers) as one JSON text row."""
     import json
