@@ -107,7 +107,10 @@ def training_rows(docs: DataFrame, sample_docs: int) -> DataFrame:
     scale = 1 << 40
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(scale)) < int(scale * min(1.0, sample_docs / total)))
     known = [r.s for r in base.select(F.explode("shingles").alias("s")).distinct().collect()]      # of the fixed notices
-    others = paragraphs(drawn).filter(~F.arrays_overlap(_shingles(F.col("words")), F.array(*map(F.lit, known))))
+    # through a generator no filter is pushed, so that a line is cut in words and shingles once
+    cut = paragraphs(drawn).select("doc_id", "paragraph", F.explode(F.array("words")).alias("words"))
+    cut = cut.select("doc_id", "paragraph", "words", F.explode(F.array(_shingles(F.col("words")))).alias("shingles"))
+    others = cut.filter(~F.arrays_overlap("shingles", F.array(*map(F.lit, known))))
     others = others.select(F.lit(0).alias("label"), "words", (F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(4)) == 3).alias("held_out"))
     return written(dropped.filter(F.size("words") > 0).union(others), "license-rows")
 
