@@ -129,7 +129,7 @@ def _filter(item_seeds: DataFrame) -> bytes:
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     for r in words:
         out[r.w] = r.mask
-    return np.unpackbits(out.view(np.uint8), bitorder="little").tobytes()
+    return out.tobytes()
 
 
 def _regions(docs: DataFrame, bits: bytes, shapes: list[str]) -> DataFrame:
@@ -137,7 +137,7 @@ def _regions(docs: DataFrame, bits: bytes, shapes: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.frombuffer(sent.value, dtype=np.uint8)
+        table = np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8), bitorder="little")
         low = np.uint64((1 << FILTER_BITS) - 1)
         for b in batches:
             rows = []
