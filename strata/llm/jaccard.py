@@ -57,6 +57,7 @@ SIZE_RATIO = 1.4      # largest to smallest size of a block
 PARITY = 4            # 64-bit words of the parity sketch
 BUCKET = 2048         # sets in a bucket of a large group
 BUCKET_TOKENS = 1 << 20   # shingles of the differences in a bucket
+DEALS = 32            # keys over which the pairs of one leader are dealt
 SALTED = 256          # sets of a group that meet its first set under one key
 BLOOM_WORDS = 1 << 16     # 64-bit words of the filter for texts to read again
 
@@ -135,17 +136,18 @@ def frequency_levels(docs: DataFrame, n: int) -> tuple[int, bytes]:
         out = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
         high = np.minimum(128 + 8 * np.log2(np.maximum(out, 128) / 128), 255)
         levels[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.where(out < 128, out, high)
-    return bits, levels.tobytes()
+    return bits, zlib.compress(levels.tobytes(), 1)
 
 
 def set_features(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, n, set_key, prefix, parity`` of each document."""
+    """``doc_id, n, set_key, prefix, parity`` of each document, a written table."""
     spark = docs.sparkSession
     bits, counters = frequency_levels(docs, n)
     levels = spark.sparkContext.broadcast(counters)
+    del counters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = np.frombuffer(levels.value, dtype=np.uint8)
+        level = np.frombuffer(zlib.decompress(levels.value), dtype=np.uint8)
         for b in batches:
             rows = []
             for text in b["text"]:
@@ -162,7 +164,9 @@ def set_features(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pd.concat([b[["doc_id"]].reset_index(drop=True),
                              pd.DataFrame(rows, columns=["n", "set_key", "prefix", "parity"])], axis=1)
 
-    return docs.mapInPandas(run, "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>")
+    out = written(docs.mapInPandas(run, "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>"), "features")
+    levels.destroy()        # the table is written and read from files from here on
+    return out
 
 
 def _bloom(ids: DataFrame) -> Column:
@@ -201,14 +205,25 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return near.join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, set_key binary, tokens array<long>")
 
 
+def _with_leader(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a, b) joined to the rows of ``leaders`` on ``a``.
+
+    A leader may have very many pairs: they are dealt by b's hash, and the
+    leader's row is copied to the deals that occur, at most one for each pair.
+    """
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)))
+    copies = dealt.select("a", "deal").distinct().join(leaders, "a")
+    return dealt.join(copies, ["a", "deal"]).drop("deal")
+
+
 def checked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """``a, b, apart, linked`` of the pairs: exact difference and verdict."""
     pairs = written(pairs, f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(sets_of(docs, ids, n).drop("set_key"), f"{name}-sets")
-    both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-            .join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
-            .select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"),
+    both = _with_leader(pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b"),
+                        sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")))
+    both = (both.select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"),
                     F.size(F.array_intersect("ta", "tb")).alias("common")))
     return written(both.select("a", "b", (F.col("sizes") - 2 * F.col("common")).alias("apart"),
                                (100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).alias("linked")),
@@ -240,7 +255,7 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
 def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The columns of ``similarity_groups`` and ``set_key``."""
-    features = written(set_features(docs, n, percent), "features")
+    features = set_features(docs, n, percent)
     classes = written(features.filter("n > 0").groupBy("set_key")
                       .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies")), "classes")
     first = features.filter("n > 0").join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -285,9 +300,8 @@ def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
                                         & _parity_near("x", "y", percent))
     more = met_in_list.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = more.join(by_leader.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(checked(more, docs, n, percent, "rest").filter("linked").select("a", "b"))
-
-    groups = connected_components(links)
+    between = checked(more, docs, n, percent, "rest").filter("linked").select("a", "b")
+    groups = _merged(groups, between)
     labels = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "set_key", "class_id", "n_copies", F.coalesce("component", "class_id").alias("component_id"))
     return features.select("doc_id", "n", "set_key").join(labels, "set_key", "left").select(
@@ -295,6 +309,22 @@ def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "set_key")
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` when links between groups are added: components of the groups, not of their nodes."""
+    a, b = (groups.select(F.col("node").alias(k), F.col("component").alias(f"g{k}")) for k in "ab")
+    ends = written(links.join(a, "a", "left").join(b, "b", "left").select(
+        "a", "b", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")), "group-links")
+    if not ends.head(1):
+        return groups
+    higher = connected_components(ends.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(
+        F.col("node").alias("component"), F.col("component").alias("merged"))
+    # ends that were in no group come with their own id
+    alone = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ga").alias("component")),
+                                          F.struct(F.col("b").alias("node"), F.col("gb").alias("component")))).alias("e")).select("e.*")
+    nodes = groups.union(alone.filter("node = component").distinct().join(groups, "node", "left_anti"))
+    return nodes.join(higher, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+
+
 def similarity_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """The columns of ``similarity_groups`` and ``n_links``: the other documents that link to each."""
@@ -391,9 +421,8 @@ def _parity_near(x: str, y: str, percent: int) -> Column:
 
 def _parity_join(pairs: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches allow a link."""
-    a, b = (parity.withColumnRenamed("doc_id", k) for k in ("a", "b"))
-    both = pairs.join(b.alias("y"), "b").join(a.alias("x"), "a")
-    return both.filter(_parity_near("x", "y", percent)).select("a", "b")
+    a, b = (parity.select(F.col("doc_id").alias(k), F.struct("n", "parity").alias(to)) for k, to in (("a", "x"), ("b", "y")))
+    return _with_leader(pairs.join(b, "b"), a).filter(_parity_near("x", "y", percent)).select("a", "b")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
