@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from helpers import SF, awkward, awkward_rows  # noqa: E402
 
-from strata.llm import bytebpe, trie, whitening  # noqa: E402
+from strata.llm import bytebpe, jaccard, licenses, trie, whitening  # noqa: E402
 
 RANKS = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
 
@@ -300,3 +300,36 @@ def test_a_conversation_in_many_ranges_keeps_its_order(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert got == brute_trie(rows, False)
+
+
+# ------------------------------------------------------------------ earlier operators
+
+def test_license_scan_cuts_a_long_line_once(spark):
+    """Awkward rows, among them a line of 60,000 words, in the sample and in the scan."""
+    docs = awkward(spark).select("doc_id", "text")
+    model = licenses.fit(docs)
+    licenses.license_paragraphs(docs, model).collect()
+    licenses.license_paragraphs(docs.limit(0), model).collect()
+
+
+def test_license_sample_has_no_words_in_filters(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(licenses, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    licenses.training_rows(awkward(spark).select("doc_id", "text"), 500)
+    lines = [x for x in plans[0].split("\n") if "regexp_extract_all" in x]
+    assert lines and not any(re.match(r"[\s:+-]*Filter", x) or x.count("regexp_extract_all") > 1 for x in lines)
+
+
+def test_groups_are_merged_by_later_links(spark):
+    groups = spark.createDataFrame([(1, 1), (4, 1), (7, 7), (9, 7), (20, 20), (21, 20)], "node long, component long")
+    links = spark.createDataFrame([(4, 9), (30, 31), (31, 21), (50, 51)], "a long, b long")
+    got = {r.node: r.component for r in jaccard._merged(groups, links).collect()}
+    assert got == {1: 1, 4: 1, 7: 1, 9: 1, 20: 20, 21: 20, 30: 20, 31: 20, 50: 50, 51: 50}
+    assert jaccard._merged(groups, links.limit(0)).count() == 6
+
+
+def test_pairs_of_one_leader_are_dealt(spark):
+    pairs = spark.createDataFrame([(1, b) for b in range(2, 400)] + [(500, 501)], "a long, b long")
+    leaders = spark.createDataFrame([(1, "x"), (500, "y"), (9, "z")], "a long, v string")
+    out = jaccard._with_leader(pairs, leaders)
+    assert sorted((r.a, r.b, r.v) for r in out.collect()) == sorted([(1, b, "x") for b in range(2, 400)] + [(500, 501, "y")])
