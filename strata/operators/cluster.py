@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -19,6 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from strata.operators.evaluate import sample_rows
+from strata.session import materialize, ship_package
+
+SAMPLE = 2_000      # rows of the source's silhouette
+BLOCK = 256         # sampled rows that are met with the whole sample at once
+
 
 # ------------------------------------------------------------------ M12
 
@@ -95,6 +103,54 @@ def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(value,)], "silhouette double")
 
 
+def plain_silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, n: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """(silhouette, n_rows): plain Euclidean distances among ``n`` seeded rows, as the source samples.
+
+    The sample (the ``n`` smallest hash keys of rows with a cluster and a
+    vector) has a fixed bound, so it travels to the tasks whole; every task
+    meets blocks of it with all of it by one matrix product.  A row alone in
+    its cluster counts 0; with fewer than two clusters the value is NULL.
+    """
+    rows = df.filter(F.col(cluster).isNotNull() & F.col(vec).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.transform(vec, lambda x: x.cast("double")).alias("_x"), F.col(cluster).cast("string").alias("_c"))
+    sample = materialize(sample_rows(rows, "_id", n, seed), "silhouette-sample")
+    return _plain_score(sample)
+
+
+def _plain_score(sample: DataFrame) -> DataFrame:
+    """:func:`plain_silhouette` of a bounded table (_id, _x, _c)."""
+    spark = sample.sparkSession
+    ship_package(spark)
+    got = sample.select("_x", "_c").toPandas()
+    names, codes = np.unique(got["_c"].to_numpy(dtype=str), return_inverse=True)
+    x = np.stack(got["_x"].to_numpy()).astype(np.float64) if len(got) else np.zeros((0, 1))
+    if len(names) < 2:
+        return spark.createDataFrame([(None, len(got))], "silhouette double, n_rows long")
+    one_hot = np.eye(len(names))[codes]
+    sent = spark.sparkContext.broadcast((x, one_hot))
+
+    def run(batches):
+        x, member = sent.value
+        sizes, norms = member.sum(axis=0), (x * x).sum(axis=1)
+        for b in batches:
+            for at in b["block"]:
+                i = slice(at * BLOCK, (at + 1) * BLOCK)
+                square = norms[i, None] + norms[None, :] - 2.0 * (x[i] @ x.T)
+                far = np.sqrt(np.maximum(square, 0.0))
+                far[np.arange(len(far)), np.arange(at * BLOCK, at * BLOCK + len(far))] = 0.0
+                total, own = far @ member, member[i] > 0
+                alone = sizes[None, :][np.zeros(len(far), dtype=int)][own] < 2
+                a = total[own] / np.maximum(sizes[None, :] - 1, 1).repeat(len(far), 0)[own]
+                nearest = np.where(own, np.inf, total / sizes).min(axis=1)
+                wide = np.maximum(a, nearest)
+                s = np.where(alone | (wide == 0), 0.0, (nearest - a) / np.where(wide == 0, 1.0, wide))
+                yield pd.DataFrame({"s": [s.sum()]})
+
+    blocks = spark.range(0, -(-len(x) // BLOCK), 1, -(-len(x) // BLOCK)).select(F.col("id").alias("block"))
+    return blocks.mapInPandas(run, "s double").agg((F.sum("s") / len(x)).alias("silhouette"),
+                                                    F.lit(len(x)).cast("long").alias("n_rows"))
+
+
 # ------------------------------------------------------------------ M13, M15, M16
 
 def mllib_tolerance(df: DataFrame, vec: str, tol: float = 1e-4):
@@ -140,7 +196,8 @@ def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts
                   tol: float = 1e-4):
     """Sweep k, choose k by the silhouette of all rows, fit the final model.
 
-    Returns ``(sweep, k, model)``.  The default is one seeded k-means|| fit
+    Returns ``(sweep, k, model)``; the sweep also has the silhouette in plain
+    distances on a sample (:func:`plain_silhouette`).  The default is one seeded k-means|| fit
     per k, whose own sampling rounds stand in for random restarts; 10 and 20
     are the source's settings.  All (k, restart) fits are submitted together
     to a pool of driver threads.  The final fit keeps the best of
@@ -162,9 +219,13 @@ def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts
         best = {k: min((fits[(k, r)] for r in range(restarts)), key=lambda f: f[1]) for k in ks}
         with ThreadPoolExecutor(max_workers=threads) as ex:
             sils = dict(zip(ks, ex.map(lambda k: _score(best[k][0].transform(data), "cluster"), list(ks))))
-        rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]))
+        # the source's own distance on its own sample size, one sample for all k
+        sample = materialize(sample_rows(data, id_col, SAMPLE, seed), "sweep-sample")
+        plain = {k: _plain_score(best[k][0].transform(sample).select(
+            vector_to_array("_v").alias("_x"), F.col("cluster").cast("string").alias("_c"))).first().silhouette for k in ks}
+        rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]), plain[k])
                 for k in ks]
-        sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+        sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_euclidean double")
         scored = [r for r in rows if r[2] is not None]
         k_best = (max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else rows[0][0])
         model = None
@@ -183,9 +244,9 @@ def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts:
     return kmeans_search(df, id_col, vec, ks, restarts, 0, seed, threads)[0]
 
 
-def choose_k(sweep: DataFrame) -> DataFrame:
-    """k with the largest silhouette (smallest k on ties)."""
-    return sweep.orderBy(F.desc_nulls_last("silhouette"), "k").limit(1)
+def choose_k(sweep: DataFrame, by: str = "silhouette") -> DataFrame:
+    """k with the largest silhouette (smallest k on ties), by either kind."""
+    return sweep.orderBy(F.desc_nulls_last(by), "k").limit(1)
 
 
 def assign_clusters(df: DataFrame, id_col: str, vec: str, k: int, restarts: int = 1,

@@ -48,6 +48,22 @@ def silhouette_labels(spark, d):
     return sil.select(F.bround("silhouette", 6).alias("silhouette"))
 
 
+@register("silhouette_euclidean", """WITH s AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE label IS NOT NULL
+  ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 2000),
+n AS (SELECT label, count(*) AS n FROM s GROUP BY label),
+t AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total
+      FROM s a CROSS JOIN s b GROUP BY ALL),
+per AS (SELECT vec_id, max(CASE WHEN t.label = other AND n > 1 THEN total / (n - 1) END) AS a,
+          min(CASE WHEN t.label <> other THEN total / n END) AS b FROM t JOIN n ON n.label = other GROUP BY vec_id)
+SELECT round_even(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+  count(*) AS n_rows FROM per""")
+def silhouette_euclidean(spark, d):
+    """Silhouette of the given label in plain distances on the source's sample of 2,000."""
+    out = cluster.plain_silhouette(_emb(spark, d), "vec_id", "embedding", "label")
+    return out.select(F.bround("silhouette", 6).alias("silhouette"), "n_rows")
+
+
 def _z(spark, d):
     return cluster.standardize(_emb(spark, d), "embedding").select("vec_id", "z", "label")
 
@@ -74,6 +90,12 @@ def choose_k(spark, d):
     return cluster.choose_k(_search(spark, d)[0])
 
 
+@register("choose_k_euclidean")
+def choose_k_euclidean(spark, d):
+    """The k that the source's plain-distance silhouette picks."""
+    return cluster.choose_k(_search(spark, d)[0], "silhouette_euclidean")
+
+
 @register("assign_clusters")
 def assign_clusters(spark, d):
     """Final k-means fit at the chosen k; cluster id per vector

@@ -93,6 +93,26 @@ def score_intake_given(spark, d):
     return intake.score_intake(GIVEN, intake_rows(spark, d)).select("intake_id", "valid", "cluster", "profile_name")
 
 
+# The source leaves the texts open, so these entries only show the table's use.
+GUIDANCE = (
+    [("next_step", name, 1, f"Review the care plan for: {name}") for name, _ in PROFILES]
+    + [("resource", name, 1, "Local caregiver support line") for name, _ in PROFILES[:3]]
+    + [("next_step", factor, 1, f"Talk about: {factor}") for factor in intake.FIELD_NAMES.values()])
+
+
+@register("intake_guidance", _FORMS_SQL.replace("SELECT intake_id, valid, CASE WHEN valid THEN k END AS cluster,", "SELECT intake_id,").replace(
+    " AS profile_name\nFROM near", " AS profile_name,\n  CASE WHEN valid THEN 'Review the care plan for: ' || CASE k "
+    + " ".join(f"WHEN {k} THEN '{PROFILES[p][0]}'" for k, p in enumerate(GIVEN.profiles)) + " END ELSE '' END AS first_step,\n"
+    "  CASE WHEN valid THEN 4 ELSE 0 END AS n_steps,\n  CASE WHEN valid AND k IN ("
+    + ", ".join(str(k) for k, p in enumerate(GIVEN.profiles) if p < 3) + ") THEN 1 ELSE 0 END AS n_resources\nFROM near"))
+def intake_guidance(spark, d):
+    """Next steps and resources of every form by its profile and top factors."""
+    guidance = spark.createDataFrame(GUIDANCE, intake.GUIDANCE_SCHEMA)
+    out = intake.with_guidance(intake.score_intake(GIVEN, intake_rows(spark, d)), guidance)
+    return out.select("intake_id", "profile_name", F.coalesce(F.get("next_steps", F.lit(0)), F.lit("")).alias("first_step"),
+                      F.size("next_steps").alias("n_steps"), F.size("resources").alias("n_resources"))
+
+
 # one form in JSON by event; the line of an "error" event ends inside its first value
 _LINE = """concat('{"intake_id":', CAST(event_id AS VARCHAR(20)), ',"care_hours":"',
   CASE WHEN event_type = 'error' THEN '' ELSE concat(CAST(event_id % 90 AS VARCHAR(20)),

@@ -27,9 +27,16 @@ def run_report(spark, sf_dir: str, out_dir: str, fmt: str = "parquet") -> dict[s
     from strata.sources.survey import write_tables
     # building the sections fills the shared results (analysis table, model,
     # attributions) one after another; the writes then run concurrently
-    tables = {name: QUERIES[name](spark, sf_dir) for name in SECTIONS}
+    tables = {"report_header": header(spark, sf_dir)} | {name: QUERIES[name](spark, sf_dir) for name in SECTIONS}
     paths = write_tables(tables, out_dir, fmt, parallel=4)
-    return dict(zip(SECTIONS, paths))
+    return dict(zip(tables, paths))
+
+
+def header(spark, sf_dir: str):
+    """When the report was made, from which folder, and its split with the threshold."""
+    about = QUERIES["dataset_overview"](spark, sf_dir).select("valid_rows", "threshold")
+    return about.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm").alias("generated"),
+                        F.lit(sf_dir).alias("data"), F.lit("median").alias("split"), "threshold", "valid_rows")
 
 
 def full_report(spark, d):

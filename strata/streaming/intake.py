@@ -135,6 +135,35 @@ def score_intake(model: IntakeModel, df: DataFrame) -> DataFrame:
                     F.when(F.col("valid"), top).alias("top_factors")))
 
 
+GUIDANCE_SCHEMA = "kind string, subject string, place int, entry string"
+
+
+def with_guidance(scored: DataFrame, guidance: DataFrame) -> DataFrame:
+    """Scored forms with ``next_steps`` and ``resources``, from a table of entries.
+
+    ``guidance`` has ``kind`` (next_step or resource), ``subject`` (a profile's
+    name or a factor of ``FIELD_NAMES``), ``place`` and ``entry``.  A form gets
+    the entries of its profile by place, then those of its top factors in the
+    factors' order, each entry once; forms without a profile get empty lists.
+    The table is folded to one row, so scoring stays a map, in a stream too.
+    """
+    entry = F.struct("place", "entry")
+    folded = (guidance.groupBy("kind", "subject").agg(F.array_sort(F.collect_list(entry)).getField("entry").alias("entries"))
+              .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "subject"), "entries"))).alias("m")))
+    row = folded.first()        # as large as the table of entries, a fixed text
+    entries = row.m if row and row.m else {}
+    table = F.create_map(*[x for k, v in sorted(entries.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))]) if entries else None
+    subjects = F.concat(F.array("profile_name"), F.coalesce("top_factors", F.array().cast("array<string>")))
+
+    def listed(kind: str) -> Column:
+        none = F.array().cast("array<string>")
+        if table is None:
+            return none
+        got = F.flatten(F.transform(subjects, lambda s: F.coalesce(table[F.concat(F.lit(f"{kind}|"), s)], none)))
+        return F.when(F.col("profile_name").isNotNull(), F.array_distinct(got)).otherwise(none)
+    return scored.select("*", listed("next_step").alias("next_steps"), listed("resource").alias("resources"))
+
+
 def read_intake(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """JSON intake records with the fixed schema (batch or streaming)."""
     reader = spark.readStream if stream else spark.read

@@ -1,4 +1,4 @@
-"""Stored results, the population cube and broken intake records."""
+"""Stored results, the population cube, intake records and the plain silhouette."""
 
 from __future__ import annotations
 
@@ -110,3 +110,46 @@ def test_broken_records_go_to_their_own_sink_over_a_restart(spark, tmp_path):
     assert sorted(map(tuple, scores.select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect())) and scores.count() == 40
     assert sorted(r.raw for r in intake.broken_records(records).collect()) == sorted([*bad, bad[0]])
     assert all(r.file_name.startswith("part-") for r in broken.collect())
+
+
+def test_guidance_by_profile_and_factors(spark):
+    from strata.streaming import intake
+    scored = spark.createDataFrame([(1, "P", ["A", "B"]), (2, "Q", ["B", "C"]), (3, None, None)], "intake_id int, profile_name string, top_factors array<string>")
+    rows = [("next_step", "P", 2, "p2"), ("next_step", "P", 1, "p1"), ("next_step", "B", 1, "b"), ("next_step", "A", 1, "p1"),
+            ("resource", "Q", 1, "line"), ("resource", "B", 1, "line")]
+    got = {r.intake_id: (r.next_steps, r.resources) for r in intake.with_guidance(scored, spark.createDataFrame(rows, intake.GUIDANCE_SCHEMA)).collect()}
+    assert got == {1: (["p1", "p2", "b"], ["line"]), 2: (["b"], ["line"]), 3: ([], [])}
+    none = intake.with_guidance(scored, spark.createDataFrame([], intake.GUIDANCE_SCHEMA)).first()
+    assert none.next_steps == [] == none.resources
+
+
+def test_plain_silhouette_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+    from strata.operators import cluster, evaluate
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    c = [int(i) for i in rng.integers(0, 3, size=90)] + [7, None]
+    x = rng.normal(size=(92, 4)) + np.array([v or 0 for v in c])[:, None]
+    df = spark.createDataFrame([(i, x[i].tolist(), c[i]) for i in range(92)] + [(200, None, 1)], "id long, v array<double>, c int")
+
+    def brute(ids):
+        out = []
+        for i in ids:
+            to = {k: [np.linalg.norm(x[i] - x[j]) for j in ids if c[j] == k and j != i] for k in {c[j] for j in ids}}
+            a, b = to[c[i]], min(np.mean(v) for k, v in to.items() if k != c[i])
+            out.append(0.0 if not a else (b - np.mean(a)) / max(np.mean(a), b))
+        return float(np.mean(out))
+    got = cluster.plain_silhouette(df, "id", "v", "c").first()
+    assert got.n_rows == 91 and abs(got.silhouette - brute(range(91))) < 1e-9
+    ids = [r.id for r in evaluate.sample_rows(df.filter("c is not null and v is not null"), "id", 40).collect()]
+    assert abs(cluster.plain_silhouette(df, "id", "v", "c", n=40).first().silhouette - brute(ids)) < 1e-9
+    assert cluster.plain_silhouette(df.filter("c = 1"), "id", "v", "c").first().silhouette is None
+    assert cluster.plain_silhouette(df.limit(0), "id", "v", "c").first().silhouette is None
+    sweep = cluster.kmeans_sweep(df.filter("v is not null"), "id", "v", range(2, 4)).collect()
+    assert all(-1 <= r.silhouette_euclidean <= 1 for r in sweep)
+
+
+def test_report_header(spark):
+    from strata.plans import catalog, report  # noqa: F401  (the catalog registers the sections)
+    h = report.header(spark, SF_SMALL).first()
+    assert len(h.generated) == 16 and h.threshold > 0 and h.valid_rows > 0
