@@ -23,6 +23,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_ngram_jaccard_join": jaccard.ORACLE_SQL,
+    "op1_ngram_jaccard_links": jaccard.ORACLE_SQL,
     "op3_url_filters": urls.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,

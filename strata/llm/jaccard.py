@@ -21,11 +21,15 @@ links connect.
   difference of their distances to it bounds their own distance from below.
   A parity sketch of each set (256 bits, one flip per shingle) bounds the
   distance of all others.  Only pairs that pass go to the exact check.
-* Numbers of links.  Links join sets of one group only.  Each set of a group is
-  kept as its difference to the group's first set; the difference of two sets
-  is that of their differences, so that every pair's verdict is exact and comes
-  from short lists.  Large groups are dealt in buckets, pair by pair of buckets,
-  and only sums per set leave a task.
+* Numbers of links.  Links join sets of one group only.  A set's answers come
+  from those of the group's first set, to which each set's difference is kept:
+  two sets whose differences together are no larger than D link, and two whose
+  differences' sizes lie further apart than D don't.  Only the pairs in between
+  need the difference of the two differences, which gives their exact verdict
+  from short lists.  Sets are classed by the size of their difference, in steps
+  of the group's largest D, so that only neighbouring classes meet (a chain's
+  far ends never do); large classes are dealt in buckets, pair by pair of
+  buckets, and only sums per set leave a task.
 
 Cases: a null text counts as empty; an empty text has an empty set, links with
 nothing and is its own group.  Fewer words than n give one shingle.  Repeated
@@ -333,7 +337,7 @@ def similarity_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     groups = written(_groups(docs, n, percent), "groups")
     classes = groups.filter("n_shingles > 0").groupBy("set_key").agg(
         *[F.min(c).alias(c) for c in ("class_id", "n_copies", "component_id", "n_shingles")])
-    members = _differences(classes, docs, n)
+    members = _differences(classes, docs, n, percent)
     counts = link_counts(members, percent)
     own = F.when(F.col("n_shingles") > 0, F.col("n_copies") - 1).otherwise(F.lit(0))
     return groups.join(counts, "set_key", "left").select(
@@ -341,10 +345,12 @@ def similarity_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         (own + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
 
 
-def _differences(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """``component_id, bucket, buckets, set_key, n, n_copies, apart`` of the sets in groups of several.
+def _differences(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``component_id, step, bucket, buckets, above, under, set_key, n, n_copies, apart`` of the sets in groups of several.
 
     ``apart`` lists the shingles in which a set differs from the group's first.
+    ``step`` classes it by their number; ``buckets``, ``above`` and ``under``
+    are the buckets of this class and of the next and the last one.
     """
     several = classes.groupBy("component_id").agg(F.count("*").alias("sets"), F.min(F.struct("class_id", "set_key")).alias("f")).filter("sets > 1").select(
         "component_id", "sets", F.col("f.set_key").alias("first_key"))
@@ -360,9 +366,16 @@ def _differences(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     met = sets.withColumn("salt", F.pmod(F.xxhash64("set_key"), salts).cast("int")).join(firsts, ["component_id", "salt"])
     apart = F.concat(F.array_except("tokens", "first"), F.array_except("first", "tokens"))
     met = written(met.select("component_id", "set_key", F.col("n_shingles").alias("n"), "n_copies", apart.alias("apart")), "differences")
-    size = met.groupBy("component_id").agg(F.greatest(
-        F.ceil(F.count("*") / F.lit(BUCKET)), F.ceil(F.sum(F.size("apart")) / F.lit(BUCKET_TOKENS))).cast("int").alias("buckets"))
-    return met.join(size, "component_id").withColumn("bucket", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("buckets")).cast("int"))
+    widest = met.groupBy("component_id").agg(F.greatest(_difference(F.max("n"), F.max("n"), percent), F.lit(1)).alias("width"))
+    met = met.join(widest, "component_id").withColumn("step", F.floor(F.size("apart") / F.col("width")).cast("int")).drop("width")
+    size = met.groupBy("component_id", "step").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(BUCKET)), F.ceil(F.sum(F.size("apart")) / F.lit(BUCKET_TOKENS)), F.lit(1)).cast("int").alias("buckets"))
+    size = written(size, "link-steps")
+    for name, by in (("above", -1), ("under", 1)):
+        other = size.groupBy("component_id", (F.col("step") + by).alias("step")).agg(F.first("buckets").alias(name))
+        met = met.join(other, ["component_id", "step"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return met.join(size, ["component_id", "step"]).withColumn(
+        "bucket", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("buckets")).cast("int"))
 
 
 def _common(x: pd.Series, y: pd.Series) -> np.ndarray:
@@ -381,35 +394,59 @@ def _common(x: pd.Series, y: pd.Series) -> np.ndarray:
     return out
 
 
+def verdicts(x: pd.DataFrame, y: pd.DataFrame, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Linked copies of each row of x and of y, and how many pairs had to be compared.
+
+    Rows have ``n``, ``n_copies`` and ``apart``; ``same`` says that x is y.
+    """
+    n, m = (s["n"].to_numpy(dtype=np.int64) for s in (x, y))
+    d, e = (s["apart"].map(len).to_numpy(dtype=np.int64) for s in (x, y))
+    copies = [s["n_copies"].to_numpy(dtype=np.int64) for s in (x, y)]
+    links = [np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)]
+    compared = 0
+    for k in range(0, len(x), 128):      # the verdicts of 128 rows at a time
+        part = slice(k, k + 128)
+        most = (100 - percent) * (n[part, None] + m[None, :]) // (100 + percent)
+        linked = d[part, None] + e[None, :] <= most
+        between = ~linked & (np.abs(d[part, None] - e[None, :]) <= most)
+        rows, cols = np.flatnonzero(between.any(axis=1)), np.flatnonzero(between.any(axis=0))
+        if len(rows):
+            at = np.ix_(rows, cols)
+            common = _common(x["apart"].iloc[k + rows], y["apart"].iloc[cols])
+            far = (d[k + rows, None] + e[None, cols]) - 2 * common
+            linked[at] |= between[at] & (far <= most[at])
+            compared += int(between.sum())
+        if same:
+            linked[np.arange(len(linked)), k + np.arange(len(linked))] = False
+        links[0][part] = linked @ copies[1]
+        links[1] += linked.T @ copies[0][part]
+    return links[0], links[1], compared
+
+
 def link_counts(members: DataFrame, percent: int) -> DataFrame:
     """``set_key, links``: the documents of the other sets that link to each."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-        x, y = (rows[rows["bucket"] == k].reset_index(drop=True) for k in (lo, hi))
+        lo, hi = (tuple(rows[[f"{s}_step", f"{s}_bucket"]].iloc[0]) for s in ("lo", "hi"))
+        x, y = (rows[(rows["step"] == s) & (rows["bucket"] == b)].reset_index(drop=True) for s, b in (lo, hi))
         if not len(x) or not len(y):
             return pd.DataFrame({"set_key": [], "links": []})
-        common = _common(x["apart"], y["apart"])
-        n, m = (s["n"].to_numpy(dtype=np.int64) for s in (x, y))
-        d, e = (s["apart"].map(len).to_numpy(dtype=np.int64) for s in (x, y))
-        copies = [s["n_copies"].to_numpy(dtype=np.int64) for s in (x, y)]
-        links = [np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)]
-        for k in range(0, len(x), 128):      # the verdicts of 128 rows at a time
-            part = slice(k, k + 128)
-            sizes = n[part, None] + m[None, :]
-            shared = (sizes - (d[part, None] + e[None, :] - 2 * common[part])) // 2
-            linked = 100 * shared >= percent * (sizes - shared)
-            if lo == hi:
-                linked[np.arange(len(linked)), k + np.arange(len(linked))] = False
-            links[0][part] = linked @ copies[1]
-            links[1] += linked.T @ copies[0][part]
-        out = [pd.DataFrame({"set_key": s["set_key"], "links": v}) for s, v in zip((x, y), links)]
+        of_x, of_y, _ = verdicts(x, y, percent, lo == hi)
+        out = [pd.DataFrame({"set_key": s["set_key"], "links": v}) for s, v in ((x, of_x), (y, of_y))]
         return out[0] if lo == hi else pd.concat(out)
 
-    others = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda k: F.struct(
-        F.least(k, "bucket").alias("lo"), F.greatest(k, "bucket").alias("hi")))
-    dealt = members.withColumn("p", F.explode(others)).select("component_id", "p.lo", "p.hi", "bucket", "set_key", "n", "n_copies", "apart")
-    sums = dealt.groupBy("component_id", "lo", "hi").applyInPandas(run, "set_key binary, links long")
+    def pair(lo_step, lo_bucket, hi_step, hi_bucket):
+        return F.struct(*[c.cast("int").alias(a) for c, a in ((lo_step, "lo_step"), (lo_bucket, "lo_bucket"), (hi_step, "hi_step"), (hi_bucket, "hi_bucket"))])
+
+    step, bucket = F.col("step"), F.col("bucket")
+    none = F.array().cast("array<struct<lo_step:int,lo_bucket:int,hi_step:int,hi_bucket:int>>")
+
+    def met(count, make):
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)).otherwise(none)
+    others = F.concat(met("buckets", lambda k: pair(step, F.least(k, bucket), step, F.greatest(k, bucket))),
+                      met("above", lambda k: pair(step, bucket, step + 1, k)), met("under", lambda k: pair(step - 1, k, step, bucket)))
+    dealt = members.withColumn("p", F.explode(others)).select("component_id", "p.*", "step", "bucket", "set_key", "n", "n_copies", "apart")
+    sums = dealt.groupBy("component_id", "lo_step", "lo_bucket", "hi_step", "hi_bucket").applyInPandas(run, "set_key binary, links long")
     return sums.groupBy("set_key").agg(F.sum("links").alias("links"))
 
 
@@ -433,13 +470,13 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents whose three-word shingles agree to 90 of 100."""
-    return similarity_groups(documents(spark, sf_dir), n=3, percent=90)
+    """Groups of documents whose three-word shingles agree to 90 of 100, and each one's number of links."""
+    return similarity_links(documents(spark, sf_dir), n=3, percent=90)
 
 
 def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the number of links of every document."""
-    return similarity_links(documents(spark, sf_dir), n=3, percent=90)
+    """The same; kept under its earlier name."""
+    return query(spark, sf_dir)
 
 
 ORACLE_SQL = r"""
@@ -456,6 +493,7 @@ pairs AS (
 links AS (
   SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
   WHERE 100 * common >= 90 * (na.n + nb.n - common)),
+linked AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
@@ -463,6 +501,7 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
 texts AS (SELECT doc_id, string_agg(sh, chr(10) ORDER BY sh) AS t FROM s GROUP BY doc_id),
 same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS class_id, count(*) OVER (PARTITION BY t) AS n_copies FROM texts)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.component_id,
-       coalesce(same.class_id, d.doc_id) AS class_id, coalesce(same.n_copies, 1) AS n_copies
-FROM documents d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id)
+       coalesce(same.class_id, d.doc_id) AS class_id, coalesce(same.n_copies, 1) AS n_copies,
+       coalesce(linked.n_links, 0) AS n_links
+FROM documents d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id) LEFT JOIN linked USING (doc_id)
 """

@@ -320,6 +320,32 @@ def test_license_sample_has_no_words_in_filters(spark, monkeypatch):
     assert lines and not any(re.match(r"[\s:+-]*Filter", x) or x.count("regexp_extract_all") > 1 for x in lines)
 
 
+def _sets(rows):
+    import pandas as pd
+    return pd.DataFrame(rows, columns=["n", "n_copies", "apart"])
+
+
+def test_links_of_near_copies_are_derived_and_a_chain_meets_neighbours():
+    rng = np.random.default_rng(3)
+    # 5,000 near copies of a set of 400: up to 8 shingles apart from the first, D is 42
+    near = _sets([(400, 1, rng.choice(10 ** 6, size=rng.integers(0, 9), replace=False)) for _ in range(5000)])
+    of_x, of_y, compared = jaccard.verdicts(near, near, 90, True)
+    assert compared == 0 and (of_x == 4999).all() and (of_y == 4999).all()
+    # a chain: set i has lost i shingles of the first and gained i others
+    chain = _sets([(100, 2, np.r_[np.arange(i), 1000 + np.arange(i)]) for i in range(300)])
+    of_x, _, compared = jaccard.verdicts(chain, chain, 90, True)
+    assert of_x.tolist() == [2 * sum(j != i and 2 * abs(i - j) <= 10 for j in range(300)) for i in range(300)]
+    assert compared < 300 * 12
+
+
+def test_links_of_a_long_chain_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 6)
+    docs = {i: " ".join(f"w{j}" for j in range(i, i + 40)) for i in range(60)}
+    got = jaccard.similarity_links(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 1, 90).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(j != i and 100 * (40 - abs(i - j)) >= 90 * (40 + abs(i - j)) for j in docs) for i in docs}
+    assert {r.component_id for r in got} == {0}
+
+
 def test_groups_are_merged_by_later_links(spark):
     groups = spark.createDataFrame([(1, 1), (4, 1), (7, 7), (9, 7), (20, 20), (21, 20)], "node long, component long")
     links = spark.createDataFrame([(4, 9), (30, 31), (31, 21), (50, 51)], "a long, b long")
