@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from helpers import SF, awkward, awkward_rows  # noqa: E402
 
-from strata.llm import bytebpe, jaccard, licenses, trie, whitening  # noqa: E402
+from strata.llm import bytebpe, jaccard, licenses, toxicity, trie, whitening  # noqa: E402
 
 RANKS = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
 
@@ -359,3 +359,40 @@ def test_pairs_of_one_leader_are_dealt(spark):
     leaders = spark.createDataFrame([(1, "x"), (500, "y"), (9, "z")], "a long, v string")
     out = jaccard._with_leader(pairs, leaders)
     assert sorted((r.a, r.b, r.v) for r in out.collect()) == sorted([(1, b, "x") for b in range(2, 400)] + [(500, 501, "y")])
+
+
+def test_ftrl_equals_plain_scalar_code():
+    s = toxicity.Settings(alpha=0.7, beta=1.3, l1=0.4, l2=0.2)
+    model, bias = toxicity.Ftrl(s), 1 << toxicity.BITS
+    rng = np.random.default_rng(9)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == bias else s.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+    for _ in range(300):
+        places = np.unique(rng.integers(0, 40, size=6))
+        label = int(places.min() < 5)
+        model.learn(places, label)
+        at = [*places.tolist(), bias]
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in at:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+            n[i] += g * g
+    at = np.append(np.arange(40), bias)
+    assert np.allclose(model.weights(at), [weight(i) for i in at]) and (model.weights(at) == 0).any() and (model.weights(at) != 0).any()
+
+
+def test_toxicity_learns_from_a_written_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    names = []
+    keep = toxicity.written
+    try:
+        toxicity.written = lambda df, name: names.append(name) or keep(df, name)
+        assert toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    finally:
+        toxicity.written = keep
+    assert names == ["toxicity-features"]
