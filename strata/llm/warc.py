@@ -42,6 +42,7 @@ from strata.sources.tables import read_table
 DATE = "2024-01-01T00:00:00Z"     # the tables carry no capture time
 BLOCK_LINES = 256
 ARCHIVE_BYTES = 1 << 30           # a task begins another archive beyond this
+READ_BYTES = 64 << 20             # of compressed records that one task reads back
 SHARDS = 64                       # index shards; their first keys go to all tasks
 
 _PLACE = "key string, page_id long, file string, start long, length long"
@@ -256,7 +257,12 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
         if f is not None:
             f.close()
 
-    ordered = places.repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    # as many tasks as the archives' bytes ask for: the rows of places are small, what they point to isn't
+    places = written(places, "warc-places")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-int(total) // READ_BYTES), min(cores, int(total) >> 20))      # small archives: all cores, a MB each
+    ordered = places.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
     return ordered.select("file", "start", "length").mapInPandas(
         run, "page_id long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
