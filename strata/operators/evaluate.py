@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.prefix import running_sums
+from strata.session import materialize
 
 
 def hash_key(id_col: str, seed: int = 42):
@@ -19,34 +20,50 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test: float = 0.2,
                      seed: int = 42, prefix_len: int = 5, out: str = "is_test") -> DataFrame:
     """Exact per-class test share: the round(test * n_class) smallest hash keys.
 
-    Equivalent to ``row_number() OVER (PARTITION BY label ORDER BY key) <=
-    round(test * n)`` without sorting a class in one task: rows are counted
-    per (label, key prefix) and a running count over the prefixes gives each
-    prefix range its offset within the class; the rank is then offset +
-    ``row_number()`` within (label, prefix), a window over groups of about
-    n / 16**prefix_len rows that reuses the join's hash partitioning.  The
-    count table has at most ``classes x 16**prefix_len`` rows whatever the
-    data size.  Ids are record ids (unique): copies of one id would share a
-    hash and so one (label, prefix) group.
+    Equivalent to ``row_number() OVER (PARTITION BY label ORDER BY key, id) <=
+    round(test * n)``, but no row is ranked that a comparison can place.  The
+    last test row of a class is looked for in two steps: rows are counted per
+    (label, key prefix), which names the prefix it lies in, and the rows of
+    these prefixes, about n / 16**prefix_len of a class, per (label, key, id).
+    Every other row is before or after that key.  The count tables have at most
+    ``classes x 16**prefix_len`` rows and the distinct ids of one prefix of each
+    class, whatever the data size.
+
+    Ids may repeat.  Copies of an id are in the test set together, unless the
+    class's last test row is one of them: these copies are ordered by a hash of
+    the whole row, equal rows by their place in a written table, and numbered
+    in ranges of that order, so that an id which holds half of all rows spreads
+    over many tasks.  Rows without a label are a class of their own; rows
+    without an id come first.
     """
-    x = df.withColumn("_h", hash_key(id_col, seed)).withColumn(
-        "_p", F.substring("_h", 1, prefix_len))
-    counts = x.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    w_cls = Window.partitionBy(label)
-    w_cum = Window.partitionBy(label).orderBy("_p").rowsBetween(
+    x = df.withColumn("_h", F.coalesce(hash_key(id_col, seed), F.lit(""))).withColumn("_p", F.substring("_h", 1, prefix_len))
+    x = x.withColumn("_id", F.col(id_col)).withColumn("_l", F.col(label))
+    until = lambda *order: Window.partitionBy("_l").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    plan = counts.select(
-        label, "_p",
-        F.bround(F.lit(test) * F.sum("_n").over(w_cls), 0).alias("_k"),
-        (F.sum("_n").over(w_cum) - F.col("_n")).alias("_prev"))
-    # the count table is an aggregate output: AQE broadcasts it when its measured
-    # size is small and keeps a shuffle join otherwise (no extra counting job)
-    # a NULL label is a class of its own, so the keys compare null-safe
-    plan = plan.withColumnRenamed(label, "_l").withColumnRenamed("_p", "_pp")
-    j = x.join(plan, x[label].eqNullSafe(plan["_l"]) & (x["_p"] == plan["_pp"]))
-    w_rank = Window.partitionBy(label, "_p").orderBy("_h", id_col)
-    rank = F.col("_prev") + F.row_number().over(w_rank)
-    return j.select(*df.columns, (rank <= F.col("_k")).alias(out))
+    holds = (F.col("_k") > F.col("_cum") - F.col("_n")) & (F.col("_k") <= F.col("_cum"))      # the class's last test row
+    prefixes = x.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_l", "_p", "_n", F.bround(F.lit(test) * F.sum("_n").over(Window.partitionBy("_l")), 0).alias("_k"),
+        F.sum("_n").over(until("_p")).alias("_cum"))
+    last = prefixes.filter(holds).select(F.col("_l").alias("_c"), F.col("_p").alias("_at"), (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_k"))
+    near = x.join(last, F.col("_l").eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_at")))
+    keys = near.groupBy("_l", "_h", "_id", "_k").agg(F.count(F.lit(1)).alias("_n")).select(
+        "*", F.sum("_n").over(until("_h", "_id")).alias("_cum"))
+    # one row per class: its last key, and how many of that key's rows are test rows
+    ends = materialize(keys.filter(holds).select(
+        F.col("_l").alias("_c"), F.col("_h").alias("_eh"), F.col("_id").alias("_eid"),
+        (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_take"), F.col("_n").alias("_of")), "split-ends")
+    j = x.join(ends, F.col("_l").eqNullSafe(F.col("_c")), "left")       # a class without test rows has no end
+    same = (F.col("_h") == F.col("_eh")) & F.col("_id").eqNullSafe(F.col("_eid"))
+    before = (F.col("_h") < F.col("_eh")) | ((F.col("_h") == F.col("_eh")) & (F.col("_id") <= F.col("_eid"))) | same
+    cut = F.coalesce(same & (F.col("_take") < F.col("_of")), F.lit(False))
+    placed = j.select(*df.columns, F.coalesce(before, F.lit(False)).alias(out), cut.alias("_cut"), "_l", "_take")
+    if not ends.filter("_take < _of").head(1):
+        return placed.select(*df.columns, out)
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    tied = materialize(placed.filter("_cut").withColumn("_t", row).withColumn("_u", F.monotonically_increasing_id()), "split-ties")
+    numbered = running_sums(tied.withColumn("_one", F.lit(1)), "_t", ["_one"], tie_col="_u", by=["_l"])
+    return placed.filter(~F.col("_cut")).select(*df.columns, out).unionByName(
+        numbered.select(*df.columns, (F.col("cum__one") <= F.col("_take")).alias(out)))
 
 
 # ------------------------------------------------------------------ M8

@@ -54,6 +54,24 @@ def test_stratified_split_equals_row_number_definition(spark):
         assert r.k == round(0.2 * r.n)
 
 
+def test_split_with_an_id_that_holds_half_of_all_rows(spark):
+    # id 3 has 1000 rows of class 1, 400 of them equal in every column; others are single
+    rows = [(3, 1, None if k < 400 else k) for k in range(1000)] + [(k, k % 2, k) for k in range(10, 1010)] + [(None, 0, k) for k in range(5)]
+    df = spark.createDataFrame(rows, "id long, y int, v long")
+    for seed in (42, 1, 2, 3):      # orders with the hot id before, at and after the cut
+        for share in (0.2, 0.5):
+            got = evaluate.stratified_split(df.repartition(6), "id", "y", share, seed)
+            sizes = {r.y: (r.k, r.n) for r in got.groupBy("y").agg(F.sum(F.col("is_test").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).collect()}
+            assert sizes == {y: (round(share * n), n) for y, n in ((0, 505), (1, 1500))}
+            # ids but the one at the cut lie on one side, as by definition
+            key = {r.id: r.h for r in df.select("id", F.coalesce(evaluate.hash_key("id", seed), F.lit("")).alias("h")).distinct().collect()}
+            seen = got.filter("y = 1").select("id", "is_test").distinct().collect()
+            inside, outside = ({key[r.id] for r in seen if r.is_test == t} for t in (True, False))
+            assert max(inside) <= min(outside) and len(inside & outside) <= 1
+    spread = running_sums(df.filter("id = 3").withColumn("u", F.monotonically_increasing_id()).withColumn("one", F.lit(1)), "one", ["one"], 8, tie_col="u")
+    assert sorted(r.cum_one for r in spread.collect()) == list(range(1, 1001))      # copies of one id number through, whatever their ranges
+
+
 def test_sample_rows_is_exact_and_deterministic(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     a = [r.k for r in evaluate.sample_rows(df, "k", 37).collect()]
