@@ -6,7 +6,8 @@ share of its word characters is rejected, as is one that fails the base rules
 (too few words, or too many words inside repeated three-word windows).
 
 Cases: a null text counts as empty (no words, base rules fail, not kept; the
-cleaned text is empty).  Texts of any length are judged whole.  Repeated rows
+cleaned text is empty).  Texts and lines of any length are judged whole, and alike: distinct
+words are counted in fixed windows of a line.  Repeated rows
 are judged one by one and all returned.  An empty table gives an empty result.
 Extra columns pass through ``clean_documents`` untouched; ``quality_scores``
 returns only its own columns, so clashing names do no harm.
@@ -48,8 +49,9 @@ class LineRules:
     min_capital_words: int = 5
     max_bang_share: float = 0.30        # words that end in !! / words
     max_separators_per_word: float = 0.20   # stand-alone | > » · / words: navigation
-    min_distinct_share: float = 0.20    # distinct words / words, lines of min_words on
+    min_distinct_share: float = 0.20    # distinct words of each window / words, lines of min_words on
     min_words: int = 20
+    window: int = 200                   # words of a window; a share of whole lines would fall with their length
     boilerplate_words: int = 12         # a furniture phrase removes lines up to this length
     max_lost_share: float = 0.40        # word characters of removed lines / all
     base_min_words: int = 50
@@ -99,8 +101,10 @@ def line_fails(line: str, words: list[str], chars: int, symbols: int, rules: Lin
         return "punctuation"
     if n_words >= rules.min_capital_words and sum(map(str.isupper, words)) > rules.max_capital_share * n_words:
         return "punctuation"
-    if n_words >= rules.min_words and len(set(words)) < rules.min_distinct_share * n_words:
-        return "boilerplate"
+    if n_words >= rules.min_words:
+        distinct = sum(len(set(words[k:k + rules.window])) for k in range(0, n_words, rules.window))
+        if distinct < rules.min_distinct_share * n_words:
+            return "boilerplate"
     if n_words <= rules.boilerplate_words and _FURNITURE.search(line.lower()):
         return "boilerplate"
     return None
@@ -199,7 +203,7 @@ judged AS (
   SELECT *, again OR symbols > 0.10 * chars OR (separators > 0.20 * n AND n > 3)
          OR len(list_filter(ws, lambda w: ends_with(w, '!!'))) > 0.30 * n
          OR (n >= 5 AND len(list_filter(ws, lambda w: w = upper(w) AND w <> lower(w))) > 0.60 * n)
-         OR (n >= 20 AND len(list_distinct(ws)) < 0.20 * n)
+         OR (n >= 20 AND list_sum(list_transform(range(1, n + 1, 200), lambda k: len(list_distinct(ws[k:k + 199])))) < 0.20 * n)
          OR (n <= 12 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|privacy policy|terms of use|terms of service|javascript is disabled|enable javascript|click here|read more|sign in|log in|subscribe to our newsletter|share this|back to top|skip to content')) AS fails
   FROM used),
 figures AS (
