@@ -21,8 +21,8 @@ leave the scan, with the words around them; the join behind it is exact.
 Words are runs of letters, digits and ``_``, lower-cased.
 
 Cases: null and empty texts have no words and match nothing.  Texts and
-items of any length are read whole; around a hit, ``CONTEXT`` words on either
-side are compared, more than ``min_words`` by far.  Repeated items and rows
+items of any length are read whole: as many words as the longest item has are
+kept on either side of a hit, so that its whole diagonal is compared.  Repeated items and rows
 give their own hits, which are merged per document and item.  Rows with a null
 id give no overlap and stay in ``clean_documents``.  Empty tables give no rows.  Extra columns are not read.
 """
@@ -45,8 +45,6 @@ from strata.sources.tables import read_table
 # The seed masks, 1 = word is read, 0 = word is ignored (weight 7, span up to 13).
 MASKS = ("11011111", "11110010101", "11010100111", "1110010010011", "1100011111", "1001110111")
 MASK_WORDS, MASK_SHARE = 12, 0.8      # what the masks are whole for
-SPAN = 13
-CONTEXT = 256
 FILTER_BITS = 24       # the filter has 2 ** FILTER_BITS bits (2 MB), three per hash
 SLICES = (0, 64 - FILTER_BITS, 20)      # first bit of each slice of a hash that the filter knows
 
@@ -132,9 +130,13 @@ def _filter(item_seeds: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _regions(docs: DataFrame, bits: bytes, shapes: list[str]) -> DataFrame:
-    """Stretches of documents with windows that pass the filter, and the words around them."""
+def _regions(docs: DataFrame, bits: bytes, shapes: list[str], context: int) -> DataFrame:
+    """Stretches of documents with windows that pass the filter, and ``context`` words around them.
+
+    Stretches don't overlap: no word of a document is sent twice.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
+    reach = max(map(len, shapes), default=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8), bitorder="little")
@@ -156,9 +158,9 @@ def _regions(docs: DataFrame, bits: bytes, shapes: list[str]) -> DataFrame:
                 pos, hashes = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(pos, kind="stable")
                 pos, hashes = pos[order], hashes[order]
-                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > SPAN) + 1):
-                    start = max(0, pos[part[0]] - CONTEXT)
-                    rows.append((doc, start, w[start:pos[part[-1]] + SPAN + CONTEXT].view(np.int64),
+                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > reach + 2 * context) + 1):
+                    start = max(0, pos[part[0]] - context)
+                    rows.append((doc, start, w[start:pos[part[-1]] + reach + context].view(np.int64),
                                  hashes[part].view(np.int64), pos[part].astype(np.int32)))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "words", "hashes", "pos"])
 
@@ -212,23 +214,27 @@ def overlaps(docs: DataFrame, items: DataFrame, min_words: int = 12, min_share:
         F.when(F.col("long"), F.lit(-1)).otherwise(F.col("n")).alias("n")).distinct().collect()     # the lengths of short items
     longest = math.ceil(min_words / max(min_share, 1e-9)) + 1
     shapes = sorted({m for r in lengths for m, _ in shapes_of(r.n if r.n > 0 else longest, min_words, min_share)})
+    context = items.agg(F.max(F.size("words")).alias("n")).first().n or 0
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    regions = written(_regions(docs, _filter(item_seeds), shapes), "regions")
+    regions = written(_regions(docs, _filter(item_seeds), shapes, context), "regions")
 
     hits = regions.select("doc_id", "start", F.explode(F.arrays_zip("hashes", "pos")).alias("h")).select(
         "doc_id", "start", F.col("h.hashes").alias("hash"), F.col("h.pos").alias("at"))
     diagonals = hits.join(item_seeds, "hash").select(
         "doc_id", "start", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
+    # item word j stands beside region word j + shift; of a region, only the words beside the item go on
+    shift = (F.col("diagonal") - F.col("start")).cast("int")
     aligned = diagonals.join(regions.select("doc_id", "start", "words"), ["doc_id", "start"]).join(
-        items.withColumnRenamed("words", "item"), "item_id")
+        items.withColumnRenamed("words", "item"), "item_id").select(
+        "doc_id", "item_id", "diagonal", "item", F.greatest(F.lit(0), -shift).alias("lo"),
+        F.slice("words", F.greatest(F.lit(0), shift) + 1, F.size("item")).alias("words"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, item, start, diagonal, d, i in zip(b["doc_id"], b["item_id"], b["start"], b["diagonal"], b["words"], b["item"]):
-                shift = diagonal - start            # item word j stands beside region word j + shift
-                lo, hi = max(0, -shift), min(len(i), len(d) - shift)
-                equal, least = np.asarray(d[lo + shift:hi + shift]) == np.asarray(i[lo:hi]), needed(len(i), min_words, min_share)
+            for doc, item, diagonal, lo, d, i in zip(b["doc_id"], b["item_id"], b["diagonal"], b["lo"], b["words"], b["item"]):
+                size = min(len(i) - lo, len(d))
+                equal, least = np.asarray(d[:size]) == np.asarray(i[lo:lo + size]), needed(len(i), min_words, min_share)
                 begin, end, n = best_stretch(equal, min_share)
                 if n < least:       # what gains most may be a part of a stretch that counts
                     begin, end, n = longest_stretch(equal, min_share)
