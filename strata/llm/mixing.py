@@ -11,16 +11,25 @@ Targets: for each dimension either a table of shares or an exponent, which
 flattens the present shares (1 keeps them, 0 makes all values equal).  Shares
 of values that no cell has can't be met; the rest are scaled to 1.
 
+Marginals may contradict the cells there are (a source with one language only
+asks for more of it than the languages' shares leave).  Raking then settles
+between them.  It ends when all marginals hold to the tolerance, when a job's
+rounds no longer bring them nearer, or after ``max_rounds``.  Tables of shares
+that aren't met by then raise ``TargetsNotMet`` with the error reached;
+exponents are wishes, and the result says in ``mix_error`` how far off the
+marginals are.
+
 Cases: null dimension values and empty strings are one value, the empty
 string.  Null and empty texts weigh 0 tokens and are sampled like their cell;
 a cell without tokens keeps its documents with the sampling rate.  Documents
 with equal ids share their draw; repeated rows are drawn alike.  An empty
-table gives no rows.  The result has all columns of the documents and two
+table gives no rows.  The result has all columns of the documents and three
 more, named so that they don't clash.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +38,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import WORD_SPACE, documents, prepare, written
 
 ROUNDS_PER_TABLE = 4
+STALLED = 0.999     # a job that leaves more of the error than this ends the raking
 
 _WORD = "[^" + "".join(f"\\x{ord(c):02x}" for c in WORD_SPACE) + "]+"
 
@@ -40,7 +50,7 @@ class Mix:
     exponents: dict = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.7})
     rate: float = 0.5           # share of all tokens that the sample should have
     tolerance: float = 1e-4     # largest relative error of a marginal
-    max_rounds: int = 40
+    max_rounds: int = 400       # an end for marginals that come nearer ever more slowly
     seed: int = 11
 
 
@@ -60,9 +70,19 @@ def _value(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, max_rounds: int) -> DataFrame:
+class TargetsNotMet(ValueError):
+    """The cells can't have the shares asked for; ``error`` is the largest relative error reached."""
+
+    def __init__(self, error: float):
+        super().__init__(f"raking ended with a marginal off by {error:.4g} of its target")
+        self.error = error
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, max_rounds: int) -> tuple[DataFrame, float]:
     """Scale column ``w`` of the cells until each dimension has its target shares.
 
+    Returns the cells and the largest relative error of a marginal.
+
     ``targets`` maps a column of the cells to a table of its value and
     ``share``; shares sum to 1.  A round scales every dimension once; every
     ``ROUNDS_PER_TABLE`` rounds are one job that writes the cells and looks at
@@ -72,6 +92,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, max_
     columns = cells.columns
     for dim, target in targets.items():
         cells = cells.join(target.select(dim, F.col("share").alias(f"__share_{dim}")), dim)
+    error = math.inf
     for _ in range(0, max_rounds, ROUNDS_PER_TABLE):
         cells = cells.withColumn("__off", F.lit(0.0))
         for i in range(ROUNDS_PER_TABLE):
@@ -80,13 +101,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, max_
                 cells = cells.withColumn("__f", F.when(now > 0, F.col(f"__share_{dim}") * total / now).otherwise(F.lit(1.0)))
                 cells = cells.withColumn("w", F.col("w") * F.col("__f"))
                 if i == ROUNDS_PER_TABLE - 1:
-                    cells = cells.withColumn("__off", F.greatest("__off", F.abs(F.col("__f") - 1)))
+                    lost = F.when(F.col(f"__share_{dim}") > 0, F.lit(1.0)).otherwise(F.lit(0.0))     # nothing left to scale
+                    cells = cells.withColumn("__off", F.greatest("__off", F.when(now > 0, F.abs(F.col("__f") - 1)).otherwise(lost)))
         cells = written(cells.drop("__f"), "raked")
-        worst = cells.agg(F.max("__off").alias("m")).first().m
+        before, error = error, cells.agg(F.max("__off").alias("m")).first().m or 0.0
         cells = cells.drop("__off")
-        if worst is None or worst <= tolerance:
+        if error <= tolerance or error > STALLED * before:
             break
-    return cells.select(columns)
+    return cells.select(columns), error
 
 
 def flattened(cells: DataFrame, dim: str, exponent: float) -> DataFrame:
@@ -128,7 +150,7 @@ def probabilities(cells: DataFrame, rate: float) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | None = None, source: Column | None = None,
           lang: Column | None = None, topic: Column | None = None, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """The sampled documents with ``mix_probability`` and ``mix_weight``.
+    """The sampled documents with ``mix_probability``, ``mix_weight`` and ``mix_error``.
 
     The cells' table is met by its measured size: Spark broadcasts it below
     its own threshold and shuffles beyond.
@@ -141,16 +163,18 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | Non
     cells = written(summed.groupBy(*dims).agg(F.sum("n").cast("double").alias("tokens")).withColumn("w", F.col("tokens")), "cells")
     shares = {d: written(given(cells, d, targets[d]) if targets and d in targets else flattened(cells, d, mix.exponents[d]), "target")
               for d in dims}
-    raked = rake(cells.filter("w > 0"), shares, mix.tolerance, mix.max_rounds)
+    raked, error = rake(cells.filter("w > 0"), shares, mix.tolerance, mix.max_rounds)
+    if targets and error > mix.tolerance:
+        raise TargetsNotMet(error)
     cells = raked.union(cells.filter("w = 0").select(raked.columns))
     drawn = written(probabilities(cells, mix.rate).select(
         *[F.col(d).alias(f"__{d}") for d in dims], F.col("probability").alias("mix_probability"), F.col("weight").alias("mix_weight")), "drawn")
     keyed = docs.select("*", *[c.alias(f"__{d}") for d, c in dims.items()])
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(mix.seed)), F.lit(1 << 53)) / float(1 << 53)
     return keyed.join(drawn, [f"__{d}" for d in dims]).filter(chance < F.col("mix_probability")).select(
-        *docs.columns, "mix_probability", "mix_weight")
+        *docs.columns, "mix_probability", "mix_weight", F.lit(error).alias("mix_error"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled documents, their probability and weight."""
-    return mixed(documents(spark, sf_dir)).select("doc_id", "source", "lang", "mix_probability", "mix_weight")
+    """The sampled documents, their probability and weight, and the error that raking left."""
+    return mixed(documents(spark, sf_dir)).select("doc_id", "source", "lang", "mix_probability", "mix_weight", "mix_error")
