@@ -43,7 +43,8 @@ DATE = "2024-01-01T00:00:00Z"     # the tables carry no capture time
 BLOCK_LINES = 256
 ARCHIVE_BYTES = 1 << 30           # a task begins another archive beyond this
 READ_BYTES = 64 << 20             # of compressed records that one task reads back
-SHARDS = 64                       # index shards; their first keys go to all tasks
+SHARDS = 64                       # index shards at least
+SHARD_LINES = 1 << 20             # lines of an index shard beyond that; the shards' first keys go to all tasks
 
 _PLACE = "key string, page_id long, file string, start long, length long"
 _GZIP = 31                        # zlib window bits of a gzip member
@@ -146,8 +147,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     return written(rows.select("page_id", "url", "payload", "sha", "refers_to").mapInPandas(run, _PLACE), "places")
 
 
-def write_index(places: DataFrame, folder: str, shards: int = SHARDS, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the index; returns ``shard, first_key, blocks`` of every shard (a written table)."""
+def write_index(places: DataFrame, folder: str, shards: int | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Write the index; returns ``shard, first_key, blocks`` of every shard (a written table).
+
+    Without ``shards`` there are as many as the lines ask for: one task sorts
+    and writes about ``SHARD_LINES`` of them, at any number of records.
+    """
+    shards = shards or max(SHARDS, -(-places.count() // SHARD_LINES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _open(folder)
@@ -184,7 +190,7 @@ def write_index(places: DataFrame, folder: str, shards: int = SHARDS, block_line
 
 def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
     """Places of all records with the keys (column ``key``, distinct)."""
-    listed = sorted((r.first_key, r.shard) for r in shards.select("first_key", "shard").collect())   # at most SHARDS rows
+    listed = sorted((r.first_key, r.shard) for r in shards.select("first_key", "shard").collect())   # a row per SHARD_LINES records
     if not listed:
         return keys.sparkSession.createDataFrame([], _PLACE)
     starts, names = [k for k, _ in listed], [s for _, s in listed]
