@@ -235,7 +235,9 @@ def test_raking_meets_its_targets(spark):
     df = spark.createDataFrame(cells, "source string, lang string, topic string, w double")
     shares = {"source": dict(zip("abcd", (.4, .3, .2, .1))), "lang": {"x": .25, "y": .75}, "topic": dict(zip("pqr", (.5, .3, .2)))}
     targets = {d: mixing.given(df, d, spark.createDataFrame(list(s.items()), f"{d} string, share double")) for d, s in shares.items()}
-    raked = mixing.rake(df, targets, 1e-8, 200).collect()
+    raked, error = mixing.rake(df, targets, 1e-8, 200)
+    assert error <= 1e-8
+    raked = raked.collect()
     total = sum(c[3] for c in cells)
     for d, s in shares.items():
         for v, share in s.items():
@@ -263,10 +265,31 @@ def test_sample_has_calibrated_weights(spark):
     assert everything and set(r.source for r in everything) <= set(now)
 
 
+def test_targets_that_cant_be_met_are_reported(spark):
+    shares = lambda d, s: spark.createDataFrame(list(s.items()), f"{d} string, share double")
+    wanted = {"source": shares("source", {"a": .9, "b": .1}), "lang": shares("lang", {"x": .1, "y": .9})}
+    cells = spark.createDataFrame([("a", "x", 10.0), ("b", "y", 10.0)], "source string, lang string, w double")
+    _, error = mixing.rake(cells, wanted, 1e-4, 400)
+    assert error > 0.5
+    docs = spark.createDataFrame([(k, " ".join([PROSE] * 3), "xy"[k % 2], "ab"[k % 2]) for k in range(20)], "doc_id long, text string, lang string, source string")
+    with pytest.raises(mixing.TargetsNotMet) as e:
+        mixing.mixed(docs, targets=wanted)
+    assert e.value.error == pytest.approx(error, rel=0.1)
+    one = {r.mix_error for r in mixing.mixed(docs.filter("source = 'a'"), mixing.Mix(rate=1.0)).collect()}       # one cell
+    assert max(one) <= 1e-4
+    # a value whose weight another dimension's target takes away counts as missed
+    _, lost = mixing.rake(cells, wanted | {"source": shares("source", {"a": 0.0, "b": 1.0})}, 1e-4, 400)
+    assert lost >= 1
+    # slow marginals are raked to the tolerance: a small cell must take most of the weight
+    slow = spark.createDataFrame([("a", "x", 1000.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 1e-3)], "source string, lang string, w double")
+    raked, error = mixing.rake(slow, wanted, 1e-6, 400)
+    assert error <= 1e-6 and sum(r.w for r in raked.collect() if r.lang == "y") == pytest.approx(0.9 * 1002.001, rel=1e-4)
+
+
 def test_mixing_awkward_rows(spark):
     docs = awkward(spark)
     got = mixing.mixed(docs, mixing.Mix(rate=0.9))
-    assert got.columns == [*docs.columns, "mix_probability", "mix_weight"]
+    assert got.columns == [*docs.columns, "mix_probability", "mix_weight", "mix_error"]
     rows = got.collect()
     assert sum(r.doc_id == 2 for r in rows) in (0, 2)
     assert mixing.mixed(docs.limit(0)).count() == 0
@@ -306,8 +329,62 @@ def test_quality_keeps_clean_documents_and_cleans_lines(spark):
             assert r.kept == bool(labels[r.doc_id])
 
 
+def test_distinct_share_does_not_fall_with_the_lines_length(spark):
+    rng = random.Random(12)
+    ranks = range(1, 8001)
+    for n in (2_000, 20_000, 100_000):
+        line = " ".join(f"w{k}x" for k in rng.choices(ranks, [1 / k for k in ranks], k=n))
+        assert quality.judge(line, quality.LineRules())["kept"]
+    assert quality.line_fails("", ["buy", "now", "cheap"] * 5_000, 50_000, 0, quality.LineRules()) == "boilerplate"
+    assert quality.line_fails("", ["buy", "now", "cheap"] * 7, 70, 0, quality.LineRules()) == "boilerplate"
+
+
 # ---- op 9
 
+def test_overlaps_are_compared_along_the_whole_diagonal(spark):
+    words_ = [f"t{k}" for k in range(2100)]
+    changed = [*words_[:1000], *[f"u{k}" for k in range(100)], *words_[1100:]]
+    bench = spark.createDataFrame([(7, " ".join(words_)), (8, " ".join(words_[30:60]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{PROSE} {' '.join(changed)} {PROSE}"), (2, " ".join(words_[500:900])), (3, PROSE)], "doc_id long, text string")
+    start = len(re.findall(r"\w+", PROSE))
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_words, r.item_words, r.doc_start) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 7): (2000, 2100, 2100, start), (1, 8): (30, 30, 30, start + 30), (2, 7): (400, 400, 2100, 0)}
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = {i: rng.choices(vocabulary, k=rng.choice([4, 9, 13, 20, 60, 300])) for i in range(25)}
+    docs = {}
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            w = list(items[rng.randrange(25)])
+            for k in rng.sample(range(len(w)), int(len(w) * rng.choice([0, 0.1, 0.3]))):
+                w[k] = "changed"
+            parts += rng.choices(vocabulary, k=rng.randint(0, 40)) + w
+        docs[d] = parts + rng.choices(vocabulary, k=rng.randint(0, 40))
+    want = {}
+    for (d, w), (i, x) in itertools.product(docs.items(), items.items()):
+        need = decontaminate.needed(len(x), 12, 0.8)
+        for diagonal in range(-len(x) + 1, len(w)):
+            lo, hi = max(0, -diagonal), min(len(x), len(w) - diagonal)
+            equal = [w[diagonal + j] == x[j] for j in range(lo, hi)]
+            if sum(equal) >= need:
+                prefix = [0, *itertools.accumulate(equal)]
+                most = max((prefix[e] - prefix[b] for b in range(len(equal)) for e in range(b + 1, len(equal) + 1)
+                            if prefix[e] - prefix[b] >= 0.8 * (e - b) - 1e-9), default=0)
+                if most >= need:
+                    want[d, i] = max(want.get((d, i), 0), most)
+    frame = lambda t, id_: spark.createDataFrame([(k, " ".join(w)) for k, w in t.items()], f"{id_} long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert set(found) == set(want) and len(want) > 20
+    for k, r in found.items():
+        here = docs[k[0]][r.doc_start:r.doc_start + r.n_words]
+        assert r.item_words == len(items[k[1]]) and r.n_equal <= want[k] and r.n_equal >= 0.8 * r.n_words - 1e-9
+        assert any(sum(a == b for a, b in zip(here, items[k[1]][j:j + r.n_words])) == r.n_equal for j in range(r.item_words - r.n_words + 1))
+
+
 def test_overlaps_find_passages_and_substitutions(spark):
     items = {r.item_id: r.text for r in table(spark, "benchmark").collect()}
     docs = texts(spark)

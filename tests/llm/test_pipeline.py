@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark):
                 if not re.search(r"[0-9@]|Mr|Ms|Dr|Prof|Frau|Herr|Señor|Mon|Mad", r.text):
                     assert after[d].text == r.text
         else:
-            assert all(0 < r.mix_probability <= 1 for r in after.values()) and docs.columns == [*columns, "mix_probability", "mix_weight"]
+            assert all(0 < r.mix_probability <= 1 for r in after.values()) and docs.columns == [*columns, "mix_probability", "mix_weight", "mix_error"]
         before = after
 
 
