@@ -1,7 +1,9 @@
 """License scan: a trained paragraph classifier, with DataFrame functions only.
 
-A paragraph (a line with words) becomes a sparse vector of hashed words and
-word pairs.  A multinomial logistic regression, trained on variants of license
+A paragraph is a line with words together with the lines that go on with it: a
+line goes on when the one before it ends within a sentence and it begins, after
+comment signs, with a small letter, as in a notice wrapped at some width.  Each
+becomes a sparse vector of hashed words and word pairs.  A multinomial logistic regression, trained on variants of license
 notices against paragraphs drawn from the corpus, gives each family's odds.  A
 second regression on held-out variants and paragraphs calibrates how far the
 best family must lie above "none"; a paragraph below an even chance is of the
@@ -34,13 +36,24 @@ from strata.session import ensure_checkpoint_dir
 NOTICES: dict[str, tuple[str, ...]] = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+                   "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     "mit": ("Released under the MIT License.", "This project is licensed under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+            "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     "bsd": ("Licensed under the BSD 3-Clause License.", "Distributed under the terms of the BSD License.",
-            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+            "documentation and/or other materials provided with the distribution."),
     "gpl": ("This work is licensed under the GNU General Public License, version 3.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+            "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
             "Licensed under the GNU General Public License, version 2."),
     "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 2.1.",
              "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License."),
@@ -57,6 +70,8 @@ DIMENSIONS = 1 << 12
 CONFIRM_PCT = 50       # of a notice's shingles that must occur to confirm
 
 _FEATURES = "features"
+_GOES_ON = "\x01"
+_WRAP = r"(?<=[^.!?:\s])([\t\x20\r]*)\n(?=[\t\x20#*/>;-]*+[\"'(]?\p{Ll})"
 
 
 def words_of(text: Column) -> Column:
@@ -65,10 +80,16 @@ def words_of(text: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, paragraph, words``: every line with words, numbered from 0."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    with_words = lines.filter(F.lower("line").rlike(r"[\p{L}\p{N}]"))      # cuts no line in words twice
-    return with_words.select("doc_id", "paragraph", words_of(F.col("line")).alias("words"))
+    """``doc_id, paragraph, words``: every paragraph with words, under its first line's number, from 0."""
+    text = F.translate(F.col(text_col), _GOES_ON, " ")
+    marked = F.regexp_replace(text, _WRAP, f"$1\n{_GOES_ON}")
+    # through a generator, so that the text is searched for wrapped lines once
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(marked)).alias("marked"))
+    first = F.filter(F.transform(F.split("marked", "\n"), lambda line, i: F.when(~line.startswith(_GOES_ON), i)), lambda i: i.isNotNull())
+    whole = F.split(F.replace("marked", F.lit(f"\n{_GOES_ON}"), F.lit(" ")), "\n")
+    rows = marked.select("doc_id", F.explode(F.arrays_zip(first.alias("paragraph"), whole.alias("text"))).alias("p")).select("doc_id", "p.paragraph", "p.text")
+    with_words = rows.filter(F.lower("text").rlike(r"[\p{L}\p{N}]"))      # cuts no paragraph in words twice
+    return with_words.select("doc_id", "paragraph", words_of(F.col("text")).alias("words"))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:

@@ -8,10 +8,14 @@ base or not: its format, a gazetteer, its context, its digits or characters,
 and its bounds.  Expectation-maximisation estimates each labeler's reliability
 and each kind's share of true spans from the counts of vote patterns, without
 any label; its posterior weights train a logistic regression, the final span
-classifier, whose positive candidates are added.
+classifier, whose positive candidates are added.  Beside the votes it reads the
+span itself, per kind: its length, its classes of characters and how many differ,
+its shape, the characters at its sides and the words before and after it, hashed
+to ``CUE_SLOTS`` places.
 
-The vote patterns are at most kinds x 3^5, whatever the data, so the fit is on
-a table of bounded size that counts all spans of all documents.
+The vote patterns are at most kinds x 3^5, whatever the data.  The classifier
+learns from the counts of all spans of all documents, grouped by votes and cues
+before they are shuffled and written as a table, not from a sample.
 
 Regular expressions are written so that Java matches them in linear time and
 without recursion: a separator between two fitting characters is first turned
@@ -31,11 +35,11 @@ import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import documents, text_or_empty
+from strata.llm.common import documents, text_or_empty, written
 from strata.session import ensure_checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret", "person")
@@ -57,6 +61,8 @@ CUES = {
     "phone": "phone|tel|call|fax|mobile|cell|whatsapp|sms", "ssn": "ssn|social security|tax id", "iban": "iban|account|konto|cuenta|compte",
     "secret": "token|secret|key|password|passwd|credential|bearer", "person": "name|contact|signed|dear|sincerely|patient|client",
 }
+CUE_SLOTS = 1 << 10     # places of the span's own cues among the classifier's inputs
+WORD_CLASSES = 64       # hashed classes of the words beside a span
 AGAINST = r"version|isbn|figure|section|chapter|checksum|commit|digest|serial|order no"
 
 
@@ -132,7 +138,7 @@ def _proposed(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(13, 19) if kind == "card" else F.lit(True)
 
 
-_FOUND = "array<struct<start:int,stop:int,m:string,base:boolean,left:string,beside:string>>"
+_FOUND = "array<struct<start:int,stop:int,m:string,base:boolean,left:string,beside:string,right:string>>"
 
 
 def _matches(text: Column, kind: str, base: bool, hint: str, prepared: Callable[[Column], Column], pattern: str) -> Column:
@@ -149,7 +155,8 @@ def _matches(text: Column, kind: str, base: bool, hint: str, prepared: Callable[
         beside = F.concat(F.substring(before, -1, 1), F.lit(" "), piece.substr(F.length(m) + 2, F.lit(1)))
         return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"),
                         (_base_holds(kind, m) if base else F.lit(False)).alias("base"),
-                        F.lower(F.substring(before, -40, 40)).alias("left"), beside.alias("beside"))
+                        F.lower(F.substring(before, -40, 40)).alias("left"), beside.alias("beside"),
+                        F.lower(piece.substr(F.length(m) + 2, F.lit(40))).alias("right"))
 
     def located(pieces: Column) -> Column:
         # starts gather in a string, which grows by plain copies; each piece but the first lost a mark
@@ -191,8 +198,24 @@ def _votes(kind: str, s: Column) -> Column:
                    _vote(chars >= 5, chars <= 3), _vote(~beside.rlike(r"[\p{L}0-9_]"), beside.rlike("[0-9_]")))
 
 
+def _cues(kind: str, s: Column) -> Column:
+    """Places of the span's own cues: length, characters, shape, sides and neighbouring words."""
+    m = s["m"]
+    has = F.concat(*[F.when(m.rlike(c), F.lit(n)).otherwise(F.lit("")) for c, n in (("[0-9]", "9"), (r"\p{Lu}", "A"), (r"\p{Ll}", "a"))])
+    runs = F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), "[0-9]+", "9")
+    shape = F.regexp_replace(runs, "(?:9a|a9)[9a]*", "x")
+    sides = F.regexp_replace(F.regexp_replace(F.lower(s["beside"]), r"\p{L}", "a"), "[0-9]", "9")
+    # only words that have ended within what is read beside the span
+    before = F.regexp_extract(s["left"], r"[^\p{L}](\p{L}+)[^\p{L}]*$", 1)
+    after = F.regexp_extract(s["right"], r"^[^\p{L}]*(\p{L}+)[^\p{L}]", 1)
+    words = [F.when(w == "", F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(w), F.lit(WORD_CLASSES))).cast("string") for w in (before, after)]
+    values = (F.floor(F.log2(F.length(m))).cast("string"), has, F.floor(F.log2(F.size(F.array_distinct(_chars(m))))).cast("string"),
+              shape, sides, *words)
+    return F.array(*[F.pmod(F.xxhash64(F.lit(kind), F.lit(i), v), F.lit(CUE_SLOTS)).cast("int") for i, v in enumerate(values)])
+
+
 def with_spans(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """Adds ``kind, start, stop, base, votes`` of all base spans and candidates."""
+    """Adds ``kind, start, stop, base, votes, cues`` of all base spans and candidates."""
     plain = f"{name}_plain"
     parts = [F.transform(_matches(F.col(plain), kind, base, *search), _voted(kind)) for kind, base, *search in _SEARCHES]
     return docs.withColumn(plain, _plain(text_or_empty(text_col))).withColumn(name, F.concat(*parts)).drop(plain)
@@ -200,7 +223,7 @@ def with_spans(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def _voted(kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
-                              s["base"].alias("base"), _votes(kind, s).alias("votes"))
+                              s["base"].alias("base"), _votes(kind, s).alias("votes"), _cues(kind, s).alias("cues"))
 
 
 def estimate(patterns: list[tuple[int, tuple, float]], rounds: int = 50) -> list[float]:
@@ -231,25 +254,40 @@ def estimate(patterns: list[tuple[int, tuple, float]], rounds: int = 50) -> list
     return post
 
 
-def _inputs(kind: Column, votes: Column) -> Column:
-    """Classifier inputs: the kind, and each labeler's votes for and against."""
-    return F.concat(F.array(*[(kind == k).cast("double") for k in range(len(KINDS))]),
-                    *[F.array(*[(F.get(votes, F.lit(i)) == v).cast("double") for v in (1, -1)]) for i in range(len(LABELERS))])
+def _places(kind: Column, votes: Column, cues: Column) -> Column:
+    """Places of the classifier's inputs that are 1: kind, each labeler's vote, then the cues; the rest is 0."""
+    said = F.transform(votes, lambda v, i: len(KINDS) + 2 * i + F.when(v == 1, F.lit(0)).when(v == -1, F.lit(1)))
+    return F.array_distinct(F.concat(F.array(kind), F.filter(said, lambda p: p.isNotNull()),
+                                     F.transform(cues, lambda c: c + len(KINDS) + 2 * len(LABELERS))))
+
+
+INPUTS = len(KINDS) + 2 * len(LABELERS) + CUE_SLOTS
+
+
+def span_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, votes, cues, n``: how often each occurs among all spans of all documents."""
+    spans = with_spans(docs.select(F.col(text_col)), text_col, "__s").select(F.explode("__s").alias("s"))
+    return spans.groupBy("s.kind", "s.votes", "s.cues").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> list[float] | None:
     """Coefficients of the span classifier, the intercept last; None without any span."""
     ensure_checkpoint_dir(docs.sparkSession)
-    counted = with_spans(docs.select(F.col(text_col)), text_col, "__s").select(F.explode("__s").alias("s")).groupBy("s.kind", "s.votes").count()
-    patterns = [(r.kind, tuple(r.votes), float(r["count"])) for r in counted.collect()]    # at most kinds x 3^labelers rows
+    counted = written(span_counts(docs, text_col), "span-counts")
+    voted = counted.groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+    patterns = sorted((r.kind, tuple(r.votes), float(r.n)) for r in voted.collect())    # at most kinds x 3^labelers rows
     if not patterns:
         return None
-    patterns.sort()
-    rows = [(k, list(v), y, c * (p if y else 1 - p)) for (k, v, c), p in zip(patterns, estimate(patterns)) for y in (0.0, 1.0)]
-    table = docs.sparkSession.createDataFrame(rows, "kind int, votes array<int>, label double, weight double").coalesce(1)
-    table = table.select(array_to_vector(_inputs(F.col("kind"), F.col("votes"))).alias("features"), "label",
-                         F.greatest("weight", F.lit(1e-6)).alias("weight"))
-    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40, standardization=False).fit(table)
+    said = lambda k, v: ",".join(map(str, (k, *v)))
+    known = F.create_map(*[F.lit(x) for (k, v, _), p in zip(patterns, estimate(patterns)) for x in (said(k, v), p)])
+    true = known[F.concat_ws(",", F.col("kind").cast("string"), F.col("votes").cast("array<string>"))]
+    both = counted.select(_places(F.col("kind"), F.col("votes"), F.col("cues")).alias("places"), "n", true.alias("true"))
+    both = both.select("places", F.explode(F.array(
+        F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("true")).alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("true"))).alias("weight")))).alias("y"))
+    table = both.select(F.transform("places", lambda p: p.cast("string")).alias("places"), "y.label", F.greatest("y.weight", F.lit(1e-6)).alias("weight"))
+    table = CountVectorizerModel.from_vocabulary([str(i) for i in range(INPUTS)], "places", "features", minTF=0.0).transform(table)
+    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40, standardization=False).fit(table.select("features", "label", "weight"))
     return [*map(float, model.coefficients), float(model.intercept)]
 
 
@@ -258,8 +296,9 @@ def accepted(found: Column, model: list[float] | None) -> Column:
     base = F.filter(found, lambda s: s["base"])
     if model is None:
         return base
-    logit = lambda s: F.aggregate(F.zip_with(_inputs(s["kind"], s["votes"]), F.array(*map(F.lit, model[:-1])),
-                                             lambda x, w: x * w), F.lit(model[-1]), lambda a, x: a + x)
+    weights = F.lit(model[:-1])
+    logit = lambda s: F.aggregate(_places(s["kind"], s["votes"], s["cues"]), F.lit(model[-1]),
+                                  lambda a, p: a + F.element_at(weights, p + 1))
     more = F.filter(found, lambda s: ~s["base"] & (logit(s) >= 0))
     return F.when(F.size(more) == 0, base).otherwise(F.aggregate(more, base, lambda kept, s: F.when(
         F.exists(kept, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"])), kept).otherwise(F.concat(kept, F.array(s)))))
