@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.cluster import apply_scaler, assign_clusters, scaler_model
+from strata.session import materialize
 from strata.spec import PROFILE_SIGNATURES, PROFILES
 
 INTAKE_SCHEMA = T.StructType([
@@ -100,8 +101,11 @@ def match_profiles(centroids: list, signatures=PROFILE_SIGNATURES) -> list:
 
 def fit_intake_model(history: DataFrame, k: int = len(PROFILES), restarts: int = 1,
                      seed: int = 42) -> IntakeModel:
-    """Scaler statistics, centroids and their profiles from the valid forms of a history."""
-    v = _vector(parse_intake(history).filter("valid"))
+    """Scaler statistics, centroids and their profiles from the valid forms of a history.
+
+    The forms are parsed once: the fit reads their few numbers several times.
+    """
+    v = materialize(_vector(parse_intake(history).filter("valid")).select("intake_id", "_x"), "intake-vectors")
     scaler = scaler_model(v, "_x")
     z = apply_scaler(v, "_x", scaler, "_z")
     _, model = assign_clusters(z.select("intake_id", "_z"), "intake_id", "_z", k, restarts, seed)

@@ -215,3 +215,18 @@ def test_intake_scores_valid_forms_only(spark):
     got = {r.intake_id: r for r in intake.score_intake(model, forms).collect()}
     assert got[2].cluster is None and got[2].profile_name is None and got[2].top_factors is None
     assert got[3].profile_name == "Solo Caregiver, High Risk" and got[1].profile_name != got[3].profile_name
+
+
+def test_intake_fit_parses_each_form_once(spark):
+    from strata.streaming import intake
+    n = 400
+    parsed = spark.sparkContext.accumulator(0)
+    hours = F.udf(lambda x: parsed.add(1) or x, "string")
+    forms = spark.range(n).select(
+        F.col("id").alias("intake_id"), hours((F.col("id") % 90).cast("string")).alias("care_hours"),
+        F.element_at(F.array(*map(F.lit, intake.EMPLOYMENT)), (F.col("id") % 3 + 1).cast("int")).alias("employment_status"),
+        F.element_at(F.array(*map(F.lit, intake.SUPPORT)), (F.col("id") % 2 + 1).cast("int")).alias("support_network"),
+        F.concat((F.col("id") % 7 + 1).cast("string"), F.lit(" years")).alias("care_duration"), F.lit("").alias("notes"))
+    model = intake.fit_intake_model(forms)
+    # a plan may ask for the hours twice, in its filter and for the vector, but only one plan does
+    assert len(model.centroids) == 5 and n <= parsed.value <= 2 * n
