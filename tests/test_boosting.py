@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import attribution, boost
+from strata.operators import attribution, boost, rounds
 from strata.operators.boost import BoostConfig, best_round, first_trees, fit_boosted, fit_with_patience, impute, score
 
 
@@ -102,3 +102,60 @@ def test_boosting_and_attribution_work_on_even_partitions(spark):
     out = attribution.attribute(model, big, "id", ["a", "b"])
     n = sizes(out)
     assert sum(n) == big.count() and max(n) < 1.2 * sum(n) / len(n)
+
+
+def test_rounds_are_mllib_s_trees_and_none_is_trained_twice(spark, rows):
+    config = BoostConfig(max_iter=24, first_rounds=3, patience=24, max_depth=3, step_size=0.3, feature_subset="all", subsample=1.0)
+    rows = rows.withColumn("c", F.floor("c").cast("double"))        # codes, not more than there are bins
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        model, losses = fit_with_patience(rows, FEATS, "y", "w", "val", config)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # a job for each level of each of the 24 rounds; fits of 3, 12 and 24 rounds took 39 rounds and more than 170 jobs
+    assert len(losses) == 24 and 24 * 3 <= jobs < 24 * 3 + 40
+    assert model.getNumTrees == best_round(losses, config.patience)[0]
+    prepared = boost._prepared(rows, FEATS, "y", "w", "val", config, ())
+    other = boost._classifier(config).fit(prepared.filter("not val"))
+    assert np.allclose(losses, list(other.evaluateEachIteration(prepared.filter("val"))), rtol=1e-9)
+    other = first_trees(other, model.getNumTrees)
+    ours, theirs = (score(m, rows, FEATS).orderBy("id").toPandas()["p_high"] for m in (model, other))
+    assert np.allclose(ours, theirs, rtol=1e-9)
+    # covers and impurities are saved as MLlib saves them
+    tables = [attribution.model_nodes(m)["trees"][0] for m in (model, other)]
+    assert [len(t) for t in tables][0] == len(tables[1])
+    for i, node in tables[0].items():
+        assert np.allclose([float(v) for v in node if v is not None], [float(v) for v in tables[1][i] if v is not None], rtol=1e-9)
+
+
+def test_cuts_and_draws(spark):
+    df = spark.range(5000).selectExpr("double(id % 4) few", "double(id) many", "double(7) one")
+    few, many, one = boost.feature_cuts(df, ["few", "many", "one"], 16)
+    assert few.tolist() == [0.5, 1.5, 2.5] and len(one) == 0
+    assert len(many) == 15 and np.abs(many - np.arange(1, 16) * 5000 / 16).max() < 5
+    assert [boost.columns_drawn(s, 19) for s in ("all", "0.8", "sqrt", "3", "onethird")] == [19, 16, 5, 3, 7]
+
+
+def test_level_sums_are_those_of_every_column_and_node():
+    rng = np.random.default_rng(5)
+    sizes, n = [3, 300, 2, 7, 24], 4000
+    codes = np.stack([rng.integers(0, s, n) for s in sizes]).astype(np.int32)
+    groups = rounds.joint_columns(sizes)
+    assert sorted(sum(groups, [])) == [0, 1, 2, 3, 4] and [1] in groups and len(groups) < 5
+    y, w, val, margin = rng.choice([-1, 1], n), rng.random(n), rng.random(n) < 0.2, rng.normal(size=n)
+    tree = rounds.Tree.empty(2, 0.1)
+    tree.feature[:], tree.cut[:] = [3, -1, 4, -1, -1, -1, -1], [2, 0, 11, 0, 0, 0, 0]     # the left child is a leaf
+    block = (codes, rounds.joint_codes(codes, sizes, groups), y, w, val, margin)
+    (sums, totals, _), = rounds.level_sums(0, [block], tree.feature, tree.cut, 2, sizes, (1, 1), 1.0, False, True)
+    g = w * 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
+    for node in range(4):
+        here = ~val & (codes[3] > 2) & ((codes[4] > 11) == (node == 3)) & (node >= 2)
+        want = [w[here].sum(), g[here].sum(), (g[here] ** 2 / w[here]).sum(), here.sum()]
+        assert np.allclose(totals[:, node], want)
+        start = 0
+        for code, size in zip(codes, sizes):
+            got = sums[:, node, start:start + size]
+            start += size
+            for k, x in enumerate((w, g, g * g / w, np.ones(n))):
+                assert np.allclose(got[k], np.bincount(code[here], x[here], size))
