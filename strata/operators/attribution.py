@@ -18,14 +18,17 @@ patterns (d <= depth), so a table pattern -> phi answers a leaf for all rows.
 
 Rows are not compared with thresholds leaf by leaf.  Each value becomes its
 rank among the thresholds that the model has for the feature, once for all
-leaves, and for a block of leaves a (feature, rank) table holds the indicator
-bits of all its leaves: a row's patterns are the sum of one gathered table row
-per feature.  Leaves are padded to one number of features with a feature that
-always holds (z = 1, a = 1), whose phi is 0 and which changes no other.
-
-Blocks are built in the task.  Those that fit into ``TABLE_BYTES`` are kept for
-the task's later batches, the others are built again for each batch, so memory
-is bounded whatever the number of trees.  base + sum(phi) equals the margin for
+leaves.  Consecutive leaves, mostly those of one subtree, share thresholds:
+as long as the ranks among their own thresholds have few states together, they
+form a group with one table (feature, state) of their summed phi.  A row's
+state in a group is a sum of one gathered number per feature, and its phi one
+gathered value per feature, so a tree of depth 6 costs some nine lookups a
+feature and not 64.  Leaves are padded to one number of features with a feature
+that always holds (z = 1, a = 1), whose phi is 0 and which changes no other.
+
+Blocks of groups are built in the task.  Those that fit into ``TABLE_BYTES`` are
+kept for the task's later chunks of rows, the others are built again for each, so
+memory is bounded whatever the number of trees.  base + sum(phi) equals the margin for
 every row (tested).  The work is one ``mapInPandas`` stage; the leaves travel
 as a Spark broadcast (their size is that of the model, whatever the data).
 """
@@ -99,10 +102,11 @@ def leaf_paths(nodes: dict):
     return out
 
 
-BLOCK_BYTES = 200_000       # of the pattern tables of one block of leaves: about a tree of depth 6, held by a core's cache
+BLOCK_BYTES = 200_000       # of the pattern tables of one block of leaves: about a tree of depth 6; a group's states follow from it
 TABLE_BYTES = 96 << 20      # of the blocks that a task keeps
-ROWS = 512                  # rows that are worked on at once
-TASK_ROWS = (2_000, 100_000)        # rows of a task
+ROWS = 8_192                # rows that are worked on at once
+CHUNK_CELLS = 4_000_000     # values of the rows that one pass over the blocks scores
+TASK_ROWS = (2_000, 200_000)        # rows of a task
 
 
 @dataclass(frozen=True)
@@ -136,22 +140,23 @@ class LeafArrays:
 
 
 def pattern_tables(leaves: LeafArrays) -> np.ndarray:
-    """phi of every leaf, indicator pattern and padded feature: (leaves, 2^width, width)."""
+    """phi of every leaf, padded feature and indicator pattern: (leaves, width, 2^width)."""
     d = leaves.width
-    bits = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(np.float64)    # (patterns, d)
+    bits = ((np.arange(1 << d) >> np.arange(d)[:, None]) & 1).astype(np.float64)    # (d, patterns)
     w = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
     z = leaves.share
-    table = np.zeros((len(z), 1 << d, d))
+    table = np.empty((len(z), d, 1 << d))
     for i in range(d):
-        # coefficients of prod (z_j + a_j t) over the other features
-        coef = np.zeros((len(z), 1 << d, d))
-        coef[:, :, 0] = 1.0
+        # coefficients of prod (z_j + a_j t) over the other features, each (leaves, patterns)
+        coef = [np.ones((len(z), 1 << d))]
         for j in range(d):
             if j != i:
-                shifted = np.zeros_like(coef)
-                shifted[:, :, 1:] = coef[:, :, :-1] * bits[None, :, j, None]
-                coef = coef * z[:, j, None, None] + shifted
-        table[:, :, i] = leaves.value[:, None] * (bits[None, :, i] - z[:, i, None]) * (coef @ w)
+                coef.append(coef[-1] * bits[j])
+                for k in range(len(coef) - 2, -1, -1):
+                    coef[k] *= z[:, j, None]
+                    if k:
+                        coef[k] += coef[k - 1] * bits[j]
+        table[:, i] = leaves.value[:, None] * (bits[i] - z[:, i, None]) * sum(c * x for c, x in zip(coef, w))
     return table
 
 
@@ -165,43 +170,84 @@ def thresholds_of(leaves: LeafArrays, n_features: int) -> list[np.ndarray]:
     return out
 
 
+class LeafGroup:
+    """Leaves whose features have few states together: one table lookup per row and feature for all of them.
+
+    A feature's state is its rank among the leaves' own thresholds for it; the
+    states of all the group's features make one number, which names the column
+    of ``table`` (features, states), the leaves' phi added up.
+    """
+
+    def __init__(self, leaves: LeafArrays, phi: np.ndarray, thresholds: list[np.ndarray], cuts: dict[int, list], most: int):
+        self.features = sorted(cuts)
+        d, width = len(self.features), leaves.width
+        at = np.full(len(thresholds) + 1, d)
+        at[self.features] = np.arange(d)
+        place = at[leaves.feature]      # (leaves, places); d where padded
+        sizes = [len(cuts[f]) + 1 for f in self.features]
+        kind = np.int32 if max(sizes) > 32_000 else np.int16
+        first, last = np.zeros(place.shape, dtype=kind), np.zeros(place.shape, dtype=kind)      # states inside; 0 where padded
+        whole = math.prod(sizes) <= most
+        self.index, stride = [], 1
+        for k, f in enumerate(self.features):
+            own, here = np.array(cuts[f]), place == k
+            low, high = (np.searchsorted(own, ends[here], side=side) for ends, side in ((leaves.low, "right"), (leaves.high, "left")))
+            ranks = np.searchsorted(np.searchsorted(thresholds[f], own) + 1, np.arange(len(thresholds[f]) + 1), side="right")
+            if not whole:       # one leaf alone: inside or not
+                ranks, sizes[k] = ((ranks >= low[0]) & (ranks <= high[0])).astype(ranks.dtype), 2
+                low = high = 1
+            first[here], last[here] = low, high
+            self.index.append(np.ascontiguousarray(ranks * stride, dtype=np.intp))
+            stride *= sizes[k]
+        states = np.zeros((d + 1, stride), dtype=kind)
+        for k, size in enumerate(sizes):
+            states[k] = np.arange(stride) // math.prod(sizes[:k]) % size
+        table = np.zeros((d + 1, stride))
+        for i in range(len(place)):
+            got = states[place[i]]
+            inside = (got >= first[i, :, None]) & (got <= last[i, :, None])
+            pattern = np.packbits(inside, axis=0, bitorder="little").astype(np.intp)    # (bytes, states)
+            pattern = sum(part << 8 * k for k, part in enumerate(pattern))
+            for j in range(width):
+                table[place[i, j]] += phi[i, j].take(pattern)
+        self.table = table[:-1]         # a padded place adds 0
+
+    @property
+    def bytes(self) -> int:
+        return self.table.nbytes + sum(a.nbytes for a in self.index)
+
+    def add_to(self, phi: np.ndarray, ranks: list[np.ndarray]) -> None:
+        """``phi`` and ``ranks`` feature by feature; every index is in its table by construction."""
+        state = sum(a.take(ranks[f], mode="clip") for f, a in zip(self.features, self.index))
+        for f, row in zip(self.features, self.table):
+            phi[f] += row.take(state, mode="clip")
+
+
 class LeafBlock:
-    """Scores one block of leaves from the ranks of the rows' values."""
+    """Scores one block of leaves from the ranks of the rows' values: consecutive leaves, mostly of one subtree, in groups."""
 
     def __init__(self, leaves: LeafArrays, thresholds: list[np.ndarray]):
-        n, d = leaves.feature.shape
-        n_features = len(thresholds)
-        self.kind = np.uint8 if d <= 8 else np.uint16 if d <= 16 else np.uint32
-        self.table = pattern_tables(leaves).reshape(n << d, d)
-        self.offset = np.arange(n, dtype=np.int64) << d
-        # (leaf, place) -> feature, as a matrix that adds the places up
-        add = np.zeros((n * d, n_features + 1))
-        add[np.arange(n * d), leaves.feature.ravel()] = 1.0
-        self.add = np.ascontiguousarray(add[:, :-1])
-        self.always = ((leaves.feature == n_features) << np.arange(d)).sum(axis=1).astype(self.kind)
-        self.bits = {}
-        for f in np.unique(leaves.feature[leaves.feature < n_features]):
-            leaf, place = np.nonzero(leaves.feature == f)
-            low = np.searchsorted(thresholds[f], leaves.low[leaf, place], side="right")     # of -inf: 0
-            high = np.searchsorted(thresholds[f], leaves.high[leaf, place], side="left")    # of inf: all
-            # ranks between the block's own cuts behave alike
-            cuts = np.unique(np.concatenate([low, high + 1]))
-            cuts = cuts[(cuts > 0) & (cuts <= len(thresholds[f]))]
-            first = np.concatenate([[0], cuts])
-            local = np.searchsorted(cuts, np.arange(len(thresholds[f]) + 1), side="right")
-            bits = np.zeros((len(first), n), dtype=self.kind)
-            inside = (first[:, None] >= low) & (first[:, None] <= high)
-            bits[:, leaf] = inside.astype(self.kind) << place.astype(self.kind)
-            self.bits[int(f)] = (local.astype(np.int32), bits)
-        self.bytes = self.table.nbytes + self.add.nbytes + sum(a.nbytes + b.nbytes for a, b in self.bits.values())
+        phi, n = pattern_tables(leaves), len(leaves.value)
+        most = max(2, BLOCK_BYTES // (32 * max(1, leaves.width)))       # states of a group
+        self.groups, start, cuts = [], 0, {}
+        for i in range(n + 1):
+            more = {}
+            if i < n:
+                for f, *ends in zip(leaves.feature[i], leaves.low[i], leaves.high[i]):
+                    if f < len(thresholds):
+                        more[int(f)] = {*cuts.get(int(f), ()), *(float(x) for x in ends if math.isfinite(x))}
+            if i == n or (i > start and math.prod(len(c) + 1 for c in (cuts | more).values()) > most):
+                if cuts:
+                    self.groups.append(LeafGroup(leaves.part(start, i), phi[start:i], thresholds, {f: sorted(c) for f, c in cuts.items()}, most))
+                start, cuts = i, {}
+                more = {f: {float(x) for x in (leaves.low[i][leaves.feature[i] == f].tolist() + leaves.high[i][leaves.feature[i] == f].tolist())
+                            if math.isfinite(x)} for f in more}
+            cuts |= more
+        self.bytes = sum(g.bytes for g in self.groups)
 
     def add_to(self, phi: np.ndarray, ranks: list[np.ndarray]) -> None:
-        pattern = np.repeat(self.always[None, :], len(phi), axis=0)
-        for f, (local, bits) in self.bits.items():
-            pattern += bits.take(local[ranks[f]], axis=0, mode="clip")
-        # (rows, leaves, places); every index is in the table by construction
-        got = self.table.take(pattern + self.offset, axis=0, mode="clip")
-        phi += got.reshape(len(phi), -1) @ self.add
+        for g in self.groups:
+            g.add_to(phi, ranks)
 
 
 class RankScorer:
@@ -225,14 +271,13 @@ class RankScorer:
             yield block
 
     def phi(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.n_features))
-        if not self.leaves.width:
-            return out
-        ranks = [np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(self.thresholds)]
-        for block in self.blocks():
-            for i in range(0, len(x), ROWS):
-                block.add_to(out[i:i + ROWS], [r[i:i + ROWS] for r in ranks])
-        return out
+        out = np.zeros((self.n_features, len(x)))
+        if self.leaves.width:
+            ranks = [np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(self.thresholds)]
+            for block in self.blocks():
+                for i in range(0, len(x), ROWS):
+                    block.add_to(out[:, i:i + ROWS], [r[i:i + ROWS] for r in ranks])
+        return out.T
 
 
 def expected_value(leaves) -> float:
@@ -242,6 +287,19 @@ def expected_value(leaves) -> float:
 
 # ------------------------------------------------------------------ M7
 
+def chunks(batches, rows: int):
+    """The batches put together, until there are ``rows`` rows: blocks that are not kept are built once for each chunk."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def attribute(model, df: DataFrame, id_col: str, features, composites=(),
               logodds: bool = True) -> DataFrame:
     """Wide attributions: id, one phi per feature, base_value, base_plus_phi.
@@ -261,7 +319,7 @@ def attribute(model, df: DataFrame, id_col: str, features, composites=(),
 
     def run(it):
         scorer = RankScorer(sent.value, nf)
-        for pdf in it:
+        for pdf in chunks(it, CHUNK_CELLS // max(1, nf)):
             x = pdf[features].to_numpy(dtype=np.float64, na_value=np.nan)
             x = np.where(np.isnan(x), sentinels[None, :], x)
             phi = scorer.phi(x) * scale

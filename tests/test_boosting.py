@@ -159,3 +159,51 @@ def test_level_sums_are_those_of_every_column_and_node():
             start += size
             for k, x in enumerate((w, g, g * g / w, np.ones(n))):
                 assert np.allclose(got[k], np.bincount(code[here], x[here], size))
+
+
+def random_leaves(rng, features: int, trees: int, depth: int):
+    """Leaves of random trees over real values: paths repeat features, and end early at times."""
+    def grow(nodes, d, cover):
+        at = len(nodes)
+        nodes[at] = (float(rng.normal()), cover, -1, -1, -1, None)
+        if d and rng.random() < 0.95:
+            share = float(rng.uniform(0.1, 0.9))
+            left, right = grow(nodes, d - 1, cover * share), grow(nodes, d - 1, cover * (1 - share))
+            nodes[at] = (0.0, cover, left, right, int(rng.integers(features)), round(float(rng.uniform()), 1))
+        return at
+    out = {"trees": {t: {} for t in range(trees)}, "weights": [0.1] * trees}
+    for t in out["trees"].values():
+        grow(t, depth, 1.0)
+    return attribution.leaf_paths(out)
+
+
+@pytest.mark.parametrize("depth,block", [(6, 200_000), (6, 600), (9, 200_000)])
+def test_leaves_are_looked_up_in_groups(depth, block, monkeypatch):
+    monkeypatch.setattr(attribution, "BLOCK_BYTES", block)      # with 600 no two leaves fit into a group
+    monkeypatch.setattr(attribution, "ROWS", 7)
+    rng = np.random.default_rng(depth)
+    leaves = random_leaves(rng, 8, 3, depth)
+    x = rng.integers(-1, 12, (20, 8)) / 10      # many values are thresholds
+    scorer = attribution.RankScorer(attribution.LeafArrays.of(leaves, 8), 8)
+    got, want = scorer.phi(x), np.zeros((20, 8))
+    groups = sum(len(b.groups) for b in scorer.blocks())
+    # one lookup for each leaf before
+    assert groups <= len(leaves) and (block < 1000 or depth > 6 or groups < len(leaves) / 3)
+    for value, feats, lo, hi, z in leaves:
+        inside, d = (x[:, feats] > lo) & (x[:, feats] <= hi), len(feats)
+        for i in range(d):
+            coef = np.zeros((len(x), d))
+            coef[:, 0] = 1.0
+            for j in range(d):
+                if j != i:
+                    coef[:, 1:], coef[:, 0] = coef[:, 1:] * z[j] + coef[:, :-1] * inside[:, j, None], coef[:, 0] * z[j]
+            w = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+            want[:, feats[i]] += value * (inside[:, i] - z[i]) * (coef @ w)
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_chunks_put_batches_together():
+    import pandas as pd
+    got = list(attribution.chunks(iter([pd.DataFrame({"a": range(n)}) for n in (3, 0, 4, 2, 9, 1)]), 6))
+    assert [len(b) for b in got] == [7, 11, 1] and got[1]["a"].tolist() == [0, 1, *range(9)]
+    assert list(attribution.chunks(iter([]), 6)) == []
