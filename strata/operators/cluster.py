@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from strata.operators import lloyd
 from strata.operators.evaluate import sample_rows
 from strata.session import even_rows, materialize, ship_package
 
 SAMPLE = 2_000      # rows of the source's silhouette
 BLOCK = 256         # sampled rows that are met with the whole sample at once
+PANEL_BYTES = 8 << 20       # rows that all tasks meet with theirs at once
 TASK_ROWS = (20_000, 1_000_000)     # rows of a task of one k-means iteration
 
 
@@ -152,6 +154,100 @@ def _plain_score(sample: DataFrame) -> DataFrame:
                                                     F.lit(len(x)).cast("long").alias("n_rows"))
 
 
+def plain_silhouettes(rows, fits: list) -> list:
+    """Mean silhouette of all rows in plain Euclidean distances, for each fit's centres (:func:`lloyd.matrices` of the rows).
+
+    Every row is met with every other once for all fits, which is quadratic by
+    nature.  The rows come to the tasks in panels of PANEL_BYTES, one job each;
+    beside its rows a task keeps their sums of distances to every cluster, so memory
+    is bounded by the rows of a task and a panel.  None for fewer than two clusters.
+    """
+    if not fits:
+        return []
+    sizes, centres = [len(c) for c in fits], np.concatenate(fits)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def labelled(blocks):
+        for x in blocks:
+            yield x, np.stack([label + at for at, (label, _) in zip(starts, lloyd.nearest(x, centres, sizes))]), np.zeros((len(x), starts[-1]))
+
+    state = rows.mapPartitions(labelled).persist(lloyd.KEPT)
+    members = state.map(lambda b: np.bincount(b[1].ravel(), minlength=starts[-1])).fold(np.zeros(starts[-1]), lambda a, b: a + b)
+    panel_rows = max(1, PANEL_BYTES // (8 * sum(centres.shape)))
+    counts = state.mapPartitions(lambda blocks: [[len(x) for x, *_ in blocks]]).collect()
+    old, sent = [], []
+    for part, sizes_of in enumerate(counts):
+        for first, last in _panels(sizes_of, panel_rows):
+            # few partitions are read for a panel: only its own
+            got = state.mapPartitionsWithIndex(lambda p, blocks, part=part, first=first, last=last: (
+                (x, label) for i, (x, label, _) in enumerate(blocks) if p == part and first <= i < last))
+            panel = state.context.runJob(got, list, [part])
+            panel = np.concatenate([x for x, _ in panel]), np.concatenate([label for _, label in panel], axis=1)
+            sent.append(state.context.broadcast(panel))
+            new = state.mapPartitions(lambda blocks, panel=sent[-1]: _with_distances(blocks, panel.value, int(starts[-1]))).persist(lloyd.KEPT)
+            new.foreach(lambda b: None)
+            old.append(state)
+            state = new
+            while len(old) > 1:
+                old.pop(0).unpersist()
+
+    def values(blocks):
+        out = np.zeros(len(sizes))
+        for x, label, total in blocks:
+            for f, (a, b) in enumerate(zip(starts, starts[1:])):
+                own, n = label[f], members[a:b]
+                rows_at, there = np.arange(len(x)), n > 0
+                inside = total[rows_at, own] / np.maximum(members[own] - 1, 1)
+                mean = np.where(there, total[:, a:b] / np.maximum(n, 1), np.inf)
+                mean[rows_at, own - a] = np.inf
+                other = mean.min(axis=1)
+                wide = np.maximum(inside, other)
+                zero = (members[own] < 2) | (wide == 0) | ~np.isfinite(other)
+                out[f] += np.where(zero, 0.0, (other - inside) / np.where(zero, 1.0, wide)).sum()
+        yield out
+    got = state.mapPartitions(values).reduce(lambda a, b: a + b)
+    for rdd in (*old, state):
+        rdd.unpersist()
+    for b in sent:
+        b.destroy()
+    return [float(v / members[a:b].sum()) if (members[a:b] > 0).sum() > 1 else None for v, a, b in zip(got, starts, starts[1:])]
+
+
+def _panels(sizes, most: int):
+    """(first, last) of runs of blocks that have at most ``most`` rows, or one block."""
+    first, n = 0, 0
+    for i, size in enumerate(sizes):
+        if n and n + size > most:
+            yield first, i
+            first, n = i, 0
+        n += size
+    if n:
+        yield first, len(sizes)
+
+
+def _with_distances(blocks, panel, clusters: int):
+    """The blocks with the distances from every row to the panel's rows added, by cluster."""
+    others, labels = panel
+    norms = (others * others).sum(axis=1)
+    member = np.zeros((len(others), clusters))
+    for label in labels:
+        member[np.arange(len(others)), label] = 1.0
+    for x, label, total in blocks:
+        total = total.copy()
+        step = max(16, lloyd.CELLS // max(1, len(others)))
+        for i in range(0, len(x), step):
+            mine = x[i:i + step]
+            own = (mine * mine).sum(axis=1)[:, None]
+            far = mine @ others.T
+            far *= -2.0
+            far += own
+            far += norms
+            far *= far > 1e-13 * own        # what rounding leaves of equal rows
+            np.sqrt(far, out=far)
+            total[i:i + step] += far @ member
+        yield x, label, total
+
+
 # ------------------------------------------------------------------ M13, M15, M16
 
 def mllib_tolerance(df: DataFrame, vec: str, tol: float = 1e-4):
@@ -211,57 +307,55 @@ def best_of_restarts(data: DataFrame, k: int, restarts: int, seed: int = 42,
     return min(fits, key=lambda f: f[1])
 
 
-def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 1,
-                  final_restarts: int = 1, seed: int = 42, threads: int | None = None,
-                  tol: float = 1e-4):
+def kmeans_search(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
+                  final_restarts: int = 20, seed: int = 42, tol: float = 1e-4, euclidean: bool = True):
     """Sweep k, choose k by the silhouette of all rows, fit the final model.
 
-    Returns ``(sweep, k, model)``; the sweep also has the silhouette in plain
-    distances on a sample (:func:`plain_silhouette`).  The default is one seeded k-means|| fit
-    per k, whose own sampling rounds stand in for random restarts; 10 and 20
-    are the source's settings.  All (k, restart) fits are submitted together
-    to a pool of driver threads.  The final fit keeps the best of
-    ``final_restarts`` seeds at the chosen k and reuses the sweep's fits.
-    ``tol`` is the source's relative tolerance (see :func:`mllib_tolerance`).
+    Returns ``(sweep, k, model)``; the sweep has the silhouette in squared distances
+    and, with ``euclidean``, in plain distances between all rows
+    (:func:`plain_silhouettes`; NULL without).  10 and 20 seeded k-means|| starts are
+    the source's settings.  All (k, restart) fits go through the rows together
+    (``lloyd.py``).  The final fit keeps the best of ``final_restarts`` seeds at the
+    chosen k and reuses the sweep's fits.  ``tol`` is the source's relative
+    tolerance (see :func:`mllib_tolerance`).
     """
     spark = df.sparkSession
     data = _vectors(df, id_col, vec)
-    threads = threads or _threads(data)
     tol_for = mllib_tolerance(data.select(vector_to_array("_v").alias("_x")), "_x", tol)
+    rows = lloyd.matrices(data.select(vector_to_array("_v").alias("_x")), "_x")
 
     def run(jobs):
-        with ThreadPoolExecutor(max_workers=threads) as ex:
-            return dict(zip(jobs, ex.map(
-                lambda kr: _fit(data, kr[0], seed + kr[1], 300, tol_for(kr[0])), jobs)))
+        return dict(zip(jobs, lloyd.fit_all(rows, [(k, seed + r) for k, r in jobs], tol_for)))
+
+    def mllib(centres):
+        return lloyd.to_mllib(spark, centres, "_v", "cluster", seed)
 
     try:
         fits = run([(k, r) for k in ks for r in range(restarts)])
         best = {k: min((fits[(k, r)] for r in range(restarts)), key=lambda f: f[1]) for k in ks}
-        with ThreadPoolExecutor(max_workers=threads) as ex:
-            sils = dict(zip(ks, ex.map(lambda k: _score(best[k][0].transform(data), "cluster"), list(ks))))
-        # the source's own distance on its own sample size, one sample for all k
-        sample = materialize(sample_rows(data, id_col, SAMPLE, seed), "sweep-sample")
-        plain = {k: _plain_score(best[k][0].transform(sample).select(
-            vector_to_array("_v").alias("_x"), F.col("cluster").cast("string").alias("_c"))).first().silhouette for k in ks}
-        rows = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]), plain[k])
-                for k in ks]
-        sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_euclidean double")
-        scored = [r for r in rows if r[2] is not None]
-        k_best = (max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else rows[0][0])
+        labelled = [mllib(best[k][0]).transform(data) for k in ks]
+        with ThreadPoolExecutor(max_workers=_threads(data)) as ex:
+            sils = dict(zip(ks, ex.map(lambda df: _score(df, "cluster"), labelled)))
+        plain = dict(zip(ks, plain_silhouettes(rows, [best[k][0] for k in ks]) if euclidean else [None] * len(ks)))
+        table = [(int(k), float(best[k][1]), None if sils[k] is None else float(sils[k]), plain[k]) for k in ks]
+        sweep = spark.createDataFrame(table, "k int, inertia double, silhouette double, silhouette_euclidean double")
+        scored = [r for r in table if r[2] is not None]
+        k_best = (max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else table[0][0])
         model = None
         if final_restarts:
-            fits.update(run([(k_best, r) for r in range(restarts, final_restarts)]))
-            model = min((fits[(k_best, r)] for r in range(max(restarts, final_restarts))),
-                        key=lambda f: f[1])[0]
+            if final_restarts > restarts:
+                fits.update(run([(k_best, r) for r in range(restarts, final_restarts)]))
+            model = mllib(min((fits[(k_best, r)] for r in range(max(restarts, final_restarts))), key=lambda f: f[1])[0])
     finally:
+        rows.unpersist()
         data.unpersist()
     return sweep, k_best, model
 
 
-def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 1,
-                 seed: int = 42, threads: int | None = None) -> DataFrame:
-    """Per k: inertia of the best restart and its silhouette over all rows."""
-    return kmeans_search(df, id_col, vec, ks, restarts, 0, seed, threads)[0]
+def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks=range(2, 9), restarts: int = 10,
+                 seed: int = 42) -> DataFrame:
+    """Per k: inertia of the best restart and its silhouettes over all rows."""
+    return kmeans_search(df, id_col, vec, ks, restarts, 0, seed)[0]
 
 
 def choose_k(sweep: DataFrame, by: str = "silhouette") -> DataFrame:

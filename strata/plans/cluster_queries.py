@@ -80,7 +80,7 @@ def _search(spark, d):
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, d):
-    """k = 2..8, one k-means|| fit each: inertia and silhouette over all rows."""
+    """k = 2..8, the best of ten k-means|| fits each: inertia and silhouettes over all rows."""
     return _search(spark, d)[0]
 
 
@@ -92,7 +92,7 @@ def choose_k(spark, d):
 
 @register("choose_k_euclidean")
 def choose_k_euclidean(spark, d):
-    """The k that the source's plain-distance silhouette picks."""
+    """The k that the plain-distance silhouette of all rows picks."""
     return cluster.choose_k(_search(spark, d)[0], "silhouette_euclidean")
 
 
